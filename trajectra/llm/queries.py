@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trajectra.llm import substring_seed, substring_suffix
+from trajectra.llm import mixing, substring_seed, substring_suffix
 
 QUERIES = {
+    "op1_mixing_flow": mixing.op1_mixing_flow,
     "op6_substring_suffix": substring_suffix.op6_substring_suffix,
     "op10_substring_seed": substring_seed.op10_substring_seed,
 }
