@@ -55,3 +55,26 @@ def chunks(texts, most: int = CHUNK_CHARS):
         held += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], seed: int = 7) -> list:
+    """(text, label) of at most per_class[k] rows of class k, by seeded order of doc_id.
+
+    The sample is drawn from labels alone; only its documents' texts come to the driver.
+    Repeated rows of a doc_id with one label count once.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    drawn = [known.where(F.col("label") == k).distinct().orderBy(order, "doc_id").limit(per_class[k]) for k in (0, 1)]
+    sample = drawn[0].unionByName(drawn[1]).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    sample = sample.where(F.col("label") == F.col("most")).select("doc_id", "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def ids(values) -> object:
+    """doc_ids that came as strings, as a nullable column of whole numbers (null-safe and exact)."""
+    import pandas as pd
+
+    return pd.array([None if v is None else int(v) for v in values], dtype="Int64")
