@@ -227,25 +227,45 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked per row of docs(doc_id, text)."""
+def _run(docs: DataFrame, keep: list[str], sample: int) -> DataFrame:
+    """The columns `keep` of docs (which are not read), and what is found in their text."""
     model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, sample))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = frame["text_"].tolist()
             for a, b in chunks(texts):
                 out = []
                 for text, (base, spans) in zip(texts[a:b], spans_of(model.value, texts[a:b])):
                     kinds = [k for _, k, _ in spans]
                     out.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(spans), _masked(text, spans)))
                 made = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"])
-                made.insert(0, "row", frame["row"].to_numpy()[a:b])
-                yield made
+                yield pd.concat([frame[["row_"]][a:b].reset_index(drop=True), made], axis=1)
+
+    # whole numbers with nulls don't pass through pandas unharmed, so the kept columns travel as one text
+    packed = F.to_json(F.struct(*[F.col(c) for c in keep])).alias("row_")
+    made = docs.select(packed, F.coalesce("text", F.lit("")).alias("text_")).mapInPandas(
+        run, "row_ string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+    )
+    kept = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return made.withColumn("row_", F.from_json("row_", kept)).select("row_.*", *made.columns[1:])
+
+
+def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked per row of docs(doc_id, text)."""
+    return _run(docs, ["doc_id"], sample)
+
+
+def masked(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs with every span of text replaced by its kind, and n_chars (if there) of the new text.
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInPandas(run, "row string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string")
-    return made.select(F.col("row").cast("long").alias("doc_id"), *made.columns[1:])
+    A null text stays null.
+    """
+    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = _run(docs.withColumn("none_", F.col("text").isNull()), [*keep, "none_"], sample)
+    text = F.when(~F.col("none_"), F.col("masked"))
+    own = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:

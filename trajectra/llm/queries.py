@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, similarity_join, substring_seed, substring_suffix, toxicity
+from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, similarity_join, substring_seed, substring_suffix, toxicity
 
 QUERIES = {
     "op1_mixing_flow": mixing.op1_mixing_flow,
     "op2_pii_tagger": pii.op2_pii_tagger,
     "op3_media_ogg": ogg.op3_media_ogg,
+    "op4_quality_bayes": quality.op4_quality_bayes,
     "op5_similarity_join": similarity_join.op5_similarity_join,
     "op6_substring_suffix": substring_suffix.op6_substring_suffix,
     "op7_html_paths": html_paths.op7_html_paths,
