@@ -22,13 +22,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajectra.llm.common import chunks, documents, ids
-from trajectra.llm.tagger import CLASSES, LETTER, OTHER, PAD, Tagger
+from trajectra.llm.tagger import LETTER, OTHER, PAD, Tagger
 
+NUMBERS, STRINGS = ("n_email", "n_ip", "n_card", "n_phone"), ("base_sha256", "spans", "masked")
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, OVERLAP = 512, 32
 #: Windows that are decoded at a time.
@@ -227,33 +229,31 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _run(docs: DataFrame, keep: list[str], sample: int) -> DataFrame:
-    """The columns `keep` of docs (which are not read), and what is found in their text."""
+def _run(docs: DataFrame, keep: list[Column], sample: int) -> DataFrame:
+    """Columns k0, k1, ... (keep, passed through as they are) and what is found in text."""
     model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, sample))
+    rows = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema[:-1]] + [T.StructField(n, T.LongType()) for n in NUMBERS] + [T.StructField(n, T.StringType()) for n in STRINGS])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text_"].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in chunks(texts):
                 out = []
                 for text, (base, spans) in zip(texts[a:b], spans_of(model.value, texts[a:b])):
                     kinds = [k for _, k, _ in spans]
                     out.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(spans), _masked(text, spans)))
-                made = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"])
-                yield pd.concat([frame[["row_"]][a:b].reset_index(drop=True), made], axis=1)
+                columns = list(zip(*out))
+                made = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]]
+                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
-    # whole numbers with nulls don't pass through pandas unharmed, so the kept columns travel as one text
-    packed = F.to_json(F.struct(*[F.col(c) for c in keep])).alias("row_")
-    made = docs.select(packed, F.coalesce("text", F.lit("")).alias("text_")).mapInPandas(
-        run, "row_ string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
-    )
-    kept = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return made.withColumn("row_", F.from_json("row_", kept)).select("row_.*", *made.columns[1:])
+    return rows.mapInArrow(run, schema)
 
 
 def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked per row of docs(doc_id, text)."""
-    return _run(docs, ["doc_id"], sample)
+    return _run(docs, [F.col("doc_id")], sample).withColumnRenamed("k0", "doc_id")
 
 
 def masked(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -261,11 +261,11 @@ def masked(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A null text stays null.
     """
-    keep = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = _run(docs.withColumn("none_", F.col("text").isNull()), [*keep, "none_"], sample)
-    text = F.when(~F.col("none_"), F.col("masked"))
-    own = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = _run(docs, [F.col("text").isNull(), *(F.col(f"`{c}`") for c in rest)], sample)
+    text = F.when(~F.col("k0"), F.col("masked"))
+    own = {"text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"k{i + 1}") for i, c in enumerate(rest)}
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -147,7 +147,9 @@ def quality(docs: DataFrame, host: Column, path: Column, model: Evidence, limit:
     host_prior = _strength(mean, between, noise * (total["h"] or 0) / max(1, n))
     path_prior = _strength(mean, inside, noise * ((total["k"] or 0) - (total["h"] or 0)) / max(1, n))
     # a document's own evidence is left out of its site's posterior
-    joined = paths.join(hosts.select("host", "hn", "hs"), paths["host"].eqNullSafe(hosts["host"])).select(paths["host"].alias("h"), F.col("path").alias("q"), "n", "s", "hn", "hs")
+    by_path = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s")
+    by_host = hosts.select(F.col("host").alias("hh"), "hn", "hs")
+    joined = by_path.join(by_host, F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
     sites = F.broadcast(joined) if joined.limit(200_001).count() <= 200_000 else joined
     all_ = found.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     of_host = (F.lit(host_prior * mean) + F.col("hs") - F.col("p")) / (F.lit(host_prior) + F.col("hn") - 1)
