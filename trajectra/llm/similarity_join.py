@@ -12,9 +12,11 @@ agree on segments worth slack + 1 units or more, so at least on one that isn't e
 more than `slack` units of both sets are empty; those few sets also index their prefix (the
 least elements of which linked sets must share one).
 
-Sets that share a key are candidates.  Each is first compared exactly with the least set of
-its key; then, for keys whose sets are not yet in one component, the sets of different
-components are compared, after an exact bound from 512-bit sketches.  No links are lost, and a
+Sets that share a key are candidates.  Each is first compared exactly with one of them, the
+least set of the keys that it shares most of.  Then rounds compare one pair of sets for each
+two components that meet in a key, and at last, for keys whose sets are still not in one
+component, all sets of different components, after an exact bound from 512-bit
+sketches.  No links are lost, and a
 group of a thousand near copies costs a thousand comparisons.  Copies are one set throughout.
 A set is named by a 64-bit hash of its elements.
 
@@ -43,6 +45,8 @@ WORDS, PERCENT = 4, 85
 #: Ratio of the sizes of a band.
 BAND = 1.6
 SKETCH = 8
+#: Rounds that join components by one comparison for each two of them, before all others.
+ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -205,7 +209,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+
+
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with their label, of the keys whose sets are in several components."""
+    per_key = Window.partitionBy("key")
+    return members.join(labels, "node").withColumn("several", F.max("label").over(per_key) != F.min("label").over(per_key)).where("several").drop("several")
+
+
+def _round(members: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """One pair of sets for each two components that meet in a key beside the key's first one.
+
+    Another n takes other sets to stand for their components.
+    """
+    order = F.struct(F.xxhash64(F.lit(n), "node"), "node")
+    reps = _split(members, labels).groupBy("key", "label").agg(F.min(order)["node"].alias("b"))
+    first = F.min(F.struct(F.xxhash64(F.lit(n), "label").alias("h"), "label", "b")).over(Window.partitionBy("key"))
+    met = reps.withColumn("f", first).where("label <> f.label").select(F.col("f.b").alias("a"), "b", F.col("f.label").alias("la"), F.col("label").alias("lb"))
+    pairs = met.groupBy("la", "lb", "a", "b").agg(F.count("*").alias("keys"))
+    return pairs.groupBy("la", "lb").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb")
+
+
+def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels after joining the components (la, lb) of the pairs (a, b) that are similar."""
+    links = _verified(pairs, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return written(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -220,25 +250,26 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     def sizes_fit(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    stars = written(members.where("node <> first").where(sizes_fit(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    # one comparison per set to begin with: with the least set of a key that shares most keys with it
+    shared = members.where("node <> first").where(sizes_fit(F.col("n"), F.col("first_n"))).groupBy("node", "first").agg(F.count("*").alias("keys"))
+    stars = written(shared.groupBy("node").agg(F.max_by("first", F.struct("keys", "first")).alias("a")).select("a", F.col("node").alias("b")), "stars")
     nodes = members.select("node").distinct()
     wanted = facts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key")
     sets = written(_sets(docs, wanted, k), "sets")
     links = written(_verified(stars, sets, percent), "links")
-    labels = components(links)
+    labels = written(members.select("node").distinct().join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    for n in range(ROUNDS):
+        labels = _merged(labels, _round(members, labels, n), sets, percent)
     # sets of one key that are in different components yet: compare those outside the key's first component
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first_label = F.first("label").over(per_key.orderBy("node", "label"))
-    mixed = labelled.withColumns({"main": first_label, "split": (F.max("label").over(per_key) != F.min("label").over(per_key))}).where("split")
-    sketched = written(mixed.select("key", "node", "n", "first", "label", "main").distinct().join(sets.select("node", "sketch"), "node"), "split")
+    split = _split(members, labels).withColumn("main", F.min("label").over(per_key))
+    sketched = written(split.select("key", "node", "n", "label", "main").distinct().join(sets.select("node", "sketch"), "node"), "split")
     x, y = sketched.where("label <> main").alias("x"), sketched.alias("y")
     differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)])
     larger = F.col("x.n") + F.col("y.n")
-    may = (F.col("x.label") != F.col("y.label")) & (F.col("y.node") != F.col("x.first")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    may = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     may &= sizes_fit(F.col("x.n"), F.col("y.n")) & ((100 + percent) * differ <= (100 - percent) * larger)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _verified(rest, sets, percent)
-    labels = written(components(links.unionByName(more)), "labels")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    labels = _merged(labels, rest, sets, percent)
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.join(by_label, "label").select("node", "component_id")
