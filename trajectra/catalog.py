@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from trajectra.plans import motion_queries, quality_queries
+
+QUERIES: dict = motion_queries.QUERIES | quality_queries.QUERIES
+SQL: dict[str, str] = motion_queries.SQL | quality_queries.SQL
 
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    """Flagship: execution quality of every episode."""
+    return motion_queries.execution_quality(spark, sf_dir)
