@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 INFINITY = float("inf")
-ORDER = Window.partitionBy("episode_index").orderBy("frame_index")
-EPISODE = Window.partitionBy("episode_index")
+
+
+def in_order() -> WindowSpec:
+    """An episode's frames in order."""
+    return Window.partitionBy("episode_index").orderBy("frame_index")
+
+
+def whole_episode() -> WindowSpec:
+    return Window.partitionBy("episode_index")
 
 
 def total(array: Column) -> Column:

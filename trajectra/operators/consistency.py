@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.functions.vectors import EPISODE, INFINITY, ORDER, finite
+from trajectra.functions.vectors import INFINITY, finite, in_order, whole_episode
 from trajectra.operators.robots import robot, within_limits
 
 
 def alignment(frames: DataFrame) -> DataFrame:
     """alignment_score per episode: penalties for missing parts and for odd time steps."""
-    rows = frames.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(ORDER))
-    rows = rows.withColumn("jump", F.col("dt") > F.avg("dt").over(EPISODE) + 3 * F.stddev_pop("dt").over(EPISODE))
+    rows = frames.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(in_order()))
+    rows = rows.withColumn("jump", F.col("dt") > F.avg("dt").over(whole_episode()) + 3 * F.stddev_pop("dt").over(whole_episode()))
     sums = rows.groupBy("episode_index").agg(F.count("state").alias("states"), F.count("action").alias("actions"), F.count("timestamp").alias("times"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("backward", F.col("dt") < 0), ("standing", F.col("dt") == 0), ("jumps", F.col("jump")))])
     penalty = lambda c, by: F.when(c, by).otherwise(1.0)
     checks = [(F.col("states") != F.col("actions"), 0.5), (F.col("states") != F.col("times"), 0.5), (F.col("backward"), 0.7), (F.col("standing"), 0.9), (F.col("jumps"), 0.95)]
@@ -29,7 +29,7 @@ def alignment(frames: DataFrame) -> DataFrame:
 
 def temporal(frames: DataFrame, fps: float = 30.0) -> DataFrame:
     """Mean and deviation of the frame rate, jitter, dropouts and temporal_score per episode."""
-    rows = frames.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(ORDER))
+    rows = frames.withColumn("dt", F.col("timestamp") - F.lag("timestamp").over(in_order()))
     rate = 1 / (F.col("dt") + 1e-10)
     sums = rows.groupBy("episode_index").agg(F.count("*").alias("n"), F.avg(rate).alias("fps_mean"), F.stddev_pop(rate).alias("fps_std"), F.stddev_pop("dt").alias("dt_std"), F.sum((F.col("dt") > 2 / fps).cast("int")).alias("dropouts"))
     some = F.col("n") >= 2
@@ -79,7 +79,7 @@ def joint_violations(frames: DataFrame, kind: str) -> DataFrame:
 
 def validated(frames: DataFrame, kind: str | None = None) -> DataFrame:
     """valid and issues of every episode."""
-    rows = frames.withColumn("back", F.col("timestamp") < F.lag("timestamp").over(ORDER))
+    rows = frames.withColumn("back", F.col("timestamp") < F.lag("timestamp").over(in_order()))
     odd = lambda c: F.coalesce(F.exists(c, lambda x: ~finite(x)), F.lit(False))
     checks = {
         "missing_states": F.count("state") == 0, "missing_actions": F.count("action") == 0, "missing_timestamps": F.count("timestamp") == 0,

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.functions.vectors import norm
+from trajectra.functions.vectors import gaussian_kernel, norm
 from trajectra.operators.motion import episode_metrics, jerk_ranks
-from trajectra.operators.signal import episode_signals, smoothed_signal
+from trajectra.operators.signal import episode_signals, smoothed_array
 
 
 def peaks(x: np.ndarray, prominence: float, distance: int = 1) -> np.ndarray:
@@ -56,24 +56,25 @@ def sparc(speed: np.ndarray, dt: float, pad: int = 4) -> float | None:
 def rates(features: DataFrame) -> DataFrame:
     """episode_index, duration, movement_units, submovements, hesitations and their rates, sparc."""
     signals = episode_signals(features, {"speed": norm(F.col("velocity")), "accel": norm(F.col("acceleration"))}).where(F.size("t") >= 2)
-    signals = signals.withColumn("slow", F.col("speed")).withColumn("raw", F.col("speed"))
-    signals = smoothed_signal(smoothed_signal(smoothed_signal(signals, "speed", 2.0), "accel", 2.0), "slow", 1.5)
+    wide, narrow = np.array(gaussian_kernel(2.0)), np.array(gaussian_kernel(1.5))
 
     def run(frames):
         for frame in frames:
             out = []
-            for t, speed, accel, raw in zip(frame["t"], frame["speed"], frame["accel"], frame["raw"]):
-                speed, accel = np.asarray(speed), np.asarray(accel)
-                units = len(peaks(speed, 0.05 * speed.max(), 5))
+            for t, raw, accel in zip(frame["t"], frame["speed"], frame["accel"]):
+                raw, accel = np.asarray(raw), smoothed_array(np.asarray(accel), wide)
+                speed, slow = smoothed_array(raw, wide), smoothed_array(raw, narrow)
+                turns = np.diff(np.sign(np.diff(slow)))
                 limit = 0.1 * accel.std()
-                sub = len(peaks(accel, limit)) + len(peaks(-accel, limit))
-                smooth = sparc(np.asarray(raw), float(np.mean(np.diff(t))))
-                out.append((units, sub, smooth))
-            made = pd.DataFrame(out, columns=["movement_units", "submovements", "sparc"])
-            yield pd.concat([frame[["episode_index", "duration", "hesitations"]].reset_index(drop=True), made], axis=1)
-
-    counted = signals.withColumn("duration", F.element_at("t", -1) - F.col("t")[0]).withColumn("hesitations", hesitations(F.col("slow")))
-    rows = counted.select("episode_index", "duration", "hesitations", "t", "speed", "accel", "raw").mapInPandas(run, "episode_index long, duration double, hesitations int, movement_units int, submovements int, sparc double")
+                out.append((
+                    float(t[-1] - t[0]), int(((np.abs(turns) > 1) & (slow[:-2] > 0.05 * slow.max())).sum()), len(peaks(speed, 0.05 * speed.max(), 5)),
+                    len(peaks(accel, limit)) + len(peaks(-accel, limit)), sparc(raw, float(np.mean(np.diff(t)))),
+                ))
+            made = pd.DataFrame(out, columns=["duration", "hesitations", "movement_units", "submovements", "sparc"])
+            made.insert(0, "episode_index", frame["episode_index"].to_numpy())
+            yield made
+
+    rows = signals.mapInPandas(run, "episode_index long, duration double, hesitations int, movement_units int, submovements int, sparc double")
     per_second = lambda c: F.when(F.col("duration") > 0, F.col(c) / F.when(F.col("duration") > 0, F.col("duration"))).otherwise(F.lit(0.0))
     return rows.withColumns({"unit_rate": per_second("movement_units"), "hesitation_rate": per_second("hesitations"), "submovement_rate": per_second("submovements")})
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.functions.vectors import EPISODE, ORDER, clip, norm, ratio
+from trajectra.functions.vectors import clip, in_order, norm, ratio, whole_episode
 
 
 def measured(features: DataFrame) -> DataFrame:
     """Per frame: the magnitudes and the pieces that the episode sums need, in one window pass."""
-    ahead = F.lead("timestamp").over(ORDER) - F.col("timestamp")
+    ahead = F.lead("timestamp").over(in_order()) - F.col("timestamp")
     rows = features.withColumns({"speed": norm(F.col("velocity")), "accel": norm(F.col("acceleration")), "jolt": norm(F.col("jerk")), "ahead": F.when(ahead == 0, F.lit(1e-6)).otherwise(ahead)})
-    rows = rows.withColumns({"step": F.coalesce(norm(F.zip_with("state", F.lag("state").over(ORDER), lambda a, b: a - b)), F.lit(0.0)), "d_accel": F.col("accel") - F.lag("accel").over(ORDER)})
-    jolt, spread = F.avg("jolt").over(EPISODE), F.stddev_pop("jolt").over(EPISODE)
-    return rows.withColumns({"jolt_outlier": (spread >= 1e-10) & (F.abs(F.col("jolt") - jolt) > 2 * spread), "accel_jump": F.abs("d_accel") > 3 * F.stddev_pop("d_accel").over(EPISODE)})
+    rows = rows.withColumns({"step": F.coalesce(norm(F.zip_with("state", F.lag("state").over(in_order()), lambda a, b: a - b)), F.lit(0.0)), "d_accel": F.col("accel") - F.lag("accel").over(in_order())})
+    jolt, spread = F.avg("jolt").over(whole_episode()), F.stddev_pop("jolt").over(whole_episode())
+    return rows.withColumns({"jolt_outlier": (spread >= 1e-10) & (F.abs(F.col("jolt") - jolt) > 2 * spread), "accel_jump": F.abs("d_accel") > 3 * F.stddev_pop("d_accel").over(whole_episode())})
 
 
 def episode_metrics(features: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def motion_quality(features: DataFrame, smoothness: DataFrame | None = None) ->
 
 def path_efficiency(frames: DataFrame) -> DataFrame:
     """Path length, straight distance and efficiency of every episode."""
-    step = norm(F.zip_with("state", F.lag("state").over(ORDER), lambda a, b: a - b))
+    step = norm(F.zip_with("state", F.lag("state").over(in_order()), lambda a, b: a - b))
     rows = frames.withColumn("step", F.coalesce(step, F.lit(0.0)))
     ends = F.zip_with(F.max_by("state", "frame_index"), F.min_by("state", "frame_index"), lambda a, b: a - b)
     sums = rows.groupBy("episode_index").agg(F.count("*").alias("n"), F.sum("step").alias("path"), norm(ends).alias("straight"))

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trajectra.functions.vectors import ORDER, gaussian_kernel, norm, smoothed
+from trajectra.functions.vectors import gaussian_kernel, in_order, norm
 
 
 def with_dt(frames: DataFrame) -> DataFrame:
     """Seconds since the frame before (null for the first); 0 counts as a microsecond."""
-    dt = F.col("timestamp") - F.lag("timestamp").over(ORDER)
+    dt = F.col("timestamp") - F.lag("timestamp").over(in_order())
     return frames.withColumn("dt", F.when(dt == 0, F.lit(1e-6)).otherwise(dt))
 
 
 def derivative(frames: DataFrame, source: str, name: str) -> DataFrame:
     """Backward difference of a vector column per second; the first frame repeats the second's."""
-    before = F.lag(source).over(ORDER)
+    before = F.lag(source).over(in_order())
     raw = F.zip_with(source, before, lambda a, b: a - b)
     rows = frames.withColumn("raw_", F.when(F.col("dt").isNotNull(), F.transform(raw, lambda d: d / F.col("dt"))))
-    return rows.withColumn(name, F.coalesce("raw_", F.lead("raw_").over(ORDER))).drop("raw_")
+    return rows.withColumn(name, F.coalesce("raw_", F.lead("raw_").over(in_order()))).drop("raw_")
 
 
 def smooth_frames(frames: DataFrame, column: str, sigma: float) -> DataFrame:
@@ -30,7 +33,7 @@ def smooth_frames(frames: DataFrame, column: str, sigma: float) -> DataFrame:
     """
     weights = gaussian_kernel(sigma)
     r = len(weights) // 2
-    near = F.collect_list(F.struct("frame_index", F.col(column).alias("v"))).over(ORDER.rowsBetween(-2 * r, 2 * r))
+    near = F.collect_list(F.struct("frame_index", F.col(column).alias("v"))).over(in_order().rowsBetween(-2 * r, 2 * r))
     whole = Window.partitionBy("episode_index")
     rows = frames.withColumns({"near_": near, "n_": F.count("*").over(whole)})
     n, i, first = F.col("n_").cast("int"), F.col("frame_index"), F.col("near_")[0]["frame_index"]
@@ -51,27 +54,52 @@ def smooth_frames(frames: DataFrame, column: str, sigma: float) -> DataFrame:
 
 
 def features(frames: DataFrame, sigma: float = 0.0) -> DataFrame:
-    """frames with velocity, acceleration and jerk; each derivative is smoothed before the next."""
-    rows = with_dt(frames)
-    for source, name in (("state", "velocity"), ("velocity", "acceleration"), ("acceleration", "jerk")):
-        rows = derivative(rows, source, name)
-        if sigma > 0:
-            rows = smooth_frames(rows, name, sigma)
-    return rows
+    """frames with velocity, acceleration and jerk; each derivative is smoothed before the next.
+
+    Without smoothing these are window expressions; with it each episode goes through numpy
+    once, so that three smoothed derivatives take one shuffle.
+    """
+    if sigma <= 0:
+        rows = with_dt(frames)
+        for source, name in (("state", "velocity"), ("velocity", "acceleration"), ("acceleration", "jerk")):
+            rows = derivative(rows, source, name)
+        return rows
+    weights = np.array(gaussian_kernel(sigma))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frame_index", kind="stable")
+        x, dt = np.stack(part["state"].to_list()).astype(float), np.diff(part["timestamp"].to_numpy())
+        dt = np.where(dt == 0, 1e-6, dt)[:, None]
+        for name in ("velocity", "acceleration", "jerk"):
+            change = np.diff(x, axis=0) / dt
+            x = smoothed_array(np.concatenate([change[:1], change]), weights) if len(change) else np.full_like(x, np.nan)
+            part[name] = list(x)
+        return part
+
+    schema = T.StructType([*frames.select("episode_index", "frame_index", "timestamp", "state").schema, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("velocity", "acceleration", "jerk")]])
+    return frames.select("episode_index", "frame_index", "timestamp", "state").groupBy("episode_index").applyInPandas(run, schema)
+
+
+def smoothed_array(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x smoothed along its first axis; edges reflect half-sample symmetrically, also past a whole period."""
+    r, n = len(weights) // 2, len(x)
+    at = np.arange(-r, n + r) % (2 * n)
+    padded = x[np.where(at < n, at, 2 * n - 1 - at)]
+    return sum(w * padded[k : k + n] for k, w in enumerate(weights))
 
 
 def moving_average(frames: DataFrame, window: int = 5) -> DataFrame:
     """Each dimension's centred moving sum over the window length, with zeros beyond the edges."""
     half = window // 2
-    near = F.collect_list("state").over(ORDER.rowsBetween(-(window - 1 - half), half))
+    near = F.collect_list("state").over(in_order().rowsBetween(-(window - 1 - half), half))
     sums = F.aggregate("near_", F.transform("state", lambda x: x * 0.0), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
     return frames.withColumn("near_", near).withColumn("smoothed", F.transform(sums, lambda x: x / window)).drop("near_")
 
 
 def speed_profile(frames: DataFrame) -> DataFrame:
     """Speed between consecutive frames (none for the first); steps of no time take a microsecond."""
-    before = F.lag("state").over(ORDER)
-    dt = F.col("timestamp") - F.lag("timestamp").over(ORDER)
+    before = F.lag("state").over(in_order())
+    dt = F.col("timestamp") - F.lag("timestamp").over(in_order())
     dt = F.when(dt <= 0, F.lit(1e-6)).otherwise(dt)
     speed = norm(F.zip_with("state", before, lambda a, b: a - b)) / dt
     return frames.withColumn("speed", speed).where("speed is not null").select("episode_index", "frame_index", "speed")
@@ -82,7 +110,3 @@ def episode_signals(frames: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.struct("frame_index", F.col("timestamp").alias("t"), *[c.alias(n) for n, c in columns.items()])
     rows = frames.groupBy("episode_index").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return rows.select("episode_index", F.col("rows.t").alias("t"), *[F.col(f"rows.{n}").alias(n) for n in columns])
-
-
-def smoothed_signal(signals: DataFrame, name: str, sigma: float) -> DataFrame:
-    return signals.withColumn(name, smoothed(F.col(name), sigma))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.functions.vectors import EPISODE, finite, ratio
+from trajectra.functions.vectors import finite, ratio, whole_episode
 
 
 def summary(x: Column) -> list[Column]:
@@ -16,7 +16,7 @@ def summary(x: Column) -> list[Column]:
 
 def zscore_outliers(rows: DataFrame, x: str, threshold: float = 3.0) -> DataFrame:
     """outlier: further than threshold deviations from the episode's mean; none if it hardly varies."""
-    mean, std = F.avg(x).over(EPISODE), F.stddev_pop(x).over(EPISODE)
+    mean, std = F.avg(x).over(whole_episode()), F.stddev_pop(x).over(whole_episode())
     return rows.withColumns({"mean_": mean, "std_": std}).withColumn("outlier", (F.col("std_") >= 1e-10) & (F.abs(F.col(x) - F.col("mean_")) > threshold * F.col("std_"))).drop("mean_", "std_")
 
 
@@ -30,7 +30,7 @@ def iqr_outliers(rows: DataFrame, x: str, threshold: float = 1.5) -> DataFrame:
 
 def high_outliers(rows: DataFrame, x: str, k: float = 2.0) -> DataFrame:
     """outlier: above the episode's mean by more than k deviations."""
-    limit = F.avg(x).over(EPISODE) + k * F.stddev_pop(x).over(EPISODE)
+    limit = F.avg(x).over(whole_episode()) + k * F.stddev_pop(x).over(whole_episode())
     return rows.withColumn("threshold", limit).withColumn("outlier", F.col(x) > F.col("threshold"))
 
 
