@@ -14,7 +14,7 @@ least elements of which linked sets must share one).
 
 Sets that share a key are candidates.  Each is first compared exactly with one of them, the
 least set of the keys that it shares most of.  Then rounds compare one pair of sets for each
-two components that meet in a key, and at last, for keys whose sets are still not in one
+component that meets another in a key, and at last, for keys whose sets are still not in one
 component, all sets of different components, after an exact bound from 512-bit
 sketches.  No links are lost, and a
 group of a thousand near copies costs a thousand comparisons.  Copies are one set throughout.
@@ -45,7 +45,7 @@ WORDS, PERCENT = 4, 85
 #: Ratio of the sizes of a band.
 BAND = 1.6
 SKETCH = 8
-#: Rounds that join components by one comparison for each two of them, before all others.
+#: Rounds that join components by one comparison for each of them, before all others.
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -204,12 +204,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("text_key").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "node long, elements array<long>, sketch array<long>").dropDuplicates(["node"])
 
 
+def _near(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m elements with these sketches can reach the similarity.
+
+    Every bit in which the sketches differ stands for an element that only one set has.
+    """
+    differ = reduce(lambda p, q: p + q, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)])
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets really reach the similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    """The pairs (a, b, ...) whose sets really reach the similarity; sketches first, then elements."""
+    sketches = sets.select("node", "sketch", F.size("elements").alias("n"))
+    near = pairs.join(sketches.toDF("a", "sx", "nx"), "a").join(sketches.toDF("b", "sy", "ny"), "b")
+    near = near.where(_near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent)).select(*pairs.columns)
+    one, two = sets.select("node", "elements").toDF("a", "x"), sets.select("node", "elements").toDF("b", "y")
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+    rows = near.join(one, "a").join(two, "b")
+    return rows.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
 
 def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,16 +231,17 @@ def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _round(members: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """One pair of sets for each two components that meet in a key beside the key's first one.
+    """One pair of sets for each component that meets another in a key.
 
-    Another n takes other sets to stand for their components.
+    Of the pairs that the keys' first components offer it, it takes the one that most keys
+    offer.  Another n takes other components to be first and other sets to stand for them.
     """
     order = F.struct(F.xxhash64(F.lit(n), "node"), "node")
     reps = _split(members, labels).groupBy("key", "label").agg(F.min(order)["node"].alias("b"))
     first = F.min(F.struct(F.xxhash64(F.lit(n), "label").alias("h"), "label", "b")).over(Window.partitionBy("key"))
     met = reps.withColumn("f", first).where("label <> f.label").select(F.col("f.b").alias("a"), "b", F.col("f.label").alias("la"), F.col("label").alias("lb"))
     pairs = met.groupBy("la", "lb", "a", "b").agg(F.count("*").alias("keys"))
-    return pairs.groupBy("la", "lb").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb")
+    return pairs.groupBy("lb").agg(F.max(F.struct("keys", "a", "b", "la")).alias("p")).select("p.a", "p.b", "p.la", "lb")
 
 
 def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,10 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     split = _split(members, labels).withColumn("main", F.min("label").over(per_key))
     sketched = written(split.select("key", "node", "n", "label", "main").distinct().join(sets.select("node", "sketch"), "node"), "split")
     x, y = sketched.where("label <> main").alias("x"), sketched.alias("y")
-    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)])
-    larger = F.col("x.n") + F.col("y.n")
     may = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    may &= sizes_fit(F.col("x.n"), F.col("y.n")) & ((100 + percent) * differ <= (100 - percent) * larger)
+    may &= _near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
     labels = _merged(labels, rest, sets, percent)
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
