@@ -12,9 +12,9 @@ agree on segments worth slack + 1 units or more, so at least on one that isn't e
 more than `slack` units of both sets are empty; those few sets also index their prefix (the
 least elements of which linked sets must share one).
 
-Sets that share a key are candidates.  Each is first compared exactly with one of them, the
-least set of the keys that it shares most of.  Then rounds compare one pair of sets for each
-component that meets another in a key, and at last, for keys whose sets are still not in one
+Sets that share a key are candidates.  The set of a key that shares most with all others comes
+first; each set is first compared exactly with the first set of the keys that it shares most
+of.  Then rounds compare one pair of sets for each two components that meet in a key, and at last, for keys whose sets are still not in one
 component, all sets of different components, after an exact bound from 512-bit
 sketches.  No links are lost, and a
 group of a thousand near copies costs a thousand comparisons.  Copies are one set throughout.
@@ -45,7 +45,7 @@ WORDS, PERCENT = 4, 85
 #: Ratio of the sizes of a band.
 BAND = 1.6
 SKETCH = 8
-#: Rounds that join components by one comparison for each of them, before all others.
+#: Rounds that join components by one comparison for each two of them, before all others.
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -231,17 +231,16 @@ def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _round(members: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """One pair of sets for each component that meets another in a key.
+    """One pair of sets for each two components that meet in a key beside the key's first one.
 
-    Of the pairs that the keys' first components offer it, it takes the one that most keys
-    offer.  Another n takes other components to be first and other sets to stand for them.
+    Round 0 takes the most central sets to stand for their components, later ones others.
     """
-    order = F.struct(F.xxhash64(F.lit(n), "node"), "node")
-    reps = _split(members, labels).groupBy("key", "label").agg(F.min(order)["node"].alias("b"))
-    first = F.min(F.struct(F.xxhash64(F.lit(n), "label").alias("h"), "label", "b")).over(Window.partitionBy("key"))
+    order = F.struct(-F.col("central") if n == 0 else F.xxhash64(F.lit(n), "node"), F.col("node"))
+    reps = _split(members, labels).groupBy("key", "label").agg(F.min(F.struct(order.alias("o"), "node")).alias("r")).select("key", "label", F.col("r.node").alias("b"), F.col("r.o").alias("o"))
+    first = F.min(F.struct("o", "label", "b")).over(Window.partitionBy("key"))
     met = reps.withColumn("f", first).where("label <> f.label").select(F.col("f.b").alias("a"), "b", F.col("f.label").alias("la"), F.col("label").alias("lb"))
     pairs = met.groupBy("la", "lb", "a", "b").agg(F.count("*").alias("keys"))
-    return pairs.groupBy("lb").agg(F.max(F.struct("keys", "a", "b", "la")).alias("p")).select("p.a", "p.b", "p.la", "lb")
+    return pairs.groupBy("la", "lb").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb")
 
 
 def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,9 +255,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     facts = written(_facts(docs, k), "facts")
     per_key = Window.partitionBy("key")
     index = _index(docs, k, percent)
-    least = F.min(F.struct("node", "n")).over(per_key)
-    members = index.withColumns({"first": least, "many": F.max("node").over(per_key) != least["node"]}).where("many")
-    members = written(members.select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "members")
+    ends = {"least": F.min("node").over(per_key), "most": F.max("node").over(per_key), "size": F.count("*").over(per_key)}
+    found = written(index.withColumns(ends).where("least <> most").select("key", "node", "n", "size"), "members")
+    # a set that shares popular keys stands in the middle of its group; it comes first in its keys
+    central = found.groupBy("node").agg(F.sum("size").alias("central"))
+    first = F.max(F.struct("central", "node", "n")).over(per_key)
+    members = found.select("key", "node", "n").join(central, "node").withColumn("first", first)
+    members = written(members.select("key", "node", "n", "central", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "members")
 
     def sizes_fit(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
