@@ -14,11 +14,11 @@ least elements of which linked sets must share one).
 
 Sets that share a key are candidates.  The set of a key that shares most with all others comes
 first; each set is first compared exactly with the first set of the keys that it shares most
-of.  Then rounds compare one pair of sets for each two components that meet in a key, and at last, for keys whose sets are still not in one
-component, all sets of different components, after an exact bound from 512-bit
-sketches.  No links are lost, and a
-group of a thousand near copies costs a thousand comparisons.  Copies are one set throughout.
-A set is named by a 64-bit hash of its elements.
+of.  Then rounds compare one pair of sets for each two components that meet in a key, and at
+last, for keys whose sets are still not in one component, all sets of different components,
+after an exact bound from 512-bit sketches and once for all keys that two sets share.  No
+links are lost, and a group of a thousand near copies costs a thousand comparisons.  Copies
+are one set throughout.  A set is named by a 64-bit hash of its elements.
 
 Cases: a null text or one without words has an empty set and links with nothing; a text of
 fewer than k words is one shingle; texts of any length are read whole; rows with null or
@@ -47,6 +47,8 @@ BAND = 1.6
 SKETCH = 8
 #: Rounds that join components by one comparison for each two of them, before all others.
 ROUNDS = 3
+#: Least keys of a set that tell in the last comparison whether a pair met in a lesser key.
+LOW_KEYS = 64
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -278,10 +280,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         labels = _merged(labels, _round(members, labels, n), sets, percent)
     # sets of one key that are in different components yet: compare those outside the key's first component
     split = _split(members, labels).withColumn("main", F.min("label").over(per_key))
-    sketched = written(split.select("key", "node", "n", "label", "main").distinct().join(sets.select("node", "sketch"), "node"), "split")
+    own = split.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_set(F.struct("key", "main"))).alias("own"))
+    low = F.slice("own.key", 1, LOW_KEYS).alias("low")
+    sketched = own.join(sets.select("node", "sketch"), "node").select("node", "n", "label", "sketch", low, F.inline("own"))
+    sketched = written(sketched, "split")
     x, y = sketched.where("label <> main").alias("x"), sketched.alias("y")
     may = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     may &= _near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
+    # a pair meets in every key that it shares; it is told by the least of them, where `low` shows it
+    may &= F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")), F.col("x.key")) >= F.col("x.key")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
     labels = _merged(labels, rest, sets, percent)
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
