@@ -246,6 +246,37 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, rows).limit(0), items).count() == 0
 
 
+def test_leaks_in_every_window(spark):
+    """Reordered, cut and edited passages: the best of all item-sized windows by plain search."""
+    item = words(60, 1000)
+    a, b, lead, tail = item[:30], item[30:], words(50, 1001), words(50, 1002)
+    edited = list(item)
+    edited[1] = edited[58] = "changed"
+    texts = [lead + b + a + tail, b + a, lead + edited + tail, lead + item[:56], item[3:] + tail, lead + b + tail, lead + b[15:] + a + b[:15] + tail, lead + tail]
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+
+    def bag(w):
+        out = defaultdict(int)
+        for i in range(len(w) - 4):
+            out[" ".join(w[i : i + 5])] += len(" ".join(w[i : i + 5]))
+        return out
+
+    want, own = [], bag(item)
+    for i, t in enumerate(texts):
+        scores = []
+        for start in range(len(t) - 4):
+            there = bag(t[start : start + 60])
+            common = sum(min(n, own[s]) for s, n in there.items() if s in own)
+            scores.append((common / (sum(there.values()) + sum(own.values()) - common), -start))
+        best = max(scores)
+        if best[0] >= 0.8:
+            want.append((i, 1, round(best[0], 6), -best[1]))
+    assert {w[0] for w in want} > {0, 1, 2}
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(table(spark, rows), items).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_tagger_gradients():
     from trajectra.llm.tagger import Tagger
 

@@ -3,12 +3,14 @@
 Operator: `leaks`.  Texts are lower-cased and cut into words; a shingle is SHINGLE words and
 weighs its number of characters.  A window is as many words of a document as an item has.
 
-1. Windows that share no shingle with any item have similarity 0, so documents meet the
-   items' shingles first, and every shared shingle sets the window that aligns it.
+1. A window of similarity SIMILARITY shares shingles worth that share of the item's weight at
+   least.  Documents meet the items' shingles, and running sums over the shared ones find every
+   start whose window holds so much; no other window can be a leak.
 2. Each such window and each item gets a 64-bit SimHash of its weighted shingles.
 3. Fingerprints within RADIUS bits agree within RADIUS // BLOCKS bits in one of BLOCKS
    blocks; items are indexed under all values that near, so every pair within the radius meets.
-4. Pairs that meet are verified exactly: weighted Jaccard similarity of their shingle bags.
+4. A text of which a window meets an item is verified exactly, in all windows of that size:
+   weighted Jaccard similarity of the shingle bags.
 
 Copies of a text are handled once, by the text's hash.  Only the items' shingles and the
 hashes of documents that share one are broadcast, each behind a count (BROADCAST_ROWS);
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajectra.llm.common import documents, lowered, written
@@ -73,6 +75,20 @@ def _blocks(print_: Column, near: bool) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("block"), part(b).bitwiseXOR(F.lit(m)).cast("int").alias("value")) for b in range(BLOCKS) for m in masks])
 
 
+def _starts(shared: DataFrame, k: int, similarity: float) -> DataFrame:
+    """text_key, size, start of all windows whose shared shingles have `similarity` of an item's weight.
+
+    A shingle at pos enters the windows at start pos - size + k and leaves them after start
+    pos, so their weight changes at these places alone and holds from one to the next.
+    """
+    turns = F.array(F.struct((F.col("pos") - F.col("size") + k).alias("at"), F.col("share").alias("change")), F.struct((F.col("pos") + 1).alias("at"), (-F.col("share")).alias("change")))
+    order = Window.partitionBy("text_key", "size").orderBy("at")
+    spans = shared.select("text_key", "size", F.explode(turns).alias("t")).select("text_key", "size", "t.*")
+    spans = spans.select("text_key", "size", F.greatest("at", F.lit(0)).alias("first"), (F.lead("at").over(order) - 1).alias("last"), F.sum("change").over(order).alias("held"))
+    # the sums are rounded, so a little less has to do
+    return spans.where((F.col("held") >= similarity - 1e-6) & (F.col("first") <= F.col("last"))).select("text_key", "size", F.explode(F.sequence("first", "last")).alias("start"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, start: the best window per row of docs and item it repeats."""
     item_words = items.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("size"), F.least(F.size("words"), F.lit(k)).alias("k"))
@@ -87,14 +103,14 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity: float
 def _leaks(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
     text = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _words(F.col("text")).alias("words"))
     places = items.select("item_id", "size", "words", F.posexplode(_shingles(F.col("words"), k)).alias("place", "hash"))
-    item_bags = written(
-        places.select("item_id", "size", "hash", "place", _weight(F.col("words"), F.col("place"), k).alias("weight")).groupBy("item_id", "size", "hash").agg(F.count("*").alias("times"), F.max("weight").alias("weight"), F.collect_set("place").alias("places")),
-        "items",
-    )
-    wanted = item_bags.select("hash", "size", F.explode("places").alias("place")).distinct()
+    item_bags = places.select("item_id", "size", "hash", _weight(F.col("words"), F.col("place"), k).alias("weight")).groupBy("item_id", "size", "hash").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
+    item_bags = written(item_bags, "items")
+    # a shingle's weight as a share of an item's whole weight, the largest over the items of a size
+    whole = F.sum(F.col("weight") * F.col("times")).over(Window.partitionBy("item_id", "size"))
+    wanted = item_bags.withColumn("share", F.col("weight") / whole).groupBy("hash", "size").agg(F.max("share").alias("share"))
     shared = text.select("text_key", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "hash"))
-    # the windows that align a shared shingle with its place in an item
-    windows = written(shared.join(_maybe_broadcast(wanted), "hash").select("text_key", "size", F.greatest(F.col("pos") - F.col("place"), F.lit(0)).alias("start")).distinct(), "windows")
+    shared = shared.join(_maybe_broadcast(wanted), "hash").select("text_key", "size", "pos", "share").distinct()
+    windows = written(_starts(shared, k, similarity), "windows")
     keys = windows.select("text_key").distinct()
     own = text.join(_maybe_broadcast(keys), "text_key", "left_semi").groupBy("text_key").agg(F.first("words").alias("words"))
     cut = own.join(windows.groupBy("text_key").agg(F.collect_list(F.struct("size", "start")).alias("windows")), "text_key")
@@ -102,13 +118,14 @@ def _leaks(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Data
     rows = cut.select("text_key", "size", "start", "words", F.posexplode(_shingles(F.col("words"), k)).alias("place", "hash"))
     bags = rows.select("text_key", "size", "start", "hash", _weight(F.col("words"), F.col("place"), k).alias("weight")).groupBy("text_key", "size", "start", "hash").agg(F.count("*").alias("times"), F.max("weight").alias("weight"))
     bags = written(bags.withColumn("mass", F.col("weight") * F.col("times")), "bags")
-    prints = _fingerprints(bags, ["text_key", "size", "start"])
+    prints = written(_fingerprints(bags, ["text_key", "size", "start"]), "prints")
     item_mass = item_bags.withColumn("mass", F.col("weight") * F.col("times"))
     item_prints = _fingerprints(item_mass, ["item_id", "size"])
-    left = prints.select("text_key", "size", "start", "total", "print", F.explode(_blocks(F.col("print"), False)).alias("b")).select("text_key", "size", "start", "total", "print", "b.*")
+    left = prints.select("text_key", "size", "print", F.explode(_blocks(F.col("print"), False)).alias("b")).select("text_key", "size", "print", "b.*").distinct()
     right = item_prints.select("item_id", "size", F.col("total").alias("item_total"), F.col("print").alias("item_print"), F.explode(_blocks(F.col("print"), True)).alias("b")).select("item_id", "size", "item_total", "item_print", "b.*")
     near = left.join(right, ["size", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = near.select("text_key", "size", "start", "total", "item_id", "item_total").distinct()
+    # a text with a window near an item is compared in all its windows, so that the best one counts
+    pairs = near.select("text_key", "size", "item_id", "item_total").distinct().join(prints.select("text_key", "size", "start", "total"), ["text_key", "size"])
     # exact weighted-shingle similarity of the pairs
     both = pairs.join(bags, ["text_key", "size", "start"]).join(item_bags.select("item_id", "hash", F.col("times").alias("item_times")), ["item_id", "hash"])
     common = both.groupBy("text_key", "size", "start", "item_id", "total", "item_total").agg(F.sum(F.col("weight") * F.least("times", "item_times")).alias("common"))
