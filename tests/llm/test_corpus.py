@@ -118,6 +118,15 @@ def test_substring_suffix(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_substring_suffix_with_rows_given_twice(spark):
+    """A document given twice keeps its first occurrences in both rows, near other contexts too."""
+    own, shared, other = (" ".join(words(60, seed)) for seed in (2000, 2001, 2002))
+    rows = [(1, f"{own} {shared}", "en", "s"), (1, f"{own} {shared}", "en", "s"), (2, f"{shared} {other}", "en", "s"), (3, other * 2, "en", "s"), (3, other * 2, "en", "s")]
+    for parts in (1, 5):  # rows that meet in a task, and in the shuffle
+        got = substring_suffix.drop_repeated_bytes(table(spark, rows).repartition(parts)).select("doc_id", "n_removed").collect()
+        assert sorted(map(tuple, got)) == [(1, 0), (1, 0), (2, len(shared)), (3, 2 * len(other)), (3, 2 * len(other))]
+
+
 def test_mixing(spark):
     rows = corpus()
     mixed, quota = mixing.mix(table(spark, rows), F.array("source"))

@@ -67,7 +67,8 @@ def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool)
                 fresh = np.ones(len(key), dtype=bool)
                 fresh[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
                 first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-                done = doc > doc[first] if across else ~fresh
+                # rows of one doc_id give the same anchor again, which doesn't repeat itself
+                done = (doc > doc[first]) | ((pos > pos[first]) & (not across))
                 spread = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B1) + pos.astype(np.uint64)).view(np.int64)
                 yield pd.DataFrame({"key": np.where(done, spread, key), "context": np.where(done, 0, context), "doc": doc, "pos": pos, "done": done})
 
@@ -80,13 +81,14 @@ def settled(found: DataFrame, across: bool) -> DataFrame:
     per_context = Window.partitionBy("key", "done", "context").orderBy("doc", "pos")
     ranked = found.repartition("key").withColumns(
         {
-            "rank": F.row_number().over(per_context),
             "first_doc": F.first("doc").over(per_context),
+            "first_pos": F.first("pos").over(per_context),
             "one_context": F.min("context").over(per_key) == F.max("context").over(per_key),
             "one_doc": F.min("doc").over(per_key) == F.max("doc").over(per_key),
         }
     )
-    repeated = F.col("done") | ((F.col("doc") > F.col("first_doc")) if across else (F.col("rank") > 1))
+    later = F.col("doc") > F.col("first_doc")
+    repeated = F.col("done") | (later if across else later | (F.col("pos") > F.col("first_pos")))
     still_open = ~F.col("one_context")
     if across:
         still_open &= ~F.col("one_doc")

@@ -151,6 +151,7 @@ def _comparer(window: int, k: int):
         rights = _classes(Suffixes([s[n:] for s, n in zip(around, left)], window), group)
         lefts = _classes(Suffixes([s[:n][::-1] for s, n in zip(around, left)], reach), group)
         n = len(frame)
+        doc, pos = frame["doc"].to_numpy(), frame["pos"].to_numpy()
         most, least = np.full(n, -1), np.full(n, window)
         for offset in range(reach + 1):
             x, y = lefts(offset), rights(window - offset)
@@ -158,10 +159,9 @@ def _comparer(window: int, k: int):
             if not len(ok):
                 continue
             # rows are in the order of doc and pos within a key: a class's first row is its earliest
-            _, earliest = np.unique(x[ok] * (n + 1) + y[ok], return_index=True)
-            later = np.ones(len(ok), dtype=bool)
-            later[earliest] = False
-            hit = ok[later]
+            _, earliest, member = np.unique(x[ok] * (n + 1) + y[ok], return_index=True, return_inverse=True)
+            first = ok[earliest][member]
+            hit = ok[(doc[ok] != doc[first]) | (pos[ok] != pos[first])]
             most[hit] = np.maximum(most[hit], offset)
             least[hit] = np.minimum(least[hit], offset)
         return np.maximum(most, 0), np.where(most >= 0, window - least, 0)
