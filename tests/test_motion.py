@@ -117,3 +117,18 @@ def test_problem_episodes(spark):
 def test_leaders(spark):
     frames = frames_of(spark, [(range(4), [[0, 0, 0], [0.1, 0, 0], [5, 0, 0], [5.1, 0, 0]])])
     assert spatial.leaders(frames, 1.0) == [[0, 0, 0], [5, 0, 0]]
+
+
+def test_anomaly_is_computed(spark):
+    from trajectra.operators import consistency
+
+    def score(states):
+        rows = [(1, i, i / 30, s, s) for i, s in enumerate(states)]
+        frames = spark.createDataFrame(rows, "episode_index long, frame_index int, timestamp double, state array<double>, action array<double>")
+        return consistency.consistency(frames).first()["anomaly"]
+
+    varied = np.random.default_rng(5).normal(size=(100, 3)).tolist()
+    assert score(varied) == pytest.approx(0.5)
+    assert score(varied[:9]) == 1
+    assert score([[1.0, 2.0, 3.0]] * 50) == 1
+    assert score([*varied[:9], None, [float("nan"), 0.0, 0.0]]) == 1

@@ -166,14 +166,24 @@ def anomalies(scores: DataFrame, contamination: float = 0.1) -> DataFrame:
     return scores.join(F.broadcast(limit)).withColumn("anomaly", F.col("score") > F.col("limit_")).drop("limit_")
 
 
-def consistency(frames: DataFrame, fps: float = 30.0, kind: str | None = None, anomaly_score: float = 0.5) -> DataFrame:
-    """One row: the five component scores and their weighted overall score."""
+def anomaly_check(frames: DataFrame) -> DataFrame:
+    """One row: anomaly, which is 1 less a twentieth of the per cent of anomalous frames, and 1 below 10 frames.
+
+    Frames without a finite state can't be scored and don't count.
+    """
+    points = frames.where(F.col("state").isNotNull() & F.forall("state", finite)).select(F.xxhash64("episode_index", "frame_index").alias("id"), F.col("state").alias("x"))
+    sums = anomalies(isolation_scores(points)).agg(F.count("*").alias("n"), F.avg(F.col("anomaly").cast("int")).alias("share"))
+    return sums.select(F.when(F.col("n") < 10, F.lit(1.0)).otherwise(F.greatest(1 - 100 * F.col("share") / 20, F.lit(0.0))).alias("anomaly"))
+
+
+def consistency(frames: DataFrame, fps: float = 30.0, kind: str | None = None, anomaly_score: float | None = None) -> DataFrame:
+    """One row: the five component scores and their weighted overall score (anomaly_score instead of the check, if given)."""
     aligned = alignment(frames).agg(F.avg("alignment_score").alias("alignment"))
     timed = temporal(frames, fps).agg(F.avg("temporal_score").alias("temporal"))
     limits = limit_check(frames, kind).select(F.col("limit_score").alias("limits")) if kind else None
     rows = aligned.join(F.broadcast(timed)).join(F.broadcast(missing(frames).select(F.col("missing_score").alias("missing"), "completeness_pct")))
     rows = rows.join(F.broadcast(limits)) if limits is not None else rows.withColumn("limits", F.lit(1.0))
-    rows = rows.withColumn("anomaly", F.lit(float(anomaly_score)))
+    rows = rows.join(F.broadcast(anomaly_check(frames))) if anomaly_score is None else rows.withColumn("anomaly", F.lit(float(anomaly_score)))
     return rows.withColumn("overall_score", 0.25 * F.col("alignment") + 0.25 * F.col("temporal") + 0.20 * F.col("missing") + 0.20 * F.col("anomaly") + 0.10 * F.col("limits"))
 
 
