@@ -238,6 +238,15 @@ def test_html():
         html_paths.extracted(odd)
 
 
+def test_html_keeps_all_of_an_article():
+    long = "".join(f"<p>Paragraph {i} tells, at some length, of one thing; then of another.</p>" for i in range(14))
+    page = f"<body><div class=x>{long}</div><div class=x><p>The last one tells, at some length, of the end; then it is over.</p></div></body>"
+    assert html_paths.extracted(page).count("\n\n") == 14 and "it is over." in html_paths.extracted(page)
+    for name in ("no-sidebar", "content-widget", "comments-open", "has-header"):
+        text = html_paths.extracted(f"<body><div class='{name}'>{long}<div class=sidebar>Buy this, now.</div></div></body>")
+        assert text.startswith("Paragraph 0") and "Paragraph 13" in text and "Buy" not in text
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hi, you.</p>", 9), (None, None, None, 9), (1, "u", "", 9)], "page_id long, url string, html string, n_chars long")
     assert sorted(r["text"] for r in html_paths.main_text(pages).collect()) == ["", "", "Hi, you."]

@@ -5,8 +5,8 @@ elements from the root to it.  Per path, text length and punctuation outside lin
 and divided by its blocks (the two path ratios).  Both ratios are smoothed along the page with
 a Gaussian window and multiplied; blocks whose fused ratio reaches the page's standard
 deviation are content, unless their path passes an element that names itself furniture
-(FURNITURE).  The content marks the page's main element: the innermost section that holds
-nearly all of it.  All blocks of that element outside furniture are the text, so short
+(FURNITURE) and doesn't hold most of the page's text.  The content marks the page's main
+element: the innermost section that holds all of it.  All blocks of that element outside furniture are the text, so short
 paragraphs and headings of the article are kept.
 
 Cases: a null or empty html, or a page without text, gives an empty text; unclosed and stray
@@ -42,22 +42,22 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»\"“”()]")
-#: Share of the content that the main element must hold.
-MOST = 0.9
 SIGMA = 1.0
 
 
 class Element:
-    __slots__ = ("name", "label", "furniture", "parent", "mass")
+    __slots__ = ("name", "label", "furniture", "named", "parent", "mass", "plain")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         words = [w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()) if w] if attributes else []
-        self.name, self.parent, self.mass = name, parent, 0
+        self.name, self.parent, self.mass, self.plain = name, parent, 0, 0
         self.label = f"{parent.label}/{name}" if parent else name
         if words:
             self.label += "." + ".".join(words)
         inside = any(e.name in ("article", "main") for e in self.up()) if name == "header" else True
-        self.furniture = bool(parent and parent.furniture) or name in FURNITURE_TAGS or not inside or bool(FURNITURE.intersection(words)) and name not in ("html", "body") or bool(attributes and HIDDEN.search(attributes))
+        self.furniture = bool(parent and parent.furniture) or name in FURNITURE_TAGS or not inside or bool(attributes and HIDDEN.search(attributes))
+
+        self.named = bool(FURNITURE.intersection(words)) and name not in ("html", "body")
 
     def up(self) -> Iterator[Element]:
         at: Element | None = self
@@ -143,6 +143,13 @@ def path_ratios(found: list[tuple[Element, str, int]]) -> np.ndarray:
 def extracted(page: str) -> str:
     """The main text of one page, blocks joined by an empty line."""
     found = blocks(page)
+    for e, _, n in found:
+        for up in e.up() if not e.furniture else ():
+            up.plain += n
+    whole = sum(n for e, _, n in found if not e.furniture)
+    # a name says nothing of an element around most of the page's text
+    for e in {e for e, _, _ in found}:
+        e.furniture = e.furniture or any(up.named and 2 * up.plain <= whole for up in e.up())
     open_ = [x for x in found if not x[0].furniture]
     if not open_:
         return ""
@@ -156,11 +163,11 @@ def extracted(page: str) -> str:
             up.mass += n + 1
     main = open_[0][0]
     best = None
-    for e, _ in content:  # the innermost section with nearly all of the content
+    for e, _ in content:  # the innermost section with all of the content
         for up in e.up():
-            if up.name in SECTIONS and up.mass >= MOST * total:
+            if up.name in SECTIONS and up.mass == total:
                 depth = up.label.count("/")
-                named = next((x for x in reversed(list(up.up())) if x.name in ("article", "main") and x.mass >= MOST * total), up)
+                named = next((x for x in reversed(list(up.up())) if x.name in ("article", "main") and x.mass == total), up)
                 if best is None or depth > best[0]:
                     best = (depth, named)
                 break
