@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import written
+from trajectra.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         # stars: every node has one link, and no node that others link to links on
         if now == size or now[0] == 0:
             break
+        dropped(current)
         current, size = following, now
+    dropped(current)
     labels = following.groupBy("a").agg(F.min("b").alias("label"))
     roots = following.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return labels.select(F.col("a").alias("node"), "label").unionByName(roots)

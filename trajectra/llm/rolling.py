@@ -1,9 +1,12 @@
 """Polynomial hashing and winnowing over concatenated sequences, in numpy.
 
 A batch of documents is laid end to end in one array of units (bytes or word
-hashes) so that one vectorised pass hashes every k-gram of the batch.  Hashes are
+hashes) so that one vectorised pass hashes every k-gram of the batch.  Rolling hashes are
 ``sum(unit[j] * BASE**j) mod 2**64`` read off prefix sums, so any substring's hash is
-two look-ups and a multiplication.
+two look-ups and a multiplication.  Long strings can be built that such a sum can't tell
+apart (a Thue-Morse string of 1,024 units and its complement), so it only brings substrings
+together that are then compared.  What stands for a word or a shingle by itself, `word_hashes`
+and `tuple_hashes`, chains a mixing step instead and has no such strings.
 """
 
 from __future__ import annotations
@@ -60,6 +63,33 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:n]) * powers(INVERSE, n))
 
 
+def tuple_hashes(units: np.ndarray, k: int) -> list[np.ndarray]:
+    """[j - 1]: the hash of the j units from every position on, for j from 1 to k.
+
+    Unit after unit enters a mixing step, so no arithmetic between units can cancel.
+    """
+    out = [mix(units + np.uint64(0x2545F4914F6CDD1D))]
+    for j in range(1, k):
+        out.append(mix(out[-1][: max(0, len(units) - j)] * np.uint64(BASE) + units[j:]))
+    return out
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of every string data[first:last]: the sum of its mixed 8-byte pieces, each with its place."""
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from every place on
+    count = (last - first + 7) >> 3
+    begin = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begin, count)
+    at = np.repeat(first, count) + 8 * place
+    left = np.minimum(np.repeat(last, count) - at, 8).astype(np.uint64)
+    piece = eight[at] & (TOP >> (np.uint64(64) - np.uint64(8) * left))
+    piece = mix(piece ^ mix(place.astype(np.uint64) + np.uint64(BASE)))
+    return mix(np.add.reduceat(piece, begin) + (last - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
 def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     span = 1
     while span * 2 <= w:
@@ -127,7 +157,7 @@ def words_of(texts: list[bytes]) -> tuple[Batch, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     first, last = word_spans(data, starts)
-    hashes = span_hashes(prefix_hashes(data), first, last) if len(first) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, first, last)
     cut = np.searchsorted(first, starts)
     batch = Batch([], np.uint64)
     batch.units, batch.start, batch.length = hashes, cut[:-1], np.diff(cut)

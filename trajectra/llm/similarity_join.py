@@ -12,13 +12,16 @@ agree on segments worth slack + 1 units or more, so at least on one that isn't e
 more than `slack` units of both sets are empty; those few sets also index their prefix (the
 least elements of which linked sets must share one).
 
-Sets that share a key are candidates.  The set of a key that shares most with all others comes
-first; each set is first compared exactly with the first set of the keys that it shares most
-of.  Then rounds compare one pair of sets for each two components that meet in a key, and at
-last, for keys whose sets are still not in one component, all sets of different components,
-after an exact bound from 512-bit sketches and once for all keys that two sets share.  No
-links are lost, and a group of a thousand near copies costs a thousand comparisons.  Copies
-are one set throughout.  A set is named by a 64-bit hash of its elements.
+Sets that share a key are candidates.  Keys with the same sets count as one, with their number
+as its weight, which folds the many keys that a pair of near copies shares.  Of each key the
+most central set (whose keys are shared most) comes first; each set is first compared exactly
+with the first set of the keys that it shares most of.  A round then compares one pair of sets
+for each two components that meet in a key, and at last, for keys whose sets are still not in
+one component, all sets of different components, once for all keys that two sets share.
+Before sets are compared exactly, a bound from parity sketches prunes: every bit in which two
+of them differ stands for an element that only one set has.  No links are lost, and a group of
+a thousand near copies costs a thousand comparisons.  Copies are one set throughout.  A set is
+named by a 64-bit hash of its elements, a word by a hash that chains its letters (see rolling).
 
 Cases: a null text or one without words has an empty set and links with nothing; a text of
 fewer than k words is one shingle; texts of any length are read whole; rows with null or
@@ -37,19 +40,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import chunks, documents, written
+from trajectra.llm.common import broadcast_if_small, chunks, documents, dropped, written
 from trajectra.llm.components import components
-from trajectra.llm.rolling import gram_hashes, mix, prefix_hashes, span_hashes, words_of
+from trajectra.llm.rolling import mix, tuple_hashes, words_of
 
 WORDS, PERCENT = 4, 85
 #: Ratio of the sizes of a band.
 BAND = 1.6
-SKETCH = 8
-#: Rounds that join components by one comparison for each two of them, before all others.
-ROUNDS = 3
+#: 64-bit numbers of a set's parity sketch, and of the sketch folded for joins by key.
+SKETCH, FOLDED = 32, 8
 #: Least keys of a set that tell in the last comparison whether a pair met in a lesser key.
-LOW_KEYS = 64
-BROADCAST_ROWS = 1_000_000
+LOW_KEYS = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -94,15 +95,14 @@ def allocation(level: int, percent: int) -> tuple[int, int, int, int]:
 def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(elements, sizes): the sorted distinct shingle hashes of every text, laid end to end."""
     batch = words_of([t.encode().translate(_LOWER) for t in texts])[0]
-    units = batch.units
-    owner = batch.owner()
-    hashes = gram_hashes(units, k)
-    whole = batch.room()[: len(hashes)] >= k
-    element, doc = hashes[whole], owner[: len(hashes)][whole]
-    short = np.flatnonzero((batch.length > 0) & (batch.length < k))
-    if len(short):
-        own = span_hashes(prefix_hashes(units), batch.start[short], batch.start[short] + batch.length[short])
-        element, doc = np.concatenate([element, own]), np.concatenate([doc, short])
+    grams = tuple_hashes(batch.units, k)
+    owner, room = batch.owner(), batch.room()
+    whole = np.flatnonzero(room >= k)
+    element, doc = grams[-1][whole], owner[whole]
+    for size in range(1, k):  # a shorter text is one shingle
+        short = np.flatnonzero(batch.length == size)
+        element = np.concatenate([element, mix(grams[size - 1][batch.start[short]] + np.uint64(size))])
+        doc = np.concatenate([doc, short])
     order = np.lexsort((element, doc))
     element, doc = element[order], doc[order]
     fresh = np.ones(len(element), bool)
@@ -161,141 +161,207 @@ def signatures(element: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(keys).view(np.int64), np.concatenate(sets)
 
 
+def sketches(element: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Per set, the parity of its number of elements in each of SKETCH * 64 classes, as bits."""
+    width = SKETCH * 64
+    out = []
+    classes = (mix(element) % np.uint64(width)).astype(np.int64)
+    for a, b in zip(np.cumsum(size) - size, np.cumsum(size)):
+        odd = np.bincount(classes[a:b], minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return out
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_key, n, node per row of docs."""
+    """doc_id, text_key, n, node, sketch per row of docs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
             for a, b in chunks(texts):
                 element, size = shingle_sets(texts[a:b], k)
-                yield pd.DataFrame({"id": frame["id"].to_numpy()[a:b], "text_key": frame["text_key"].to_numpy()[a:b], "n": size, "node": names(element, size)})
+                yield pd.DataFrame({"id": frame["id"].to_numpy()[a:b], "text_key": frame["text_key"].to_numpy()[a:b], "n": size, "node": names(element, size), "sketch": sketches(element, size)})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return rows.mapInPandas(run, "id string, text_key long, n long, node long").select(F.col("id").cast("long").alias("doc_id"), "text_key", "n", "node")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), _text_key())
+    facts = rows.mapInPandas(run, "id string, text_key long, n long, node long, sketch array<long>")
+    return facts.select(F.col("id").cast("long").alias("doc_id"), "text_key", "n", "node", "sketch")
+
+
+def _fresh(size: np.ndarray, node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Marks the sets that aren't empty and that the task has not met yet."""
+    out = size > 0
+    for i in np.flatnonzero(out).tolist():
+        name = int(node[i])
+        out[i] = name not in seen
+        seen.add(name)
+    return out
 
 
 def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, node, n: every set's index entries."""
+    """key, node, n: every set's index entries, those of copies once in a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for frame in frames:
             texts = list(dict.fromkeys(frame["text"]))
             for a, b in chunks(texts):
                 element, size = shingle_sets(texts[a:b], k)
+                node = names(element, size)
+                fresh = _fresh(size, node, seen)
+                element, size, node = element[np.repeat(fresh, size)], size[fresh], node[fresh]
                 key, own = signatures(element, size, percent)
-                yield pd.DataFrame({"key": key, "node": names(element, size)[own], "n": size[own].astype(np.int32)})
+                yield pd.DataFrame({"key": key, "node": node[own], "n": size[own].astype(np.int32)})
 
     return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, "key long, node long, n int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, elements, sketch of the wanted text_keys."""
+def _elements(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, elements of the rows of docs that wanted(text_key, id) names."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for frame in frames:
             texts = frame["text"].tolist()
             for a, b in chunks(texts):
                 element, size = shingle_sets(texts[a:b], k)
-                sketch = np.zeros((b - a, SKETCH * 64), np.uint8)
-                sketch[np.repeat(np.arange(b - a), size), (mix(element) % np.uint64(SKETCH * 64)).astype(np.int64)] = 1
-                yield pd.DataFrame({"node": names(element, size), "elements": np.split(element.view(np.int64), np.cumsum(size)[:-1]), "sketch": list(np.packbits(sketch, axis=1).view(np.int64))})
+                node = names(element, size)
+                fresh = _fresh(size, node, seen)
+                sets = np.split(element.view(np.int64), np.cumsum(size)[:-1])
+                yield pd.DataFrame({"node": node[fresh], "elements": [s for s, f in zip(sets, fresh) if f]})
 
-    keys = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    rows = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi")
-    return rows.groupBy("text_key").agg(F.first("text").alias("text")).select("text").mapInPandas(run, "node long, elements array<long>, sketch array<long>").dropDuplicates(["node"])
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", _text_key()).alias("d")
+    w = broadcast_if_small(wanted).alias("w")
+    rows = rows.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.id")), "left_semi")
+    return rows.select("text").mapInPandas(run, "node long, elements array<long>")
 
 
-def _near(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sets of n and m elements with these sketches can reach the similarity.
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    Every bit in which the sketches differ stands for an element that only one set has.
-    """
-    differ = reduce(lambda p, q: p + q, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)])
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
+def _near(x: Column, y: Column, n: Column, m: Column, percent: int, numbers: int = SKETCH) -> Column:
+    """Whether sets of n and m elements with these sketches can reach the similarity."""
+    differ = reduce(lambda p, q: p + q, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(numbers)])
+    return _sizes_fit(n, m, percent) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) whose sets really reach the similarity; sketches first, then elements."""
-    sketches = sets.select("node", "sketch", F.size("elements").alias("n"))
-    near = pairs.join(sketches.toDF("a", "sx", "nx"), "a").join(sketches.toDF("b", "sy", "ny"), "b")
-    near = near.where(_near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent)).select(*pairs.columns)
-    one, two = sets.select("node", "elements").toDF("a", "x"), sets.select("node", "elements").toDF("b", "y")
+
+def _folded(sketch: Column) -> Column:
+    """The parity sketch over fewer classes."""
+    return F.array(*[reduce(lambda p, q: p.bitwiseXOR(q), [sketch[j] for j in range(i, SKETCH, FOLDED)]) for i in range(FOLDED)])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) of sets that reach the similarity: by their sketches, then by their elements."""
+    known = nodes.select("node", "sketch", "n")
+    near = pairs.join(known.toDF("a", "sx", "nx"), "a").join(known.toDF("b", "sy", "ny"), "b")
+    near = written(near.where(_near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent)).select(*pairs.columns), "near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    sets = written(_elements(docs, nodes.join(broadcast_if_small(ends), "node", "left_semi").select("text_key", "id"), k), "elements")
+    # the elements of b move to those of a, which are few: each set travels once
+    one = sets.join(broadcast_if_small(near.select("a").distinct()), F.col("node") == F.col("a")).select("a", F.col("elements").alias("x"))
+    two = sets.join(broadcast_if_small(near), F.col("node") == F.col("b")).select(*near.columns, F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    rows = near.join(one, "a").join(two, "b")
-    return rows.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+    rows = two.join(one, "a").where(100 * common >= percent * (F.size("x") + F.size("y") - common))
+    links = written(rows.select(*pairs.columns), "links")
+    dropped(near, sets)
+    return links
 
 
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with their label, of the keys whose sets are in several components."""
+def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, node, n, weight, central: the sets of every key that several share."""
     per_key = Window.partitionBy("key")
-    return members.join(labels, "node").withColumn("several", F.max("label").over(per_key) != F.min("label").over(per_key)).where("several").drop("several")
+    low = F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))
+    # names are hashes, so the sums of their halves tell sets of sets apart
+    facts = {"least": F.min("node"), "most": F.max("node"), "size": F.count("*"), "high": F.sum(F.shiftrightunsigned("node", 32)), "low": F.sum(low)}
+    index = _index(docs, k, percent).withColumns({c: f.over(per_key) for c, f in facts.items()}).where("least <> most")
+    found = written(index.select("key", "node", "n", (F.col("node") == F.col("least")).alias("first"), F.xxhash64(*facts).alias("sets")), "found")
+    kept = found.where("first").groupBy("sets").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    members = found.join(broadcast_if_small(kept.select("key", "weight")), "key").select("key", "node", "n", "weight").dropDuplicates(["key", "node"])
+    members = written(members, "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    # a set that shares popular keys stands in the middle of its group; it comes first in its keys
+    central = members.join(broadcast_if_small(sizes), "key").groupBy("node").agg(F.sum(F.col("size") * F.col("weight")).alias("central"))
+    out = written(members.join(central, "node"), "members")
+    dropped(found, members)
+    return out
 
 
-def _round(members: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """One pair of sets for each two components that meet in a key beside the key's first one.
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: for every set one that comes first in keys of it, that which shares most of them."""
+    first = members.groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("first")).select("key", F.col("first.node").alias("first"), F.col("first.n").alias("m"))
+    met = members.join(first, "key").where((F.col("node") != F.col("first")) & _sizes_fit(F.col("n"), F.col("m"), percent))
+    shared = met.groupBy("node", "first").agg(F.sum("weight").alias("keys"))
+    return shared.groupBy("node").agg(F.max_by("first", F.struct("keys", "first")).alias("a")).select("a", F.col("node").alias("b"))
 
-    Round 0 takes the most central sets to stand for their components, later ones others.
-    """
-    order = F.struct(-F.col("central") if n == 0 else F.xxhash64(F.lit(n), "node"), F.col("node"))
-    reps = _split(members, labels).groupBy("key", "label").agg(F.min(F.struct(order.alias("o"), "node")).alias("r")).select("key", "label", F.col("r.node").alias("b"), F.col("r.o").alias("o"))
-    first = F.min(F.struct("o", "label", "b")).over(Window.partitionBy("key"))
-    met = reps.withColumn("f", first).where("label <> f.label").select(F.col("f.b").alias("a"), "b", F.col("f.label").alias("la"), F.col("label").alias("lb"))
-    pairs = met.groupBy("la", "lb", "a", "b").agg(F.count("*").alias("keys"))
+
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, weight, central, label, main of the keys whose sets are in several components."""
+    labelled = members.join(labels, "node")
+    several = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("key", "main")
+    return written(labelled.join(several, "key"), "split")
+
+
+def _meetings(split: DataFrame) -> DataFrame:
+    """a, b, la, lb: a pair of sets for each two components that meet in a key beside its first one."""
+    reps = split.groupBy("key", "label").agg(F.max(F.struct("central", "node", "weight")).alias("r")).select("key", "label", F.col("r.central").alias("central"), F.col("r.node").alias("b"), F.col("r.weight").alias("weight"))
+    first = reps.groupBy("key").agg(F.max(F.struct("central", "b", "label")).alias("f")).select("key", F.col("f.b").alias("a"), F.col("f.label").alias("la"))
+    met = reps.withColumnRenamed("label", "lb").join(first, "key").where("lb <> la")
+    pairs = met.groupBy("la", "lb", "a", "b").agg(F.sum("weight").alias("keys"))
     return pairs.groupBy("la", "lb").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb")
 
 
-def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """labels after joining the components (la, lb) of the pairs (a, b) that are similar."""
-    links = _verified(pairs, sets, percent).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return written(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+def _remaining(split: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b, la, lb: all pairs of different components in a key that their folded sketches don't rule out."""
+    keys = split.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+    known = keys.join(nodes.select("node", _folded(F.col("sketch")).alias("sketch")), "node")
+    told = written(split.select("key", "node", "n", "label", "main").join(known, "node"), "told")
+    x, y = told.where("label <> main").alias("x"), told.alias("y")
+    may = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    may &= _near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent, FOLDED)
+    # a pair meets in every key that it shares; it is told by the least of them, where `low` shows it
+    may &= F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")), F.col("x.key")) >= F.col("x.key")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & may)
+    pairs = written(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct(), "pairs")
+    dropped(told)
+    return pairs
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after joining the components (la, lb) of links."""
+    moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    out = written(labels.join(broadcast_if_small(moved), "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    dropped(labels, links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs(doc_id, text); see the module's docstring."""
     facts = written(_facts(docs, k), "facts")
-    per_key = Window.partitionBy("key")
-    index = _index(docs, k, percent)
-    ends = {"least": F.min("node").over(per_key), "most": F.max("node").over(per_key), "size": F.count("*").over(per_key)}
-    found = written(index.withColumns(ends).where("least <> most").select("key", "node", "n", "size"), "members")
-    # a set that shares popular keys stands in the middle of its group; it comes first in its keys
-    central = found.groupBy("node").agg(F.sum("size").alias("central"))
-    first = F.max(F.struct("central", "node", "n")).over(per_key)
-    members = found.select("key", "node", "n").join(central, "node").withColumn("first", first)
-    members = written(members.select("key", "node", "n", "central", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "members")
-
-    def sizes_fit(x: Column, y: Column) -> Column:
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    # one comparison per set to begin with: with the least set of a key that shares most keys with it
-    shared = members.where("node <> first").where(sizes_fit(F.col("n"), F.col("first_n"))).groupBy("node", "first").agg(F.count("*").alias("keys"))
-    stars = written(shared.groupBy("node").agg(F.max_by("first", F.struct("keys", "first")).alias("a")).select("a", F.col("node").alias("b")), "stars")
-    nodes = members.select("node").distinct()
-    wanted = facts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key")
-    sets = written(_sets(docs, wanted, k), "sets")
-    links = written(_verified(stars, sets, percent), "links")
-    labels = written(members.select("node").distinct().join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
-    for n in range(ROUNDS):
-        labels = _merged(labels, _round(members, labels, n), sets, percent)
-    # sets of one key that are in different components yet: compare those outside the key's first component
-    split = _split(members, labels).withColumn("main", F.min("label").over(per_key))
-    own = split.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_set(F.struct("key", "main"))).alias("own"))
-    low = F.slice("own.key", 1, LOW_KEYS).alias("low")
-    sketched = own.join(sets.select("node", "sketch"), "node").select("node", "n", "label", "sketch", low, F.inline("own"))
-    sketched = written(sketched, "split")
-    x, y = sketched.where("label <> main").alias("x"), sketched.alias("y")
-    may = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    may &= _near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent)
-    # a pair meets in every key that it shares; it is told by the least of them, where `low` shows it
-    may &= F.coalesce(F.array_min(F.array_intersect("x.low", "y.low")), F.col("x.key")) >= F.col("x.key")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    labels = _merged(labels, rest, sets, percent)
+    members = _members(docs, k, percent)
+    ids = members.select("node").distinct()
+    row = F.min(F.struct("text_key", F.col("doc_id").alias("id"))).alias("row")
+    nodes = facts.join(broadcast_if_small(ids), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), row)
+    nodes = written(nodes.select("node", "n", "sketch", "row.*"), "nodes")
+    links = _verified(docs, _stars(members, percent), nodes, k, percent)
+    labels = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    dropped(links)
+    split = _split(members, labels)
+    labels = _merged(labels, _verified(docs, _meetings(split), nodes, k, percent))
+    dropped(split)
+    split = _split(members, labels)
+    rest = _remaining(split, nodes, percent)
+    labels = _merged(labels, _verified(docs, rest, nodes, k, percent))
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.join(by_label, "label").select("node", "component_id")
     joined = facts.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = joined.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    dropped(split, rest, members, nodes)
+    return out
 
 
 def op5_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
