@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, similarity_join, substring_seed, substring_suffix, toxicity
+from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, repeats, similarity_join, substring_seed, substring_suffix, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names the operators use inside.
@@ -53,7 +53,7 @@ def shingles(text, k, lower=True):
 
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_similarity_join(spark, k, percent):
-    rows = corpus()
+    rows = corpus() + hard_words()
     sets = [shingles(t, k) for _, t, _, _ in rows]
     root = list(range(len(rows)))
 
@@ -74,6 +74,18 @@ def test_similarity_join(spark, k, percent):
     assert got == want
 
 
+def test_empty_tables(spark):
+    none = table(spark, corpus()).limit(0)
+    assert similarity_join.near_duplicates(none).count() == 0
+    assert substring_seed.drop_repeated_words(none).count() == 0
+    assert substring_suffix.drop_repeated_bytes(none).count() == 0
+    assert mixing.mix(none, F.array("source"))[0].count() == 0
+    assert ogg.media_columns(none).count() == 0
+    assert html_paths.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(none, toxicity.fitted(none, labels)).count() == 0
+
+
 def test_allocations_cover_the_difference():
     for percent in (80, 85):
         for level in range(16):
@@ -81,8 +93,31 @@ def test_allocations_cover_the_difference():
             assert exact + 2 * deletions >= most + 1 + slack and exact + deletions >= 1
 
 
-def test_substring_seed(spark):
-    rows = corpus()
+def thue_morse(n):
+    """Two different words of n letters that a polynomial modulo 2**64 can't tell apart."""
+    flip = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < n:
+        word += word.translate(flip)
+    return word, word.translate(flip)
+
+
+def hard_words():
+    """Rows that differ in one Thue-Morse word each, and share nothing else that is long."""
+    out = []
+    for i, n in enumerate((1024, 4096)):
+        a, b = thue_morse(n)
+        lead, tail = words(12, 3000 + i), words(12, 3100 + i)
+        out += [(200 + 2 * i, " ".join([*lead, a, *tail]), "en", "s"), (201 + 2 * i, " ".join([*lead, b, *tail]), "en", "s")]
+    for i, w in enumerate(thue_morse(1024)):
+        out.append((210 + i, " ".join([w] * 20), "en", "s"))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_substring_seed(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    rows = corpus() + hard_words()
     first = {}
     texts = [(d, WORD.findall(t or "")) for d, t, _, _ in rows]
     for d, w in texts:
@@ -99,8 +134,10 @@ def test_substring_seed(spark):
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
 
 
-def test_substring_suffix(spark):
-    rows = [(d, t if t is None else t + " äöü" * (d or 0), lang, s) for d, t, lang, s in corpus() if d != 5]
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_substring_suffix(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    rows = [(d, t if t is None else t + " äöü" * ((d or 0) % 50), lang, s) for d, t, lang, s in corpus() + hard_words() if d != 5]
     seen = {}
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
     want = []

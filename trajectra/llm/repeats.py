@@ -11,14 +11,20 @@ equal anchors at equal offsets, and only anchors have to meet in a shuffle:
    context stay open;
 3. open anchors fetch their contexts from the documents, meet again, and an exact
    comparison settles each of their windows;
-4. the spans found are joined to the documents and applied.
-
-Copies of an anchor inside one task are folded before the shuffle, so a passage that a
-third of the corpus shares sends a row per task, not a row per document.
+4. an anchor with more than HOT_ROWS open contexts, such as a phrase that many documents
+   use, isn't compared as one group: each of its windows is a row with a 128-bit
+   cryptographic digest of its units, and a plain aggregate, which Spark combines before the
+   shuffle and splits as it likes, finds where each digest stood first;
+5. the spans found are joined to the documents and applied.
+
+Copies of an anchor inside one task are folded before the shuffle, once their units have
+been compared, so a passage that a third of the corpus shares sends a row per task, not a
+row per document.  Between tasks, equal contexts are told by a 62-bit hash over a prime field.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,26 +33,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.llm.common import chunks, written
-from trajectra.llm.rolling import TOP, Batch, gram_hashes, mix, prefix_hashes, span_hashes, winnow
+from trajectra.llm.rolling import TOP, Batch, context_hashes, gram_hashes, mix, winnow
 
 #: Contexts that one exact comparison holds as arrays at a time (groups stay whole).
 GROUP_ROWS = 20_000
+#: Open contexts that an anchor may have to be compared as one group.
+HOT_ROWS = 1_000
 
 
-def _anchors(batch: Batch, ids: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """hash, context hash, document and position of every anchor of a batch."""
+def _anchors(batch: Batch, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """hash, context hash, place in the batch, units of context left and right of every anchor of a batch."""
     reach = window - k
     hashes = gram_hashes(batch.units, k)
     room = batch.room()[: len(hashes)]
     hashes[room < k] = TOP
     owner = batch.owner()[: len(hashes)]
     at = np.flatnonzero(winnow(hashes, reach + 1) & (room >= k) & (batch.length[owner] >= window))
-    doc = owner[at]
-    local = at - batch.start[doc]
-    left, right = np.minimum(local, reach), np.minimum(room[at] - k, reach)
-    context = span_hashes(prefix_hashes(batch.units), at - left, at + k + right)
+    left, right = np.minimum(at - batch.start[owner[at]], reach), np.minimum(room[at] - k, reach)
+    context = context_hashes(batch.units, at - left, at + k + right)
     context ^= mix((left * 4096 + right).astype(np.uint64))
-    return hashes[at].view(np.int64), context.view(np.int64), ids[doc], local.astype(np.int32)
+    return hashes[at], context, at, left, k + right
+
+
+def _agree(units: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether units[a - left : a + right] and units[b - left : b + right] are equal, row by row."""
+    out = np.ones(len(a), dtype=bool)
+    if not len(a):
+        return out
+    around = np.arange(-int(left.max()), int(right.max()))
+    step = max(1, most // len(around))
+    for i in range(0, len(a), step):
+        own = slice(i, i + step)
+        inside = (around >= -left[own, None]) & (around < right[own, None])
+        x, y = (np.where(inside, units[np.clip(p[own, None] + around, 0, len(units) - 1)], 0) for p in (a, b))
+        out[own] = (x == y).all(axis=1)
+    return out
 
 
 def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool) -> DataFrame:
@@ -61,12 +82,22 @@ def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool)
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
             for a, b in chunks(texts):
-                key, context, doc, pos = _anchors(load(texts[a:b]), ids[a:b], window, k)
+                batch = load(texts[a:b])
+                key, context, at, left, right = _anchors(batch, window, k)
+                local = np.searchsorted(batch.start, at, side="right") - 1
+                doc, pos = ids[a:b][local], (at - batch.start[local]).astype(np.int32)
                 order = np.lexsort((pos, doc, context, key))
-                key, context, doc, pos = key[order], context[order], doc[order], pos[order]
+                key, context, at, left, right, doc, pos = (x[order] for x in (key, context, at, left, right, doc, pos))
                 fresh = np.ones(len(key), dtype=bool)
                 fresh[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
                 first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+                again = np.flatnonzero(~fresh)
+                same = (left[again] == left[first[again]]) & (right[again] == right[first[again]])
+                same &= _agree(batch.units, at[again], at[first[again]], left[again], right[again])
+                apart = again[~same]  # hashes that collide
+                context[apart] = ~context[apart]
+                first[apart] = apart
+                key, context = key.view(np.int64), context.view(np.int64)
                 # rows of one doc_id give the same anchor again, which doesn't repeat itself
                 done = (doc > doc[first]) | ((pos > pos[first]) & (not across))
                 spread = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B1) + pos.astype(np.uint64)).view(np.int64)
@@ -76,7 +107,7 @@ def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool)
 
 
 def settled(found: DataFrame, across: bool) -> DataFrame:
-    """Anchors that are repeated (key null) or still open: doc, pos, key."""
+    """Anchors that are repeated (key null) or still open: doc, pos, key, hot."""
     per_key = Window.partitionBy("key", "done")
     per_context = Window.partitionBy("key", "done", "context").orderBy("doc", "pos")
     ranked = found.repartition("key").withColumns(
@@ -85,6 +116,7 @@ def settled(found: DataFrame, across: bool) -> DataFrame:
             "first_pos": F.first("pos").over(per_context),
             "one_context": F.min("context").over(per_key) == F.max("context").over(per_key),
             "one_doc": F.min("doc").over(per_key) == F.max("doc").over(per_key),
+            "hot": F.count("*").over(per_key) > HOT_ROWS,
         }
     )
     later = F.col("doc") > F.col("first_doc")
@@ -92,7 +124,7 @@ def settled(found: DataFrame, across: bool) -> DataFrame:
     still_open = ~F.col("one_context")
     if across:
         still_open &= ~F.col("one_doc")
-    return ranked.where(repeated | still_open).select("doc", "pos", F.when(~repeated, F.col("key")).alias("key"))
+    return ranked.where(repeated | still_open).select("doc", "pos", F.when(~repeated, F.col("key")).alias("key"), "hot")
 
 
 def contexts(docs: DataFrame, open_: DataFrame, cut: Callable, schema: str) -> DataFrame:
@@ -144,7 +176,40 @@ def compared(rows: DataFrame, compare: Callable) -> DataFrame:
     return ordered.mapInPandas(run, "doc long, begin long, end long")
 
 
-def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, compare: Callable, schema: str, window: int, k: int, across: bool) -> DataFrame:
+def hot_spans(docs: DataFrame, open_: DataFrame, slices: Callable, window: int, k: int, across: bool) -> DataFrame:
+    """Spans of the open anchors that are in too many contexts for one group: doc, begin, end.
+
+    slices(texts) makes for each text its length in units and a function of a window's first
+    unit, which gives the window's units as bytes.
+    """
+    asked = open_.groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    joined = docs.join(asked, docs["doc_id"] == asked["doc"]).select("doc", "text", "at")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for a, b in chunks(texts):
+                doc, pos, begin, digest = [], [], [], []
+                for own, at, (length, units) in zip(frame["doc"].tolist()[a:b], frame["at"].tolist()[a:b], slices(texts[a:b])):
+                    for p in at:
+                        for start in range(max(0, p - window + k), min(p, length - window) + 1):
+                            doc.append(own)
+                            pos.append(p)
+                            begin.append(start)
+                            digest.append(hashlib.blake2b(units(start), digest_size=16).digest())
+                yield pd.DataFrame({"doc": np.array(doc, np.int64), "pos": np.array(pos, np.int64), "begin": np.array(begin, np.int64), "digest": digest})
+
+    rows = written(joined.mapInPandas(run, "doc long, pos long, begin long, digest binary"), "windows")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "begin")).alias("first"))
+    later = F.col("doc") > F.col("first.doc")
+    if not across:
+        later |= (F.col("doc") == F.col("first.doc")) & (F.col("begin") > F.col("first.begin"))
+    hits = rows.join(first, "digest").where(later).groupBy("doc", "pos")
+    # all windows of an anchor overlap, so they cover one span
+    return hits.agg(F.min("begin").alias("begin"), (F.max("begin") + window).alias("end")).select("doc", "begin", "end")
+
+
+def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, slices: Callable, compare: Callable, schema: str, window: int, k: int, across: bool) -> DataFrame:
     """Per document with repeats: doc, spans (array of begin and end in units, unmerged).
 
     docs: doc_id (not null) and text (not null).  Spans may reach over the document's ends.
@@ -152,9 +217,10 @@ def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, compare: Call
     reach = window - k
     state = written(settled(anchors(docs, load, window, k, across), across), "anchors")
     open_ = state.where(F.col("key").isNotNull())
-    late = compared(contexts(docs, open_, cut, schema), compare)
+    late = compared(contexts(docs, open_.where("not hot"), cut, schema), compare)
+    hot = hot_spans(docs, open_.where("hot"), slices, window, k, across)
     early = state.where(F.col("key").isNull()).select("doc", (F.col("pos") - reach).cast("long").alias("begin"), (F.col("pos") + window).cast("long").alias("end"))
-    return early.unionByName(late).groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    return early.unionByName(late).unionByName(hot).groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
 
 def covered(begins, ends, length: int) -> np.ndarray:

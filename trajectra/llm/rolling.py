@@ -90,6 +90,39 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return mix(np.add.reduceat(piece, begin) + (last - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+PRIME = (1 << 31) - 1
+#: Bases of the two hashes that `context_hashes` joins.
+BASES = (1_234_577_801, 987_654_337)
+_fields: dict[int, np.ndarray] = {}
+
+
+def _field_powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo PRIME."""
+    table = _fields.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        table = np.concatenate([table, table * np.uint64(pow(base, len(table), PRIME)) % np.uint64(PRIME)])
+    _fields[base] = table
+    return table[:n]
+
+
+def context_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of units[start:end] by polynomials over a prime field, one for each of BASES.
+
+    Unlike a sum modulo 2**64 it has no long strings that cancel.  Spans of up to 2**24 units.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    prime = np.uint64(PRIME)
+    for base, shift in zip(BASES, (0, 32)):
+        own = units.astype(np.uint64)
+        if units.dtype.itemsize > 4:  # each base reads its half of a wide unit
+            own = (own >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
+        own = (own + np.uint64(1)) % prime * _field_powers(base, len(units)) % prime
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own)])
+        value = (prefix[end] - prefix[start]) % prime * _field_powers(pow(base, -1, PRIME), len(units) + 1)[start] % prime
+        out = (out << np.uint64(31)) + value
+    return mix(out)
+
+
 def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     span = 1
     while span * 2 <= w:

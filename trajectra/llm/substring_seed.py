@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,14 @@ def _cutter(window: int, k: int):
     return cut
 
 
+def _slices(texts: list[str], window: int):
+    for text in texts:
+        data = text.encode()
+        _, first, last = words_of([data])
+        own = [data[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        yield len(own), lambda start, own=own: b" ".join(own[start : start + window])
+
+
 def _classes(previous: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Number the pairs (previous class, next unit); -1 where the class or the unit is missing."""
     out = np.full(len(previous), -1, dtype=np.int64)
@@ -108,7 +117,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED)
     """RESULT per row of docs(doc_id, text); see the module's docstring."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = plain.where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(known, _load, _cutter(window, seed), _comparer(window, seed), "words array<long>, left int", window, seed, across=True)
+    spans = repeated_spans(known, _load, _cutter(window, seed), partial(_slices, window=window), _comparer(window, seed), "words array<long>, left int", window, seed, across=True)
     rows = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "begins", "ends")
     nulls = plain.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("begins"), F.lit(None).cast("array<long>").alias("ends"))
 

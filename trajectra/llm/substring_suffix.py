@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,12 @@ def _cutter(window: int, k: int):
     return cut
 
 
+def _slices(texts: list[str], window: int):
+    for text in texts:
+        data = text.encode()
+        yield len(data), lambda start, data=data: data[start : start + window]
+
+
 class Suffixes:
     """Byte strings as rows of a matrix, with prefix polynomial hashes for comparing them."""
 
@@ -173,7 +180,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     """RESULT per row of docs(doc_id, text); see the module's docstring."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = plain.where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(known, _load, _cutter(window, anchor), _comparer(window, anchor), "around binary, left int", window, anchor, across=False)
+    spans = repeated_spans(known, _load, _cutter(window, anchor), partial(_slices, window=window), _comparer(window, anchor), "around binary, left int", window, anchor, across=False)
     rows = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "begins", "ends")
     nulls = plain.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("begins"), F.lit(None).cast("array<long>").alias("ends"))
 
