@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -219,16 +220,63 @@ def test_ogg_round_trip_and_damage(spark):
     assert sorted((str(r[0]), *r[1:5]) for r in got) == sorted(want)
 
 
+def plain_spans(text):
+    """The base spans as the patterns tell them, each by a plain search."""
+    out = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in re.sub("[^0-9]", "", m[0])]
+            double = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            fits = (True, max(map(int, m[0].split("."))) <= 255 if kind == 1 else None, 12 <= len(digits) <= 19 and double % 10 == 0, 9 <= len(digits) <= 15)
+            if fits[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
 def test_base_spans_by_plain_search():
-    text = "a.b+c@x-y.example.com, 10.0.0.256 1.2.3.4.5, 4111 1111 1111 1111 +49 (30) 123-4567x @ @@ a@b z@q.r@s.t é+1 2"
-    want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    got = pii.base_spans(text)
-    assert [s for s in got if s[1] == 0] == want
-    assert [(k, text[a:b]) for a, k, b in got if k] == [(1, "1.2.3.4"), (2, "4111 1111 1111 1111"), (3, "+49 (30) 123-4567")]
+    r = random.Random(1)
+    parts = ["1", "25", "256", "4111111111111111", "4111 1111", "-", ".", ".", "@", "a", "b.c", "+", " ", "(", ") ", "001.", "2", "é", "\n", "+49 30 1234567", "1.2.3.4"]
+    for n in range(4000):
+        text = "".join(r.choice(parts if n % 2 else "0123456789...  -+@ab()") for _ in range(r.randrange(50)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    text = "x.y@z.org, 10.0.0.255 or 4111 1111 1111 1111; +49 (30) 1234567."
+    assert pii.base_spans(text) == plain_spans(text) and [k for _, k, _ in plain_spans(text)] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("piece", ["1", "1.", "a@", "a@b.", "+1", "+1-", "1 ", "+1 x", "a"])
+def test_base_spans_of_long_runs(piece):
+    text = piece * (300_000 // len(piece))
+    began = time.time()
+    pii.base_spans(text)
+    assert time.time() - began < 3
+
+
+def test_tagger_adds_spans_in_forms_the_patterns_miss():
+    """Recall and precision on strings that were not trained on, in texts that were not trained on."""
+
+    def prose(n, seed):
+        r = random.Random(seed)
+        return ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randrange(1, 9))) + r.choice(["", "", "", ",", "."]) for _ in range(n)]
+
+    model = pii.trained([" ".join(prose(200, 4000 + i)) for i in range(40)])
+    random_, texts, gold = np.random.default_rng(991), [], []
+    for i in range(500):
+        own = prose(60, 5000 + i)
+        put, tag = pii._written(random_)
+        lead = " ".join(own[:30]) + " "
+        texts.append(lead + put + " " + " ".join(own[30:]))
+        gold.append((len(lead), tag - 1, len(lead) + len(put)) if tag else None)
+    hidden = added = right = 0
+    for g, (base, spans) in zip(gold, pii.spans_of(model, texts)):
+        assert set(base) <= set(spans)
+        new = [s for s in spans if s not in base]
+        added, right = added + len(new), right + sum(s == g for s in new)
+        hidden += bool(g) and g not in base
+    assert hidden > 50 and right >= 0.9 * hidden and right >= 0.95 * added
 
 
 def test_personal_data(spark):
-    rows = corpus() + [(50, "mail bob.5@mail.example.com or +1 (269) 555-3296 now " + "and so on " * 200 + "4111111111111111", "en", "s1")]
+    rows = corpus() + [(51, "7" * 20_000 + "." + "1" * 5_000 + ".2.3", "en", "s1"), (50, "mail bob.5@mail.example.com or +1 (269) 555-3296 now " + "and so on " * 200 + "4111111111111111", "en", "s1")]
     got = {str(r["doc_id"]): r for r in pii.personal_data(table(spark, rows)).collect()}
     assert len(pii.personal_data(table(spark, rows).limit(0)).collect()) == 0
     r = got["50"]
@@ -243,7 +291,7 @@ def test_windows_are_reconciled():
     model = pii.trained(["some plain words here and there, nothing else to see. "] * 3, windows=600, epochs=6)
     text = "plain words " * 38 + "+1 (269) 555-3296" + " plain words" * 60
     whole, cut = pii.tagged(model, [text], 4096, 32)[0], pii.tagged(model, [text], 480, 64)[0]
-    assert [s for s in whole if s[1] == 3] == [s for s in cut if s[1] == 3]
+    assert any(k == 3 and 456 <= a and b == 473 for a, k, b in whole) and [s for s in whole if s[1] == 3] == [s for s in cut if s[1] == 3]
 
 
 def test_toxicity(spark):

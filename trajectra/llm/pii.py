@@ -35,13 +35,15 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, OVERLAP = 512, 32
 #: Windows that are decoded at a time.
 BLOCK = 1024
-#: Documents of the corpus that the tagger's training texts are taken from at most, and characters of each.
+#: Documents of the corpus that the tagger's training stretches are taken from at most, and the
+#: longest stretch of each; it begins at a hashed place of the whole text.
 SAMPLE, SAMPLE_CHARS = 256, 4000
-TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS = 2400, 72, 14
+TRAIN_WINDOWS, TRAIN_LENGTH, EPOCHS = 3600, 72, 14
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What an added span has to look like, in full.
@@ -66,17 +68,34 @@ def _digits(text: str) -> str:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every base match, by start and kind."""
+    """(start, kind, end) of every base match, by start and kind; in time proportional to the text."""
     out = []
     at = text.find("@")
     if at >= 0:
         out += [(m.start(), 0, m.end()) for m in _around(EMAIL, text, at)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))] if "." in text else []
-    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+    if "." in text:
+        out += [(m.start(), 1, m.end()) for m in _ips(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end()))
     out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15] if "+" in text else []
     return sorted(out)
 
 
+def _ips(text: str) -> Iterator[re.Match]:
+    """The matches of IP, each looked for once from where a run of digits begins.
+
+    A match begins at the first digit of its run or, after a match, right behind it, so no
+    run of digits is read more than twice.
+    """
+    at = 0
+    while run := DIGITS.search(text, at):
+        m = IP.match(text, run.start()) if text.startswith(".", run.end()) else None
+        if m:
+            yield m
+        at = m.end() if m else run.end()
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -113,7 +132,7 @@ def _written(random: np.random.Generator) -> tuple[str, int]:
     if kind == 0:
         local = pick(word(), f"{word()}.{num(2)}", f"{word()}_{word()}", f"{word()}.{word()}", f"{word()}+{word()}")
         host = f"{pick(word(), 'mail' + num(1))}{pick('', '.' + word())}"
-        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "))
+        at, dot = pick(("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "))
         return f"{local}{at}{host.replace('.', dot)}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'es')}", 1
     if kind == 1:
         return pick(".", ".", ".", "[.]").join(str(int(x)) for x in random.integers(1, 256, 4)), 2
@@ -220,9 +239,14 @@ def spans_of(model: Tagger, texts: list[str]) -> Iterator[tuple[list, list]]:
 
 
 def _fitted(docs: DataFrame, sample: int) -> Tagger:
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = known.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit(17), "doc_id").alias("u")).orderBy("u", "doc_id", "text").limit(sample).collect()
-    return trained([r["text"] for r in rows])
+    """A tagger fitted on a stretch of each of `sample` documents; only these stretches reach the driver."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    drawn = known.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample)
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64(F.lit(23), "doc_id"), room.cast("long")).cast("int") + 1
+    cut = known.join(F.broadcast(drawn), "doc_id").select("doc_id", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = cut.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return trained([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def _shown(spans: list[tuple[int, int, int]]) -> str:
