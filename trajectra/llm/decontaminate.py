@@ -140,21 +140,22 @@ def op9_decontaminate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: DuckDB's rows for op9: every window that aligns a shared shingle, compared exactly.
+#: DuckDB's rows for op9: every item-sized window that holds a shingle of an item, compared exactly.
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
-ds AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM dp),
-bp AS (SELECT item_id, len(w) AS size, w, unnest(range(0, len(w) - 4)) AS q FROM b WHERE len(w) >= 5),
-bs AS (SELECT item_id, size, q, array_to_string(w[q + 1:q + 5], ' ') AS s FROM bp),
-wins AS (SELECT DISTINCT doc_id, size, greatest(p - q, 0) AS start FROM ds JOIN bs USING (s)),
-ws AS (SELECT doc_id, size, start, s, count(*) AS t FROM wins JOIN ds USING (doc_id) WHERE p >= start AND p <= start + size - 5 GROUP BY ALL),
-wt AS (SELECT doc_id, size, start, sum(t * length(s)) AS total FROM ws GROUP BY ALL),
-bt AS (SELECT item_id, size, s, count(*) AS t FROM bs GROUP BY ALL),
+bp AS (SELECT item_id, len(w) AS size, least(len(w), 5) AS k, w, unnest(range(0, len(w) - least(len(w), 5) + 1)) AS q FROM b WHERE len(w) > 0),
+bs AS (SELECT item_id, size, k, q, array_to_string(w[q + 1:q + k], ' ') AS s FROM bp),
+dp AS (SELECT doc_id, k, w, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k),
+ds AS (SELECT doc_id, k, p, array_to_string(w[p + 1:p + k], ' ') AS s FROM dp),
+sh AS (SELECT DISTINCT doc_id, k, size, p FROM ds JOIN (SELECT DISTINCT k, size, s FROM bs) USING (k, s)),
+wins AS (SELECT DISTINCT doc_id, k, size, unnest(range(greatest(p - size + k, 0), p + 1)) AS start FROM sh),
+ws AS (SELECT doc_id, k, size, start, s, count(*) AS t FROM wins JOIN ds USING (doc_id, k) WHERE p >= start AND p <= start + size - k GROUP BY ALL),
+wt AS (SELECT doc_id, k, size, start, sum(t * length(s)) AS total FROM ws GROUP BY ALL),
+bt AS (SELECT item_id, k, size, s, count(*) AS t FROM bs GROUP BY ALL),
 it AS (SELECT item_id, sum(t * length(s)) AS total FROM bt GROUP BY ALL),
-c AS (SELECT doc_id, item_id, start, ws.size, sum(length(s) * least(ws.t, bt.t)) AS common FROM ws JOIN bt USING (size, s) GROUP BY ALL),
-v AS (SELECT doc_id, item_id, start, common / (wt.total + it.total - common) AS sim FROM c JOIN wt USING (doc_id, size, start) JOIN it USING (item_id)),
+c AS (SELECT doc_id, item_id, start, k, ws.size, sum(length(s) * least(ws.t, bt.t)) AS common FROM ws JOIN bt USING (k, size, s) GROUP BY ALL),
+v AS (SELECT doc_id, item_id, start, common / (wt.total + it.total - common) AS sim FROM c JOIN wt USING (doc_id, k, size, start) JOIN it USING (item_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS z FROM v WHERE sim >= 0.8)
 SELECT doc_id, item_id, round(sim, 6) AS similarity, start::INTEGER AS start FROM r WHERE z = 1
 """
