@@ -32,7 +32,7 @@ it); an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -51,6 +51,8 @@ BAND = 1.6
 SKETCH, FOLDED = 32, 8
 #: Least keys of a set that tell in the last comparison whether a pair met in a lesser key.
 LOW_KEYS = 16
+#: Index entries up to which tables of their keys or sets are broadcast.
+FEW = 2_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -202,7 +204,7 @@ def _fresh(size: np.ndarray, node: np.ndarray, seen: set[int]) -> np.ndarray:
 
 
 def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, node, n: every set's index entries, those of copies once in a task."""
+    """key, node: every set's index entries, those of copies once in a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -214,9 +216,9 @@ def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 fresh = _fresh(size, node, seen)
                 element, size, node = element[np.repeat(fresh, size)], size[fresh], node[fresh]
                 key, own = signatures(element, size, percent)
-                yield pd.DataFrame({"key": key, "node": node[own], "n": size[own].astype(np.int32)})
+                yield pd.DataFrame({"key": key, "node": node[own]})
 
-    return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, "key long, node long, n int")
+    return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, "key long, node long")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -255,11 +257,16 @@ def _folded(sketch: Column) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) of sets that reach the similarity: by their sketches, then by their elements."""
-    known = nodes.select("node", "sketch", "n")
-    near = pairs.join(known.toDF("a", "sx", "nx"), "a").join(known.toDF("b", "sy", "ny"), "b")
-    near = written(near.where(_near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent)).select(*pairs.columns), "near")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    """The pairs (a, b, ...) of sets that reach the similarity: by folded and whole sketches, then by elements."""
+    near = pairs
+    for sketch, numbers in ((_folded(F.col("sketch")), FOLDED), (F.col("sketch"), SKETCH)):
+        known = nodes.select("node", sketch.alias("sketch"), "n")
+        if near is not pairs:  # few are left: their sets alone move
+            known = known.join(broadcast_if_small(ends), "node", "left_semi")
+        both = near.join(known.toDF("a", "sx", "nx"), "a").join(known.toDF("b", "sy", "ny"), "b")
+        last, near = near, written(both.where(_near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), percent, numbers)).select(*pairs.columns), "near")
+        dropped(*[last] if last is not pairs else [])
+        ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     sets = written(_elements(docs, nodes.join(broadcast_if_small(ends), "node", "left_semi").select("text_key", "id"), k), "elements")
     # the elements of b move to those of a, which are few: each set travels once
     one = sets.join(broadcast_if_small(near.select("a").distinct()), F.col("node") == F.col("a")).select("a", F.col("elements").alias("x"))
@@ -271,45 +278,48 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, perce
     return links
 
 
-def _members(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, node, n, weight, central: the sets of every key that several share."""
+def _index_shared(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, node, weight: the sets of every key that several share; keys with the same sets are folded."""
     per_key = Window.partitionBy("key")
-    low = F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))
     # names are hashes, so the sums of their halves tell sets of sets apart
-    facts = {"least": F.min("node"), "most": F.max("node"), "size": F.count("*"), "high": F.sum(F.shiftrightunsigned("node", 32)), "low": F.sum(low)}
-    index = _index(docs, k, percent).withColumns({c: f.over(per_key) for c, f in facts.items()}).where("least <> most")
-    found = written(index.select("key", "node", "n", (F.col("node") == F.col("least")).alias("first"), F.xxhash64(*facts).alias("sets")), "found")
+    dealt = _index(docs, k, percent).repartition("key").withColumns({"high": F.shiftrightunsigned("node", 32), "low": F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))})
+    facts = {"least": F.min("node"), "most": F.max("node"), "size": F.count("*"), "highs": F.sum("high"), "lows": F.sum("low")}
+    shared = dealt.withColumns({c: f.over(per_key) for c, f in facts.items()}).where("least <> most")
+    found = written(shared.select("key", "node", (F.col("node") == F.col("least")).alias("first"), F.xxhash64(*facts).alias("sets")), "found")
     kept = found.where("first").groupBy("sets").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    members = found.join(broadcast_if_small(kept.select("key", "weight")), "key").select("key", "node", "n", "weight").dropDuplicates(["key", "node"])
-    members = written(members, "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    # a set that shares popular keys stands in the middle of its group; it comes first in its keys
-    central = members.join(broadcast_if_small(sizes), "key").groupBy("node").agg(F.sum(F.col("size") * F.col("weight")).alias("central"))
-    out = written(members.join(central, "node"), "members")
-    dropped(found, members)
+    out = written(found.join(broadcast_if_small(kept.select("key", "weight")), "key").select("key", "node", "weight").dropDuplicates(["key", "node"]), "shared")
+    dropped(found)
     return out
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
+def _members(shared: DataFrame, nodes: DataFrame, small: Callable) -> DataFrame:
+    """key, node, n, weight, central: shared with what the comparisons need of each set."""
+    sizes = shared.groupBy("key").agg(F.count("*").alias("size"))
+    # a set that shares popular keys stands in the middle of its group; it comes first in its keys
+    central = shared.join(small(sizes), "key").groupBy("node").agg(F.sum(F.col("size") * F.col("weight")).alias("central"))
+    return written(shared.join(small(central.join(small(nodes.select("node", "n")), "node")), "node"), "members")
+
+
+def _stars(members: DataFrame, percent: int, small: Callable) -> DataFrame:
     """a, b: for every set one that comes first in keys of it, that which shares most of them."""
     first = members.groupBy("key").agg(F.max(F.struct("central", "node", "n")).alias("first")).select("key", F.col("first.node").alias("first"), F.col("first.n").alias("m"))
-    met = members.join(first, "key").where((F.col("node") != F.col("first")) & _sizes_fit(F.col("n"), F.col("m"), percent))
+    met = members.join(small(first), "key").where((F.col("node") != F.col("first")) & _sizes_fit(F.col("n"), F.col("m"), percent))
     shared = met.groupBy("node", "first").agg(F.sum("weight").alias("keys"))
     return shared.groupBy("node").agg(F.max_by("first", F.struct("keys", "first")).alias("a")).select("a", F.col("node").alias("b"))
 
 
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _split(members: DataFrame, labels: DataFrame, small: Callable) -> DataFrame:
     """key, node, n, weight, central, label, main of the keys whose sets are in several components."""
-    labelled = members.join(labels, "node")
+    labelled = members.join(small(labels), "node")
     several = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("key", "main")
-    return written(labelled.join(several, "key"), "split")
+    return written(labelled.join(small(several), "key"), "split")
 
 
-def _meetings(split: DataFrame) -> DataFrame:
+def _meetings(split: DataFrame, small: Callable) -> DataFrame:
     """a, b, la, lb: a pair of sets for each two components that meet in a key beside its first one."""
     reps = split.groupBy("key", "label").agg(F.max(F.struct("central", "node", "weight")).alias("r")).select("key", "label", F.col("r.central").alias("central"), F.col("r.node").alias("b"), F.col("r.weight").alias("weight"))
-    first = reps.groupBy("key").agg(F.max(F.struct("central", "b", "label")).alias("f")).select("key", F.col("f.b").alias("a"), F.col("f.label").alias("la"))
-    met = reps.withColumnRenamed("label", "lb").join(first, "key").where("lb <> la")
+    first = split.groupBy("key").agg(F.max(F.struct("central", "node", "label")).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.label").alias("la"))
+    met = reps.withColumnRenamed("label", "lb").join(small(first), "key").where("lb <> la")
     pairs = met.groupBy("la", "lb", "a", "b").agg(F.sum("weight").alias("keys"))
     return pairs.groupBy("la", "lb").agg(F.max(F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb")
 
@@ -341,18 +351,20 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs(doc_id, text); see the module's docstring."""
     facts = written(_facts(docs, k), "facts")
-    members = _members(docs, k, percent)
-    ids = members.select("node").distinct()
+    shared = _index_shared(docs, k, percent)
+    few = shared.limit(FEW + 1).count() <= FEW
+    small = lambda df: F.broadcast(df) if few else df  # noqa: E731  (tables with a row per key or per set of shared)
     row = F.min(F.struct("text_key", F.col("doc_id").alias("id"))).alias("row")
-    nodes = facts.join(broadcast_if_small(ids), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), row)
+    nodes = facts.join(small(shared.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), row)
     nodes = written(nodes.select("node", "n", "sketch", "row.*"), "nodes")
-    links = _verified(docs, _stars(members, percent), nodes, k, percent)
+    members = _members(shared, nodes, small)
+    links = _verified(docs, _stars(members, percent, small), nodes, k, percent)
     labels = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    dropped(links)
-    split = _split(members, labels)
-    labels = _merged(labels, _verified(docs, _meetings(split), nodes, k, percent))
+    dropped(links, shared)
+    split = _split(members, labels, small)
+    labels = _merged(labels, _verified(docs, _meetings(split, small), nodes, k, percent))
     dropped(split)
-    split = _split(members, labels)
+    split = _split(members, labels, small)
     rest = _remaining(split, nodes, percent)
     labels = _merged(labels, _verified(docs, rest, nodes, k, percent))
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
