@@ -332,6 +332,49 @@ def test_html_keeps_all_of_an_article():
         assert text.startswith("Paragraph 0") and "Paragraph 13" in text and "Buy" not in text
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} tells, at some length, of one thing; then of another.</p>" for i in range(14))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "entry form-wide", "post header-fixed", "cookie-recipes", "share-price"])
+def test_html_names_of_what_surrounds_an_article(name):
+    comments = "".join(f"<p>I say {i}, so, really. Yes.</p>" for i in range(10))
+    text = html_paths.extracted(f"<body><nav>Menu</nav><div class='{name}'>{ARTICLE}</div><div class=sidebar>Buy, now. Yes.</div><div class=comments>{comments}</div></body>")
+    assert text.startswith("Paragraph 0") and text.endswith("another.") and text.count("\n\n") == 13
+
+
+@pytest.mark.parametrize("name", ["notice-work", "related-work", "widget-work"])
+def test_html_names_inside_an_article(name):
+    text = html_paths.extracted(f"<body><article>{ARTICLE}<p class='{name}'>This one too, of course.</p><div class='{name}'><p>And this, too.</p></div><div class=cookie-notice>Not this.</div></article></body>")
+    assert text.endswith("of course.\n\nAnd this, too.")
+
+
+@pytest.mark.parametrize("piece", ["<div class=a><p>Text, here.", "<x>", "<p>", "<head>", "</x>", "<ul><li>", "<a href='", "<table><tr><td>", "<p title=\"", "<!--", "<script>"])
+def test_html_of_deep_and_broken_pages(piece):
+    began = time.time()
+    html_paths.extracted(piece * 50_000 + "the end")
+    assert time.time() - began < 20
+
+
+def test_path_ratios_by_plain_sums():
+    html = f"<body><ul><li><a href=x>One</a><li>Two.</ul><div class=x>{ARTICLE}</div><div class=y><p>Short.</p>tail, of it</div></body>"
+    page = html_paths.Page(html)
+
+    def path(e):
+        return (path(page.parent[e]) if e else ()) + ((page.tag[e], page.path[e]),)
+
+    per = defaultdict(list)
+    for e, text, plain in page.blocks:
+        per[path(e)].append((plain, len(re.findall(r"[.,;:!?]", text)) if plain else 0))
+    ratios = [[sum(v[k] for v in per[path(e)]) / len(per[path(e)]) for k in (0, 1)] for e, _, _ in page.blocks]
+    weights = [np.exp(-(d**2) / 2) for d in range(-3, 4)]
+    want = []
+    for i in range(len(ratios)):
+        near = [ratios[min(max(i + d, 0), len(ratios) - 1)] for d in range(-3, 4)]
+        length, marks = (sum(w * n[k] for w, n in zip(weights, near)) / sum(weights) for k in (0, 1))
+        want.append(length * (marks + 0.01))
+    assert np.allclose(html_paths.path_ratios(page), want)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Hi, you.</p>", 9), (None, None, None, 9), (1, "u", "", 9)], "page_id long, url string, html string, n_chars long")
     assert sorted(r["text"] for r in html_paths.main_text(pages).collect()) == ["", "", "Hi, you."]

@@ -1,13 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
 Operator: `main_text`.  A page becomes a sequence of text blocks, each with the path of
-elements from the root to it.  Per path, text length and punctuation outside links are summed
-and divided by its blocks (the two path ratios).  Both ratios are smoothed along the page with
-a Gaussian window and multiplied; blocks whose fused ratio reaches the page's standard
-deviation are content, unless their path passes an element that names itself furniture
-(FURNITURE) and doesn't hold most of the page's text.  The content marks the page's main
-element: the innermost section that holds all of it.  All blocks of that element outside furniture are the text, so short
-paragraphs and headings of the article are kept.
+elements (with their names) from the root to it.  Per path, text length and punctuation
+outside links are summed and divided by its blocks (the two path ratios).  Both ratios are
+smoothed along the page with a Gaussian window and multiplied; blocks whose fused ratio
+reaches the page's standard deviation are content.  The content marks the page's main
+element: the innermost section that holds all of it (or an article around that).  All blocks
+of that element outside furniture are the text, so short paragraphs and headings of the
+article are kept.
+
+Furniture are elements whose tag says so (FURNITURE_TAGS) and elements that are named so,
+unless they hold most of the page's text: a name tells nothing of what surrounds the article.
+A name counts in full if all its words are furniture or plain parts of a page (FURNITURE,
+PLAIN: cookie-notice, main-nav).  One with other words too (share-price, no-sidebar) counts
+for a container outside an article only, and never beside a word for content (CONTENT).
 
 Cases: a null or empty html, or a page without text, gives an empty text; unclosed and stray
 tags are repaired as browsers do for paragraphs, list items and cells; pages of any length
@@ -32,107 +38,171 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SECTIONS = {"html", "body", "main", "article", "section", "div", "td", "tr", "tbody", "table", "center"}
+LISTS = {"ul", "ol", "dl", "nav", "aside", "footer", "header", "form", "blockquote"}
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog"}
 FURNITURE = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "form", "header", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/A-Za-z][^<>]*>?|[^<]+|<""", re.S)
+PLAIN = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "global", "group", "holder", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "primary", "reader",
+    "right", "row", "secondary", "section", "site", "slot", "text", "title", "top", "user", "wrap", "wrapper",
+}
+CONTENT = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
+#: Words that turn the name they stand before around, or make it a state of something else.
+ASIDE = {"has", "no", "non", "not", "with", "without"}
+
+_TOKEN = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)(%s)>|<[/A-Za-z][^<>]*>?|[^<]+|<"""
+TOKEN = re.compile(_TOKEN % r"""(?:[^>"']|"[^"]*"|'[^']*')*+""", re.S)
+#: For what follows a tag that no > closes outside quotes: there quotes hide nothing.
+BROKEN = re.compile(_TOKEN % "[^<>]*", re.S)
+CAMEL = re.compile(r"([a-z])([A-Z])")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»\"“”()]")
 SIGMA = 1.0
 
 
-class Element:
-    __slots__ = ("name", "label", "furniture", "named", "parent", "mass", "plain")
-
-    def __init__(self, name: str, attributes: str, parent: Element | None):
-        words = [w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(found)).lower()) if w] if attributes else []
-        self.name, self.parent, self.mass, self.plain = name, parent, 0, 0
-        self.label = f"{parent.label}/{name}" if parent else name
-        if words:
-            self.label += "." + ".".join(words)
-        inside = any(e.name in ("article", "main") for e in self.up()) if name == "header" else True
-        self.furniture = bool(parent and parent.furniture) or name in FURNITURE_TAGS or not inside or bool(attributes and HIDDEN.search(attributes))
-
-        self.named = bool(FURNITURE.intersection(words)) and name not in ("html", "body")
-
-    def up(self) -> Iterator[Element]:
-        at: Element | None = self
-        while at:
-            yield at
-            at = at.parent
-
-
-def blocks(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, characters outside links) of every text block, in page order."""
-    out: list[tuple[Element, str, int]] = []
-    root = at = Element("html", "", None)
-    pieces: list[tuple[str, bool]] = []
-    links, pos = 0, 0
-
-    def flush() -> None:
-        if pieces:
-            text = " ".join("".join(p for p, _ in pieces).split())
-            if text:
-                out.append((at, text, sum(len(p) for p, linked in pieces if not linked)))
-            pieces.clear()
-
-    while m := TOKEN.match(page, pos):
-        pos = m.end()
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            pieces.append((entities.unescape(token), links > 0))
-            continue
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if name in RAW:
-            if not m[1]:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, pos)
-                if name != "head":
-                    pos = end.end() if end else len(page)
-                elif end:
-                    pos = end.end()
-            continue
-        if name in INLINE:
-            if name == "a":
-                links = max(0, links - 1) if m[1] else 1
-            elif name in ("br", "img", "wbr"):
-                pieces.append((" ", False))
-            continue
+def named(attributes: str) -> tuple[str, int]:
+    """The words of an element's names, and how far they say furniture: 0 no, 1 in part, 2 in full."""
+    words, strength, content = [], 0, False
+    for found in NAMES.findall(attributes):
+        for name in "".join(found).split():
+            own = [w for w in re.split(r"[^a-z]+", CAMEL.sub(r"\1 \2", name).lower()) if w]
+            words += own
+            content |= bool(own) and CONTENT.issuperset(own)
+            if FURNITURE.intersection(own) and not ASIDE.intersection(own):
+                strength = max(strength, 2 if all(w in FURNITURE or w in PLAIN for w in own) else 1)
+    return ".".join(words), min(strength, 0 if content and strength < 2 else 2)
+
+
+class Page:
+    """The elements of a page, parents before their children, and its text blocks."""
+
+    def __init__(self, html: str):
+        self.tag, self.parent = ["html"], [0]
+        self.path, self.hard, self.soft, self.article = [0], [False], [0], [False]
+        #: (element, text, characters outside links) in page order
+        self.blocks: list[tuple[int, str, int]] = []
+        self._paths: dict[tuple, int] = {}
+        self._read(html)
+
+    def _element(self, name: str, attributes: str, parent: int) -> int:
+        words, strength = named(attributes) if attributes else ("", 0)
+        inside = self.article[parent]
+        hidden = bool(attributes and HIDDEN.search(attributes))
+        self.hard.append(self.hard[parent] or name in FURNITURE_TAGS or hidden or name == "header" and not inside)
+        # in part a name counts for containers outside an article
+        partly = name in SECTIONS or name in LISTS
+        self.soft.append(0 if name == "body" else strength if strength == 2 or partly and not inside else 0)
+        self.tag.append(name)
+        self.parent.append(parent)
+        self.path.append(self._paths.setdefault((self.path[parent], name, words), len(self._paths) + 1))
+        self.article.append(inside or name in ("article", "main"))
+        return len(self.tag) - 1
+
+    def _read(self, html: str) -> None:
+        pieces: list[tuple[str, bool]] = []
+        open_ = defaultdict(int)  # names of the open elements
+        unclosed: set[str] = set()
+        at, links, pos = 0, 0, 0
+
+        def flush() -> None:
+            if pieces:
+                text = " ".join("".join(p for p, _ in pieces).split())
+                if text:
+                    self.blocks.append((at, text, sum(len(p) for p, linked in pieces if not linked)))
+                pieces.clear()
+
+        def leave(to: int) -> int:
+            """`to`, after closing all elements below it."""
+            e = at
+            while e != to:
+                open_[self.tag[e]] -= 1
+                e = self.parent[e]
+            return to
+
+        token_at = TOKEN
+        while m := token_at.match(html, pos):
+            pos = m.end()
+            token = m[0]
+            if token[0] != "<" or token == "<":
+                pieces.append((entities.unescape(token), links > 0))
+                continue
+            name = (m[2] or "").lower()
+            if not name:
+                if token[1] not in "!?":
+                    token_at = BROKEN
+                continue
+            if name in RAW:
+                if not m[1]:
+                    end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, pos)
+                    if end:
+                        pos = end.end()
+                    else:
+                        unclosed.add(name)
+                        pos = pos if name == "head" else len(html)
+                continue
+            if name in INLINE:
+                if name == "a":
+                    links = max(0, links - 1) if m[1] else 1
+                elif name in ("br", "img", "wbr"):
+                    pieces.append((" ", False))
+                continue
+            flush()
+            links = 0
+            if name in VOID:
+                continue
+            if m[1]:
+                if open_[name]:
+                    e = at
+                    while self.tag[e] != name:
+                        e = self.parent[e]
+                    at = leave(self.parent[e])
+                continue
+            if name == "html" and self.tag[at] in ("html", "body"):
+                continue
+            closes = CLOSES.get(name, ())
+            if open_["p"] or any(open_[c] for c in closes):  # a block ends an open paragraph; items and cells end each other
+                e = at
+                while e:
+                    own = self.tag[e]
+                    if own == "p" or own in closes:
+                        at = leave(self.parent[e])
+                    elif own in SECTIONS or own in LISTS:
+                        if not (name in ("td", "th", "tr") and own in ("td", "tr") and own in closes):
+                            break
+                    e = self.parent[e]
+            at = self._element(name, m[3] or "", at)
+            open_[name] += 1
         flush()
-        links = 0
-        if name in VOID:
-            continue
-        if m[1]:
-            found = next((e for e in at.up() if e.name == name and e is not root), None)
-            if found:
-                at = found.parent or root
-            continue
-        if name in ("html", "body") and at.name in ("html", "body") and name != "body":
-            continue
-        for e in at.up():  # a block ends an open paragraph; items and cells end each other
-            if e.name == "p" or e.name in CLOSES.get(name, ()):
-                at = e.parent or root
-            elif e.name in SECTIONS or e.name in ("ul", "ol", "dl", "nav", "aside", "footer", "header", "form", "blockquote"):
-                if not (name in ("td", "th", "tr") and e.name in ("td", "tr") and e.name in CLOSES[name]):
-                    break
-        at = Element(name, m[3] or "", at)
-    flush()
-    return out
-
-
-def path_ratios(found: list[tuple[Element, str, int]]) -> np.ndarray:
+
+    def summed(self, values: list[tuple[int, int]]) -> list[int]:
+        """Per element the sum of (element, value) over all that is below it."""
+        out = [0] * len(self.tag)
+        for e, v in values:
+            out[e] += v
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def furniture(self) -> list[bool]:
+        """Per element whether it is furniture or lies in some."""
+        plain = self.summed([(e, n) for e, _, n in self.blocks if not self.hard[e]])
+        out = list(self.hard)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]] or self.soft[e] > 0 and 2 * plain[e] <= plain[0]
+        return out
+
+
+def path_ratios(page: Page) -> np.ndarray:
     """The fused, smoothed path ratio of every block."""
-    length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for e, text, plain in found:
-        nodes[e.label] += 1
-        length[e.label] += plain
-        marks[e.label] += len(PUNCTUATION.findall(text)) if plain else 0
-    ratios = np.array([[length[e.label] / nodes[e.label], marks[e.label] / nodes[e.label]] for e, _, _ in found])
+    path = np.array([page.path[e] for e, _, _ in page.blocks])
+    length = np.array([n for _, _, n in page.blocks])
+    marks = np.array([len(PUNCTUATION.findall(text)) if n else 0 for _, text, n in page.blocks])
+    nodes = np.maximum(1, np.bincount(path))
+    ratios = np.stack([(np.bincount(path, weights=v) / nodes)[path] for v in (length, marks)], axis=1)
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     padded = np.pad(ratios, ((3, 3), (0, 0)), mode="edge")
@@ -140,39 +210,23 @@ def path_ratios(found: list[tuple[Element, str, int]]) -> np.ndarray:
     return smooth[:, 0] * (smooth[:, 1] + 0.01)
 
 
-def extracted(page: str) -> str:
+def extracted(html: str) -> str:
     """The main text of one page, blocks joined by an empty line."""
-    found = blocks(page)
-    for e, _, n in found:
-        for up in e.up() if not e.furniture else ():
-            up.plain += n
-    whole = sum(n for e, _, n in found if not e.furniture)
-    # a name says nothing of an element around most of the page's text
-    for e in {e for e, _, _ in found}:
-        e.furniture = e.furniture or any(up.named and 2 * up.plain <= whole for up in e.up())
-    open_ = [x for x in found if not x[0].furniture]
-    if not open_:
+    page = Page(html)
+    furniture = page.furniture()
+    shown = [not furniture[e] for e, _, _ in page.blocks]
+    if not any(shown):
         return ""
-    fused = path_ratios(found)
-    limit = min(fused.std(), max(f for f, x in zip(fused, found) if not x[0].furniture))
-    content = [(e, n) for f, (e, _, n) in zip(fused, found) if f >= limit and not e.furniture]
-    total = 0
-    for e, n in content:
-        total += n + 1
-        for up in e.up():
-            up.mass += n + 1
-    main = open_[0][0]
-    best = None
-    for e, _ in content:  # the innermost section with all of the content
-        for up in e.up():
-            if up.name in SECTIONS and up.mass == total:
-                depth = up.label.count("/")
-                named = next((x for x in reversed(list(up.up())) if x.name in ("article", "main") and x.mass == total), up)
-                if best is None or depth > best[0]:
-                    best = (depth, named)
-                break
-    main = best[1] if best else next(iter(reversed(list(main.up()))))
-    return "\n\n".join(text for e, text, _ in open_ if any(up is main for up in e.up()))
+    fused = path_ratios(page)
+    limit = min(fused.std(), max(f for f, s in zip(fused, shown) if s))
+    mass = page.summed([(e, n + 1) for f, s, (e, _, n) in zip(fused, shown, page.blocks) if s and f >= limit])
+    # elements with all of the content lie on one path: the innermost section, or an article around it
+    whole = [e for e in range(len(mass)) if mass[e] == mass[0]]
+    main = next((e for e in whole if page.tag[e] in ("article", "main")), max(e for e in whole if page.tag[e] in SECTIONS))
+    inside = [False] * len(mass)
+    for e in range(len(inside)):
+        inside[e] = e == main or e > 0 and inside[page.parent[e]]
+    return "\n\n".join(text for s, (e, text, _) in zip(shown, page.blocks) if s and inside[e])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
