@@ -6,7 +6,9 @@ routes it to the sources' quotas: pattern -> source where the pattern has that s
 -> sink up to its quota.  Using a pattern's words for the k-th time costs k, so repetition
 costs are convex and a pattern is repeated only when the fresh words that could serve the
 quota are used up.  Seeded documents of each pattern then take up what the flow gives it: all
-of them `base` times, and those first in a seeded order once more.
+of them `base` times, and those first in a seeded order once more, as long as they fit.  What
+the first one that doesn't fit leaves open goes to the largest documents that still do, in
+FILLS steps, so a source stays below its target by less than a small document.
 
 Only pattern totals reach the driver, at most MAX_PATTERNS of them (more raise an error).
 The seeded order is cut by two levels of hash histograms, so no task sorts a whole source.
@@ -24,14 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trajectra.llm.common import WORD, documents, written
+from trajectra.llm.common import WORD, documents, dropped, written
 
 #: Most distinct membership patterns that a plan may have; the flow runs on the driver.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 500_000
 MAX_REPEAT = 3
 SEED = 20240229
 #: Parts into which each level of the seeded order cuts a pattern.
 PARTS = 1024
+#: Documents that fill what is left of a pattern behind the seeded order.
+FILLS = 4
 
 
 def quotas(sizes: dict, weights: dict, share: float = 1.0, most: float = MAX_REPEAT) -> dict:
@@ -58,7 +62,9 @@ def routed(capacity: dict[tuple, int], quota: dict, most: int = MAX_REPEAT) -> d
     """Words of every pattern that flow to each of its sources, at the least repetition cost.
 
     The cost of a path is that of its pattern's current tier, so opening tiers one after
-    another and pushing all that fits is a min-cost flow by successive shortest paths.
+    another and filling each up is a min-cost flow by successive shortest paths.  A tier is
+    filled by blocking flows: words go to sources with room, then along the layers in which
+    sources can hand words of some pattern on to another source.
     """
     patterns, sources = list(capacity), list(quota)
     place = {s: i for i, s in enumerate(sources)}
@@ -69,42 +75,50 @@ def routed(capacity: dict[tuple, int], quota: dict, most: int = MAX_REPEAT) -> d
             by_source[s].append(p)
     flow = [dict.fromkeys(own, 0) for own in edges]
     room = [round(quota[s]) for s in sources]
+
+    def layers(begin: set[int]) -> dict[int, int] | None:
+        """Steps from the sources of begin, up to the first layer in which one has room."""
+        level, now, depth = dict.fromkeys(begin, 0), begin, 0
+        while now and not any(room[s] for s in now):
+            depth, after = depth + 1, set()
+            for s in now:
+                for q in by_source[s]:
+                    if flow[q][s]:
+                        after.update(t for t in edges[q] if t not in level)
+            level |= dict.fromkeys(after, depth)
+            now = after
+        return level if now else None
+
+    def onward(s: int, amount: int, level: dict[int, int], at: dict[int, int]) -> int:
+        """Words, at most amount, for which room is made in s by handing words on."""
+        if room[s]:
+            given = min(amount, room[s])
+            room[s] -= given
+            return given
+        given = 0
+        while at[s] < len(by_source[s]) and given < amount:
+            q = by_source[s][at[s]]
+            for t in edges[q]:
+                if flow[q][s] and level.get(t) == level[s] + 1:
+                    moved = onward(t, min(amount - given, flow[q][s]), level, at)
+                    flow[q][s] -= moved
+                    flow[q][t] += moved
+                    given += moved
+                    if given == amount:
+                        return given
+            at[s] += 1
+        return given
+
     for _ in range(most):
         left = [capacity[p] for p in patterns]
-        while True:
-            # breadth first from every pattern that has words left; back along flow that can move
-            seen_p: dict[int, int | None] = {p: None for p in range(len(patterns)) if left[p]}
-            seen_s: dict[int, int] = {}
-            queue, end = list(seen_p), None
-            for p in queue:
-                for s in edges[p]:
-                    if s in seen_s:
-                        continue
-                    seen_s[s] = p
-                    if room[s]:
-                        end = s
-                        break
-                    for q in by_source[s]:
-                        if q not in seen_p and flow[q][s]:
-                            seen_p[q] = s
-                            queue.append(q)
-                if end is not None:
-                    break
-            if end is None:
-                break
-            path, s = [], end
-            while s is not None:
-                p = seen_s[s]
-                path.append((p, s))
-                s = seen_p[p]
-            start = path[-1][0]
-            amount = min([left[start], room[end], *(flow[p][seen_p[p]] for p, _ in path[:-1])])
-            for p, s in path:
-                flow[p][s] += amount
-                if (back := seen_p[p]) is not None:
-                    flow[p][back] -= amount
-            left[start] -= amount
-            room[end] -= amount
+        while level := layers({s for p, n in enumerate(left) if n for s in edges[p]}):
+            at = dict.fromkeys(level, 0)
+            for p, own in enumerate(edges):
+                for s in own if left[p] else ():
+                    if level.get(s) == 0 and left[p]:
+                        given = onward(s, left[p], level, at)
+                        flow[p][s] += given
+                        left[p] -= given
     return {p: {sources[s]: v for s, v in flow[i].items()} for i, p in enumerate(patterns)}
 
 
@@ -121,6 +135,24 @@ def _cut(rows: DataFrame, plan: DataFrame, part: str) -> DataFrame:
     )
 
 
+def _fills(marked: DataFrame) -> DataFrame:
+    """row, fill: the documents that fill what the seeded order left open, FILLS of a pattern at most."""
+    spark = marked.sparkSession
+    taken = marked.groupBy("pattern").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("open"))
+    left = {r["pattern"]: r["open"] for r in taken.where("open > 0").collect()}  # at most MAX_PATTERNS
+    fills: list[int] = []
+    for _ in range(FILLS):
+        if not left:
+            break
+        open_ = spark.createDataFrame(list(left.items()), "pattern string, open long")
+        done = spark.createDataFrame([(f,) for f in fills], "row long")
+        free = marked.where("not more and size > 0").join(F.broadcast(open_), "pattern").where("size <= open").join(F.broadcast(done), "row", "left_anti")
+        best = free.groupBy("pattern").agg(F.max(F.struct("size", "u", "doc_id", "row")).alias("b")).select("pattern", "b.size", "b.row").collect()
+        fills += [r["row"] for r in best]
+        left = {r["pattern"]: left[r["pattern"]] - r["size"] for r in best if left[r["pattern"]] > r["size"]}
+    return spark.createDataFrame([(f, True) for f in fills], "row long, fill boolean")
+
+
 def mix(docs: DataFrame, membership: Column, weights=None, share: float = 1.0, most: int = MAX_REPEAT, seed: int = SEED, size: Column | None = None) -> tuple[DataFrame, list[tuple]]:
     """The mix as (row per document: doc_id, pattern, size, repeats, taken; quotas).
 
@@ -130,7 +162,7 @@ def mix(docs: DataFrame, membership: Column, weights=None, share: float = 1.0, m
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    order = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     sized = docs.select(
         "doc_id",
         F.to_json(F.array_sort(F.array_distinct(membership))).alias("pattern"),
@@ -138,6 +170,7 @@ def mix(docs: DataFrame, membership: Column, weights=None, share: float = 1.0, m
         order.alias("u"),
         F.pmod(order, F.lit(PARTS)).cast("int").alias("part"),
         F.pmod(F.shiftright(order, 20), F.lit(PARTS)).cast("int").alias("finer"),
+        F.monotonically_increasing_id().alias("row"),
     )
     sized = written(sized, "sized")
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -159,14 +192,19 @@ def mix(docs: DataFrame, membership: Column, weights=None, share: float = 1.0, m
     second = _cut(inside, first.select("pattern", F.col("open1").alias("rest")), "finer").withColumnsRenamed({"cut": "cut2", "open": "open2"})
     cuts = plan.join(first, "pattern", "left").join(second, "pattern", "left")
     rows = sized.join(F.broadcast(cuts), "pattern")
-    # parts before the cut are in; in the last part whole documents follow while their middle fits
+    # parts before the cut are in; in the last part documents follow as long as they fit
     before = (F.col("part") < F.col("cut1")) | (F.col("part") == F.col("cut1")) & (F.col("finer") < F.col("cut2"))
     edge = (F.col("part") == F.col("cut1")) & (F.col("finer") == F.col("cut2"))
-    upto = Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = rows.where(edge).withColumn("end", F.sum("size").over(upto)).withColumn("more", F.col("end") - F.col("size") / 2 <= F.col("open2")).drop("end")
+    upto = Window.partitionBy("pattern").orderBy("u", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = rows.where(edge).withColumn("end", F.sum("size").over(upto)).withColumn("more", F.col("end") <= F.col("open2")).drop("end")
     plain = rows.where(~F.coalesce(edge, F.lit(False))).withColumn("more", F.coalesce(before, F.lit(False)))
-    repeats = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("more").cast("long"), F.lit(most))).otherwise(F.lit(0)).cast("int")
-    mixed = plain.unionByName(chosen).select("doc_id", "pattern", "size", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    marked = written(plain.unionByName(chosen).select("doc_id", "pattern", "size", "u", "row", "base", "rest", "more"), "marked")
+    fills = _fills(marked)
+    more = F.col("more") | F.col("fill").isNotNull()
+    repeats = F.when(F.col("size") > 0, F.least(F.col("base") + more.cast("long"), F.lit(most))).otherwise(F.lit(0)).cast("int")
+    filled = marked.join(F.broadcast(fills), "row", "left")
+    mixed = filled.select("doc_id", "pattern", "size", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    dropped(sized)
     routed_to = {s: sum(v.get(s, 0) for v in flow.values()) for s in sources}
     return mixed, [(s, sizes[s], float(target[s]), routed_to[s]) for s in sources]
 
