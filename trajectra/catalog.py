@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trajectra.plans import motion_queries, quality_queries
+from trajectra.plans import motion_queries, quality_queries, report_queries
 
-QUERIES: dict = motion_queries.QUERIES | quality_queries.QUERIES
-SQL: dict[str, str] = motion_queries.SQL | quality_queries.SQL
+QUERIES: dict = motion_queries.QUERIES | quality_queries.QUERIES | report_queries.QUERIES
+SQL: dict[str, str] = motion_queries.SQL | quality_queries.SQL | report_queries.SQL
 
 
 def entry(spark, sf_dir):

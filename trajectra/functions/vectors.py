@@ -27,10 +27,6 @@ def norm(vector: Column) -> Column:
     return F.sqrt(total(F.transform(vector, lambda x: x * x)))
 
 
-def minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
 def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) != F.lit(INFINITY))
 
@@ -42,27 +38,6 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def smoothed(signal: Column, sigma: float) -> Column:
-    """Gaussian smoothing of an ordered array of numbers; edges reflect half-sample symmetrically."""
-    weights = gaussian_kernel(sigma)
-    radius, n = len(weights) // 2, F.size(signal)
-
-    def at(i: Column) -> Column:
-        m = F.pmod(i, 2 * n)
-        return F.get(signal, F.when(m < n, m).otherwise(2 * n - 1 - m))
-
-    mean = lambda i: sum((F.lit(w) * at(i + F.lit(j - radius)) for j, w in enumerate(weights)), F.lit(0.0))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), mean)).otherwise(signal)
-
-
-def ladder(x: Column, steps: list[tuple[float, object]], last: object) -> Column:
-    """Value of the first step whose bound x does not exceed, else the last value."""
-    out = F
-    for bound, value in steps:
-        out = out.when(x <= bound, value)
-    return out.otherwise(last)
-
-
 def ratio(a: Column, b: Column, otherwise: object = None) -> Column:
     """a / b where b is not 0."""
     return F.when(b != 0, a / b).otherwise(F.lit(otherwise))

@@ -96,22 +96,68 @@ def validated(frames: DataFrame, kind: str | None = None) -> DataFrame:
     return sums.select("episode_index", "n_frames", (F.size(issues) == 0).alias("valid"), F.array_join(issues, ",").alias("issues"))
 
 
-def local_outlier_factor(points: DataFrame, queries: DataFrame | None = None, k: int = 20) -> DataFrame:
+def _neighbours(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, names: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places) of each row's k nearest sampled points other than itself; ties go to the smaller id.
+
+    sample is in the order of names, so among equal distances an earlier place is a smaller id.
+    """
+    distances, places = [], []
+    for at in range(0, len(x), block):
+        gap = np.sqrt(((x[at : at + block, None, :] - sample[None]) ** 2).sum(axis=2)) if sample.shape[1] * len(sample) <= 1 << 16 else np.stack([np.sqrt(((row - sample) ** 2).sum(axis=1)) for row in x[at : at + block]])
+        gap[ids[at : at + block, None] == names[None]] = np.inf
+        near = np.argsort(gap, axis=1, kind="stable")[:, :k]
+        distances.append(np.take_along_axis(gap, near, axis=1))
+        places.append(near)
+    return (np.concatenate(distances), np.concatenate(places)) if distances else (np.zeros((0, k)), np.zeros((0, k), int))
+
+
+def local_outlier_factor(points: DataFrame, k: int = 20, sample_rows: int = 10_000, seed: int = 42) -> DataFrame:
     """id, lof of every row of points(id, x: array): the density of its k neighbours over its own.
 
-    points is compared with itself block by block, so it should be a sample (as the anomaly
-    check takes one); ties go to the smaller id.
+    Neighbours are looked for among all rows if there are at most sample_rows, and else among
+    that many drawn by a seeded order, a documented bound, so every task holds them; each row
+    gets its factor either way.  The tasks compare all rows with the sample in blocks.
     """
-    a = points.select(F.col("id").alias("a"), F.col("x").alias("xa"))
-    b = points.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    gap = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    pairs = a.join(b, F.col("a") != F.col("b")).select("a", "b", gap.alias("d"))
-    near = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("near"))
-    edges = near.select("a", F.element_at("near", -1)["d"].alias("reach"), F.explode("near").alias("e")).select("a", "reach", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
-    reach = near.select(F.col("a").alias("b"), F.element_at("near", -1)["d"].alias("reach_b"))
-    density = edges.join(reach, "b").groupBy("a").agg((1 / (F.avg(F.greatest("d", "reach_b")) + 1e-10)).alias("lrd"))
-    other = density.select(F.col("a").alias("b"), F.col("lrd").alias("lrd_b"))
-    return edges.join(other, "b").groupBy("a").agg(F.avg("lrd_b").alias("m")).join(density, "a").select(F.col("a").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
+    drawn = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).select("id", "x").collect()
+    drawn.sort(key=lambda r: r["id"])
+    if len(drawn) < 2:
+        return points.select("id", F.lit(1.0).alias("lof"))
+    names, sample = np.array([r["id"] for r in drawn], dtype=np.int64), np.array([r["x"] for r in drawn], dtype=float)
+    k = min(k, len(drawn) - 1)
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast((names, sample))
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sample = shared.value
+        for frame in frames:
+            if len(frame):
+                at = frame["place"].to_numpy()
+                distances, places = _neighbours(sample[at], names[at], sample, names, k)
+                yield pd.DataFrame({"place": at, "d": list(distances), "p": list(places)})
+
+    rows = spark.range(len(drawn)).select(F.col("id").alias("place")).mapInPandas(near, "place long, d array<double>, p array<long>").orderBy("place").collect()
+    gap, place = np.array([r["d"] for r in rows]), np.array([r["p"] for r in rows], dtype=int)
+    reach = gap[:, -1]
+    density = 1 / (np.maximum(gap, reach[place]).mean(axis=1) + 1e-10)
+    facts = spark.sparkContext.broadcast((reach, density))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (names, sample), (reach, density) = shared.value, facts.value
+        for frame in frames:
+            if len(frame):
+                ids = frame["id"].to_numpy()
+                gap, place = _neighbours(np.stack(frame["x"].to_list()).astype(float), ids, sample, names, k)
+                own = 1 / (np.maximum(gap, reach[place]).mean(axis=1) + 1e-10)
+                yield pd.DataFrame({"id": ids, "lof": density[place].mean(axis=1) / own})
+
+    return points.select("id", "x").mapInPandas(run, "id long, lof double")
+
+
+def local_anomalies(points: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """id, lof, anomaly: rows below the contamination's quantile of the negated factors."""
+    scores = local_outlier_factor(points)
+    limit = scores.agg(F.percentile(-F.col("lof"), F.lit(contamination)).alias("limit_"))
+    return scores.join(F.broadcast(limit)).withColumn("anomaly", -F.col("lof") < F.col("limit_")).drop("limit_")
 
 
 def _path(n: float) -> float:

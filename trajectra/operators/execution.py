@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import gaussian_kernel, norm
-from trajectra.operators.motion import episode_metrics, jerk_ranks
+from trajectra.operators.motion import jerk_ranks
 from trajectra.operators.signal import episode_signals, smoothed_array
 
 
@@ -54,14 +54,18 @@ def sparc(speed: np.ndarray, dt: float, pad: int = 4) -> float | None:
 
 
 def rates(features: DataFrame) -> DataFrame:
-    """episode_index, duration, movement_units, submovements, hesitations and their rates, sparc."""
-    signals = episode_signals(features, {"speed": norm(F.col("velocity")), "accel": norm(F.col("acceleration"))}).where(F.size("t") >= 2)
+    """episode_index, n, duration, path, normalised_jerk, movement_units, submovements, hesitations and their rates, sparc."""
+    signals = episode_signals(features, {"speed": norm(F.col("velocity")), "accel": norm(F.col("acceleration")), "jolt": norm(F.col("jerk")), "state": F.col("state")}).where(F.size("t") >= 2)
     wide, narrow = np.array(gaussian_kernel(2.0)), np.array(gaussian_kernel(1.5))
 
     def run(frames):
         for frame in frames:
             out = []
-            for t, raw, accel in zip(frame["t"], frame["speed"], frame["accel"]):
+            for t, raw, accel, jolt, state in zip(frame["t"], frame["speed"], frame["accel"], frame["jolt"], frame["state"]):
+                ahead = np.diff(t)
+                ahead = np.where(ahead == 0, 1e-6, ahead)
+                cost, span = float((np.asarray(jolt)[:-1] ** 2 * ahead).sum()), float(max(t) - min(t))
+                path = float(np.sqrt((np.diff(np.stack(state), axis=0) ** 2).sum(axis=1)).sum())
                 raw, accel = np.asarray(raw), smoothed_array(np.asarray(accel), wide)
                 speed, slow = smoothed_array(raw, wide), smoothed_array(raw, narrow)
                 turns = np.diff(np.sign(np.diff(slow)))
@@ -69,12 +73,13 @@ def rates(features: DataFrame) -> DataFrame:
                 out.append((
                     float(t[-1] - t[0]), int(((np.abs(turns) > 1) & (slow[:-2] > 0.05 * slow.max())).sum()), len(peaks(speed, 0.05 * speed.max(), 5)),
                     len(peaks(accel, limit)) + len(peaks(-accel, limit)), sparc(raw, float(np.mean(np.diff(t)))),
+                    len(t), path, cost * span**3 / path**2 if span > 0 and path > 0 else 0.0,
                 ))
-            made = pd.DataFrame(out, columns=["duration", "hesitations", "movement_units", "submovements", "sparc"])
+            made = pd.DataFrame(out, columns=["duration", "hesitations", "movement_units", "submovements", "sparc", "n", "path", "normalised_jerk"])
             made.insert(0, "episode_index", frame["episode_index"].to_numpy())
             yield made
 
-    rows = signals.mapInPandas(run, "episode_index long, duration double, hesitations int, movement_units int, submovements int, sparc double")
+    rows = signals.mapInPandas(run, "episode_index long, duration double, hesitations int, movement_units int, submovements int, sparc double, n long, path double, normalised_jerk double")
     per_second = lambda c: F.when(F.col("duration") > 0, F.col(c) / F.when(F.col("duration") > 0, F.col("duration"))).otherwise(F.lit(0.0))
     return rows.withColumns({"unit_rate": per_second("movement_units"), "hesitation_rate": per_second("hesitations"), "submovement_rate": per_second("submovements")})
 
@@ -96,8 +101,14 @@ def falling(rate: Column, a: float, b: float, c: float) -> Column:
 
 def execution_scores(features: DataFrame) -> DataFrame:
     """Scores of every episode with two frames or more, and the weighted overall score."""
-    jerk = jerk_ranks(episode_metrics(features)).select("episode_index", "n", "normalised_jerk", F.col("jerk_rank_score").alias("jerk_score"))
-    rows = rates(features).join(jerk, "episode_index")
+    rows = jerk_ranks(rates(features)).withColumnRenamed("jerk_rank_score", "jerk_score")
     rows = rows.withColumns({"units_score": falling(F.col("unit_rate"), 1.5, 3, 5), "hesitation_score": falling(F.col("hesitation_rate"), 0.5, 1.5, 3), "submovement_score": F.when(F.col("submovement_rate") > 8, F.greatest(0.3 - (F.col("submovement_rate") - 8) / 4 * 0.3, F.lit(0.0))).otherwise(falling(F.col("submovement_rate"), 3, 5, 8))})
     overall = 0.30 * F.col("units_score") + 0.25 * F.col("hesitation_score") + 0.25 * F.col("submovement_score") + 0.20 * F.col("jerk_score")
-    return rows.withColumns({"overall_score": overall, "sparc_score": F.coalesce(F.least(F.greatest((-F.col("sparc") - 1) / 2, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))})
+    return rows.withColumns({"overall_score": overall, "sparc_score": F.coalesce(F.least(F.greatest((-F.col("sparc") - 1) / 2, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)), "control_confidence": (F.col("hesitation_score") + F.col("submovement_score")) / 2})
+
+
+def execution_summary(scores: DataFrame) -> DataFrame:
+    """metric, n, mean, std, min, max of the execution scores over all episodes."""
+    names = ["units_score", "hesitation_score", "submovement_score", "jerk_score", "sparc_score", "overall_score"]
+    long = scores.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("score")) for n in names])).alias("m")).select("m.*")
+    return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))

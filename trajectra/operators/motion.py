@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import clip, in_order, norm, ratio, whole_episode
+from trajectra.operators.ordering import running
 
 
 def measured(features: DataFrame) -> DataFrame:
@@ -72,10 +73,8 @@ def path_efficiency(frames: DataFrame) -> DataFrame:
 
 def jerk_ranks(metrics: DataFrame) -> DataFrame:
     """jerk_rank_score: share of the reference episodes (T > 0, L > 0) whose jerk is larger."""
-    reference = (F.col("duration") > 0) & (F.col("path") > 0)
-    w = Window.orderBy("normalised_jerk").rangeBetween(Window.unboundedPreceding, 0)  # one row per episode
-    everything = Window.partitionBy(F.lit(1))
-    counted = metrics.withColumns({"at_most_": F.sum(reference.cast("int")).over(w), "all_": F.sum(reference.cast("int")).over(everything)})
+    reference = ((F.col("duration") > 0) & (F.col("path") > 0)).cast("int")
+    counted = running(metrics, "normalised_jerk", F.coalesce(reference, F.lit(0)), "at_most_", "sum_").withColumnRenamed("sum_", "all_")
     lg = F.log10(F.when(F.col("normalised_jerk") > 0, F.col("normalised_jerk")))
     alone = F.when(F.col("normalised_jerk") <= 1e4, 1.0).when(F.col("normalised_jerk") <= 1e5, 1 - (lg - 4) * 0.3).when(F.col("normalised_jerk") <= 1e6, 0.7 - (lg - 5) * 0.4).otherwise(F.greatest(0.3 - (lg - 6) * 0.3, F.lit(0.0)))
     return counted.withColumn("jerk_rank_score", F.when(F.col("all_") > 0, (F.col("all_") - F.col("at_most_")) / F.when(F.col("all_") > 0, F.col("all_"))).otherwise(alone)).drop("at_most_", "all_")

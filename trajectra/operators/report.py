@@ -56,3 +56,31 @@ def health(scores: DataFrame) -> DataFrame:
     weight = F.when(F.col("part") == "execution", 0.4).when(F.col("part").isin("spatial", "consistency"), 0.3)
     sums = scores.where("score is not null").withColumn("w", weight).where("w is not null").agg(F.sum(F.col("w") * F.col("score")).alias("a"), F.sum("w").alias("b"))
     return sums.select(F.coalesce(F.col("a") / F.nullif(F.col("b"), F.lit(0.0)), F.lit(0.0)).alias("health_score"))
+
+
+def comprehensive(execution: DataFrame, spatial: DataFrame, consistency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fired rules, one row with health_score and the number of rules by priority) from the three parts' results.
+
+    execution: metric, mean (execution_summary).  spatial: overall_score, start, angle,
+    coverage_share.  consistency: overall_score, anomaly_share, completeness_pct, temporal.
+    """
+    names = {"units_score": "movement_units", "hesitation_score": "hesitations", "submovement_score": "submovements", "jerk_score": "jerk"}
+    name = F.element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), F.col("metric"))
+    metrics = execution.select(F.lit("execution").alias("category"), name.alias("metric"), F.col("mean").alias("score")).where("metric is not null")
+
+    def told(rows: DataFrame, category: str, pairs: list) -> DataFrame:
+        facts = F.array(*[F.struct(F.lit(category).alias("category"), F.lit(m).alias("metric"), c.cast("double").alias("score")) for m, c in pairs])
+        return rows.select(F.explode(facts).alias("m")).select("m.*")
+
+    share, overall = F.col("coverage_share"), F.col("overall_score")
+    metrics = metrics.unionByName(told(spatial, "spatial", [
+        ("coverage_limited", F.when(share < 0.15, overall)), ("coverage_moderate", F.when((share >= 0.15) & (share < 0.3), overall)),
+        ("starting_variance", F.col("start")), ("angle_diversity", F.col("angle")),
+    ]))
+    metrics = metrics.unionByName(told(consistency, "consistency", [("overall", overall), ("anomalies", 1 - F.col("anomaly_share")), ("completeness", F.col("completeness_pct") / 100), ("temporal", F.col("temporal"))]))
+    parts = execution.where("metric = 'overall_score'").select(F.lit("execution").alias("part"), F.col("mean").alias("score"))
+    for part, rows in (("spatial", spatial), ("consistency", consistency)):
+        parts = parts.unionByName(rows.select(F.lit(part).alias("part"), F.col("overall_score").alias("score")))
+    found = recommendations(metrics)
+    counts = priority_counts(found).groupBy().pivot("priority", ["HIGH", "MEDIUM", "LOW"]).agg(F.sum("count"))
+    return found, health(parts).join(F.broadcast(counts))

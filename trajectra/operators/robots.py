@@ -35,7 +35,7 @@ def robot(kind: str) -> dict:
 
 
 def robot_table(spark: SparkSession) -> DataFrame:
-    """One row per robot: key, name, dof, reach, workspace_volume, max_reach."""
+    """One row per robot: robot, name, dof, reach, workspace_volume, link_lengths."""
     rows = []
     for key in ROBOTS:
         r = robot(key)

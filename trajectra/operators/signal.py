@@ -96,6 +96,50 @@ def moving_average(frames: DataFrame, window: int = 5) -> DataFrame:
     return frames.withColumn("near_", near).withColumn("smoothed", F.transform(sums, lambda x: x / window)).drop("near_")
 
 
+def savgol(frames: DataFrame, window: int = 5, order: int = 3) -> DataFrame:
+    """Each dimension's least-squares polynomial over a window; the first and last fit serve the edges.
+
+    An even window grows by one; episodes shorter than the window stay as they are.
+    """
+    window += window % 2 == 0
+    half = window // 2
+    base = np.vander(np.arange(window) - half, order + 1, increasing=True).astype(float)
+    fit = F.lit([[float(v) for v in row] for row in base @ np.linalg.pinv(base)])
+    near = F.collect_list(F.struct("frame_index", F.col("state").alias("v"))).over(in_order().rowsBetween(-(window - 1), window - 1))
+    rows = frames.withColumns({"near_": near, "n_": F.count("*").over(Window.partitionBy("episode_index")), "i_": F.row_number().over(in_order()) - 1})
+    n, i = F.col("n_").cast("int"), F.col("i_")
+    start = F.least(F.greatest(i - half, F.lit(0)), n - window)
+    begin = start - F.greatest(i - (window - 1), F.lit(0))  # of the fit, among the frames near
+    weights = F.get(fit, i - start)
+
+    def term(j: int) -> Column:
+        return F.transform(F.get(F.col("near_"), begin + j)["v"], lambda x: x * F.get(weights, F.lit(j)))
+
+    out = term(0)
+    for j in range(1, window):
+        out = F.zip_with(out, term(j), lambda a, b: a + b)
+    return rows.withColumn("smoothed", F.when(n >= window, out).otherwise(F.col("state"))).drop("near_", "n_", "i_")
+
+
+def smoothed_signal(frames: DataFrame, method: str = "gaussian", window: int = 5, sigma: float = 1.0) -> DataFrame:
+    """frames with `smoothed` by gaussian, savgol or moving_average."""
+    if method == "gaussian":
+        return smooth_frames(frames.withColumn("smoothed", F.col("state")), "smoothed", sigma)
+    if method == "savgol":
+        return savgol(frames, window)
+    if method == "moving_average":
+        return moving_average(frames, window)
+    raise ValueError(f"method must be gaussian, savgol or moving_average, not {method}")
+
+
+def path_so_far(frames: DataFrame, share: float = 0.5) -> DataFrame:
+    """start, current and end position (three numbers, padded with 0) of each episode, and the frames up to the current."""
+    at = F.array(*[F.coalesce(F.get("state", F.lit(d)), F.lit(0.0)) for d in range(3)])
+    rows = frames.withColumns({"p": at, "i": F.row_number().over(in_order()) - 1, "n": F.count("*").over(Window.partitionBy("episode_index"))})
+    now = F.floor((F.col("n") - 1) * share)
+    return rows.groupBy("episode_index").agg(F.min_by("p", "i").alias("start"), F.max(F.when(F.col("i") == now, F.col("p"))).alias("current"), F.max_by("p", "i").alias("end"), F.count_if(F.col("i") <= now).alias("seen"))
+
+
 def speed_profile(frames: DataFrame) -> DataFrame:
     """Speed between consecutive frames (none for the first); steps of no time take a microsecond."""
     before = F.lag("state").over(in_order())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import norm, ratio
+from trajectra.sources.frames import with_ids
+from trajectra.sources.tables import dropped, written
 
 
 def data_space(frames: DataFrame) -> DataFrame:
@@ -138,11 +141,9 @@ def approach_diversity(frames: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def stride_sample(frames: DataFrame, k: int = 1000) -> DataFrame:
-    """The rows at linspace(0, n - 1, k), truncated, in the order of episode and frame."""
-    counts = frames.groupBy("episode_index").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("episode_index").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).drop("c")
+    """The rows at linspace(0, n - 1, k), truncated, in the order of episode and frame, with their place i."""
+    rows = with_ids(frames).withColumnRenamed("id", "i")
     n = frames.count()
-    rows = frames.join(F.broadcast(before), "episode_index").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1).drop("before")
     if n <= k:
         return rows
     step = (n - 1) / (k - 1)
@@ -158,32 +159,42 @@ def pair_distances(frames: DataFrame, dims: int = 3, k: int = 1000) -> DataFrame
     return a.join(b, F.col("ia") < F.col("ib")).agg(F.count("*").alias("pairs"), F.avg(d).alias("mean_distance"), F.stddev_pop(d).alias("std_distance"))
 
 
-def leaders(frames: DataFrame, threshold: float, dims: int = 3, most: int = 1000) -> list[list[float]]:
-    """Leaders of greedy clustering: a frame founds a cluster if no earlier leader is within reach.
+def leaders(frames: DataFrame, threshold: float, dims: int = 3) -> DataFrame:
+    """Leaders (episode_index, frame_index, x) of greedy clustering in the order of the frames.
 
-    One pass over the frames finds the next leader; clusters are few, as the threshold is the
-    mean distance between frames.
+    A frame founds a cluster if no leader before it is within the threshold.  Positions lie in
+    cells as wide as the threshold.  In each round every position that comes before all open
+    ones of its own and the neighbouring cells is a leader, and what the new leaders reach is
+    closed; so distant clusters are found side by side and none is left out.
     """
-    found: list[list[float]] = []
-    rest = frames.select("episode_index", "frame_index", F.slice("state", 1, dims).alias("x"))
-    while len(found) < most:
-        if found:
-            last = F.array(*[F.lit(v) for v in found[-1]])
-            rest = rest.where(norm(F.zip_with("x", last, lambda p, q: p - q)) > threshold)
-        first = rest.agg(F.min(F.struct("episode_index", "frame_index", "x"))["x"].alias("x")).first()["x"]
-        if first is None:
-            break
-        found.append(list(first))
-    return found
+    x = F.transform(F.slice("state", 1, dims), lambda v: v + 0.0)
+    order = F.struct("episode_index", "frame_index")
+    cell = F.transform("x", lambda v: F.floor(v / threshold))
+    open_ = written(frames.select(x.alias("x"), order.alias("o")).groupBy("x").agg(F.min("o").alias("o")).withColumn("cell", cell), "open")
+    width = open_.agg(F.max(F.size("x"))).first()[0] or 0
+    steps = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in itertools.product((-1, 0, 1), repeat=width)]))
+    near = lambda rows: rows.withColumn("step", steps).withColumn("cell", F.zip_with("cell", "step", lambda a, b: a + b)).drop("step")
+    found = None
+    while not open_.isEmpty():
+        first = open_.groupBy("cell").agg(F.min_by(F.struct("o", "x"), "o").alias("f")).select("cell", "f.*")
+        least = near(first.select("cell", F.col("o").alias("other"))).groupBy("cell").agg(F.min("other").alias("least"))
+        new = written(first.join(least, "cell").where("o = least").select("cell", "o", "x"), "leaders")
+        found = new if found is None else found.unionByName(new)
+        reach = near(new.select("cell", F.col("x").alias("y")))
+        left = open_.alias("p").join(reach.alias("l"), (F.col("p.cell") == F.col("l.cell")) & (norm(F.zip_with("p.x", "l.y", lambda a, b: a - b)) <= threshold), "left_anti")
+        last, open_ = open_, written(left.select("x", "o", "cell"), "open")
+        dropped(last)
+    rows = found if found is not None else open_
+    return rows.select("o.episode_index", "o.frame_index", "x")
 
 
 def position_distribution(frames: DataFrame) -> DataFrame:
     """One row: pair distances, clusters, spatial entropy and score."""
     spread = frames.select(F.posexplode("state").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.sum(F.ln(F.col("v") + 1e-10)).alias("spatial_entropy"))
-    pairs = pair_distances(frames)
-    mean = pairs.first()["mean_distance"]
-    k = len(leaders(frames, mean)) if mean else 0
-    return pairs.join(F.broadcast(spread)).withColumn("clusters", F.lit(k)).withColumn("score", F.least(F.col("clusters") / 7.0, F.lit(1.0)))
+    row = pair_distances(frames).first()
+    k = leaders(frames, row["mean_distance"]).count() if row["mean_distance"] else 0
+    pairs = frames.sparkSession.createDataFrame([(row["pairs"], row["mean_distance"], row["std_distance"], k)], "pairs long, mean_distance double, std_distance double, clusters long")
+    return pairs.join(F.broadcast(spread)).withColumn("score", F.least(F.col("clusters") / 7.0, F.lit(1.0)))
 
 
 def density(frames: DataFrame, bins: int = 50) -> DataFrame:
@@ -194,20 +205,47 @@ def density(frames: DataFrame, bins: int = 50) -> DataFrame:
     return frames.join(F.broadcast(ends)).groupBy(place(x, "x0", "x1").alias("bx"), place(y, "y0", "y1").alias("by")).agg(F.count("*").alias("count"))
 
 
+def _moments(rows: DataFrame, x: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and population covariance of the vectors in x, summed in the tasks around their first vector."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, at, first, second = 0, None, 0.0, 0.0
+        for frame in frames:
+            if len(frame):
+                m = np.stack(frame[x].to_list()).astype(float)
+                at = m[0] if at is None else at
+                n, first, second = n + len(m), first + (m - at).sum(axis=0), second + (m - at).T @ (m - at)
+        if n:
+            mean = first / n
+            yield pd.DataFrame({"n": [n], "mean": [at + mean], "moment": [(second - n * np.outer(mean, mean)).ravel()]})
+
+    parts = rows.select(x).where(F.col(x).isNotNull()).mapInPandas(run, "n long, mean array<double>, moment array<double>").collect()  # a row per task
+    n = sum(p["n"] for p in parts)
+    if not n:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    mean = sum(p["n"] * np.array(p["mean"]) for p in parts) / n
+    cov = sum(np.array(p["moment"]).reshape(len(mean), -1) + p["n"] * np.outer(np.array(p["mean"]) - mean, np.array(p["mean"]) - mean) for p in parts) / n
+    return n, mean, cov
+
+
 def principal_axes(rows: DataFrame, x: str, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, axes, explained ratios) from the covariance, summed in Spark; signs make each axis' largest loading positive."""
-    d = rows.agg(F.max(F.size(x))).first()[0] or 0
-    v = [F.get(x, F.lit(i)) for i in range(d)]
-    means = rows.agg(*[F.avg(c) for c in v]).first()
-    cov = rows.agg(*[F.covar_pop(v[i], v[j]) for i in range(d) for j in range(i + 1)]).first()
-    matrix = np.zeros((d, d))
-    matrix[np.tril_indices(d)] = [c or 0.0 for c in cov]
-    matrix = matrix + np.tril(matrix, -1).T
+    _, mean, matrix = _moments(rows, x)
     value, axes = np.linalg.eigh(matrix)
     order = np.argsort(value)[::-1][:k]
     axes = axes[:, order]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    return np.array(means, dtype=float), axes, value[order] / max(value.sum(), 1e-300)
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]) if len(mean) else axes
+    return mean, axes, value[order] / max(value.sum(), 1e-300)
+
+
+def top_loadings(rows: DataFrame, x: str, axes: int = 3, k: int = 2) -> DataFrame:
+    """axis, place, dim, loading, ratio: the k dimensions that weigh most in each principal axis."""
+    _, vectors, ratios = principal_axes(rows, x, axes)
+    out = []
+    for a in range(vectors.shape[1]):
+        for place, d in enumerate(sorted(range(len(vectors)), key=lambda d: (-abs(vectors[d, a]), d))[:k]):
+            out.append((a, place, d, float(vectors[d, a]), float(ratios[a])))
+    return rows.sparkSession.createDataFrame(out, "axis int, place int, dim int, loading double, ratio double")
 
 
 def projected(rows: DataFrame, x: str, k: int = 2) -> DataFrame:
@@ -223,6 +261,18 @@ def projected(rows: DataFrame, x: str, k: int = 2) -> DataFrame:
     return rows.mapInPandas(run, ", ".join([*keep, "scores array<double>"]))
 
 
+def pca_voxels(frames: DataFrame, bins: int = 25, sample: int = 10_000) -> DataFrame:
+    """(ix, iy, iz, visits, share) of the sampled states on their first three principal axes; share is 0 to 1 of the visits."""
+    rows = projected(stride_sample(frames, sample).select("episode_index", "frame_index", "state"), "state", 3)
+    p = [F.coalesce(F.get("scores", F.lit(i)), F.lit(0.0)) for i in range(3)]
+    ends = rows.agg(*[f(p[i]).alias(f"{n}{i}") for i in range(3) for f, n in ((F.min, "a"), (F.max, "b"))])
+    place = [F.least(F.floor(F.coalesce(ratio(p[i] - F.col(f"a{i}"), F.col(f"b{i}") - F.col(f"a{i}")), F.lit(0.5)) * bins), F.lit(bins - 1)).cast("int").alias(n) for i, n in enumerate(("ix", "iy", "iz"))]
+    cells = rows.join(F.broadcast(ends)).groupBy(*place).agg(F.count("*").alias("visits"))
+    least = cells.agg(F.min("visits").alias("low"), F.max("visits").alias("high"))
+    share = F.coalesce(ratio(F.col("visits") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    return cells.join(F.broadcast(least)).withColumn("share", share).drop("low", "high")
+
+
 def spatial(coverage: DataFrame, start: DataFrame, distribution: DataFrame, approach: DataFrame) -> DataFrame:
     """One row: the four scores and their weighted overall score."""
     pick = lambda df, name: F.broadcast(df.select(F.col("score").alias(name)))

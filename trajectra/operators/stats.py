@@ -36,7 +36,7 @@ def high_outliers(rows: DataFrame, x: str, k: float = 2.0) -> DataFrame:
 
 def row_outliers(frames: DataFrame, method: str = "zscore", threshold: float = 3.0) -> DataFrame:
     """Frames with an outlier in any dimension, judged per dimension over all frames."""
-    long = frames.select("episode_index", "frame_index", F.posexplode("state").alias("dim", "x"))
+    long = frames.select(F.posexplode("state").alias("dim", "x"))
     if method == "zscore":
         sides = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).select("dim", (F.col("m") - threshold * (F.col("s") + 1e-8)).alias("low"), (F.col("m") + threshold * (F.col("s") + 1e-8)).alias("high"))
     elif method == "iqr":
@@ -44,8 +44,31 @@ def row_outliers(frames: DataFrame, method: str = "zscore", threshold: float = 3
         sides = q.select("dim", (F.col("a") - threshold * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + threshold * (F.col("b") - F.col("a"))).alias("high"))
     else:
         raise ValueError(f"method must be zscore or iqr, not {method}")
-    hit = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
-    return long.join(F.broadcast(sides), "dim").groupBy("episode_index", "frame_index").agg(F.bool_or(hit).alias("outlier"))
+    # one row with the limits of all dimensions, so the frames need no shuffle
+    limits = sides.agg(F.array_sort(F.collect_list(F.struct("dim", "low", "high"))).alias("limits_"))
+    hit = F.exists(F.arrays_zip(F.col("state").alias("x"), F.col("limits_").alias("s")), lambda p: F.coalesce((p["x"] < p["s"]["low"]) | (p["x"] > p["s"]["high"]), F.lit(False)))
+    return frames.where(F.size("state") > 0).join(F.broadcast(limits)).select("episode_index", "frame_index", hit.alias("outlier"))
+
+
+def percentiles(rows: DataFrame, x: str, shares: tuple[float, ...] = (0.5, 0.75, 0.95)) -> DataFrame:
+    """share, value: the exact percentiles of x."""
+    q = rows.agg(F.percentile(x, F.array(*[F.lit(s) for s in shares])).alias("q"))
+    return q.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(s) for s in shares]), F.col("i")).alias("share"), "value")
+
+
+def weighted(scores: DataFrame, by: list[str], weights: dict[str, float]) -> DataFrame:
+    """The weighted mean of scores(by, metric, score): weights count by their total, a metric without one for nothing."""
+    total = sum(weights.values())
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in weights.items() for v in kv]), F.col("metric")), F.lit(0.0)) if weights else F.lit(1.0)
+    value = F.sum(F.col("score") * weight) / (total if total else 1.0) if weights else F.avg("score")
+    return scores.groupBy(*by).agg(value.alias("score"))
+
+
+def metric_summary(rows: DataFrame, name: str, score: str, raw: str, threshold: float | None = None) -> DataFrame:
+    """One row: the metric's name, mean score, the summary of its raw values, and whether the score passes."""
+    passed = F.col("score") >= threshold if threshold is not None else F.lit(None).cast("boolean")
+    sums = rows.agg(F.avg(score).alias("score"), *summary(F.col(raw)))
+    return sums.select(F.lit(name).alias("metric"), "*").withColumns({"threshold": F.lit(threshold).cast("double"), "passed": passed})
 
 
 def normalised(rows: DataFrame, x: str, lower_is_better: bool = True) -> DataFrame:

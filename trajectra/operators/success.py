@@ -49,6 +49,49 @@ def problem_episodes(scores: DataFrame, anomalous: DataFrame) -> DataFrame:
     return rows.groupBy("episode_idx").agg(F.array_join(F.array_sort(F.collect_set("issue")), ",").alias("issues"), F.countDistinct("issue").alias("n_issues")).withColumn("kind", F.when(F.col("n_issues") > 1, "multiple").otherwise("single"))
 
 
+def browsed(scores: DataFrame, by: str, descending: bool = True, k: int = 20) -> DataFrame:
+    """The first k episodes by any column, ties by index."""
+    return scores.orderBy(F.desc(by) if descending else F.asc(by), "episode_idx").limit(k)
+
+
+def single_issues(problems: DataFrame, k: int = 20) -> DataFrame:
+    """The first k episodes that have one issue."""
+    return problems.where("kind = 'single'").orderBy("episode_idx").limit(k).select("episode_idx", "issues")
+
+
+def quality_scores(sources: list[DataFrame]) -> DataFrame:
+    """episode_index, quality_score: the mean of the sources(episode_index, score) that have the episode.
+
+    No source at all is an error: scores are not made up.
+    """
+    if not sources:
+        raise ValueError("no source of quality scores")
+    rows = sources[0].select("episode_index", "score")
+    for more in sources[1:]:
+        rows = rows.unionByName(more.select("episode_index", "score"))
+    return rows.groupBy("episode_index").agg(F.avg("score").alias("quality_score"))
+
+
+def success_level(pct: Column) -> Column:
+    return F.when(pct >= 70, "high").when(pct >= 50, "medium").otherwise("low")
+
+
+def bar_level(score: Column, high: float, middle: float) -> Column:
+    """The band of a bar: above the upper bound, above the lower one, or below."""
+    return F.when(score >= high, "good").when(score >= middle, "fair").otherwise("weak")
+
+
+def success_indicators(scores: DataFrame) -> DataFrame:
+    """One row from scores(episode_index, length, quality_score): counts, rate, quality and its correlation with length."""
+    rows = classified(scores.withColumnRenamed("episode_index", "episode_idx"))
+    sums = rows.agg(
+        F.count("*").alias("n"), F.count_if("is_successful").alias("successful"), F.avg("quality_score").alias("mean_quality"), F.stddev_pop("quality_score").alias("std_quality"), F.avg("length").alias("mean_length"),
+        F.coalesce(F.corr("length", "quality_score"), F.lit(0.0)).alias("correlation"), F.max_by("episode_idx", F.struct("quality_score", -F.col("episode_idx"))).alias("best_episode"),
+    )
+    rate = F.when(F.col("n") > 0, F.col("successful") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.lit(0.0))
+    return sums.withColumn("success_rate", rate).withColumn("level", success_level(100 * F.col("success_rate")))
+
+
 def insight(score: Column, high: float, middle: float, also: Column) -> Column:
     """A three-step label; the highest also needs the second condition."""
     return F.when((score > high) & also, "strong").when(score > middle, "moderate").otherwise("weak")

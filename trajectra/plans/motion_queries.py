@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import gaussian_kernel
 from trajectra.operators import execution, motion, signal, stats
+from trajectra.operators.ordering import numbered
 from trajectra.sources import frames as src
 
 QUERIES: dict = {}
@@ -105,9 +106,9 @@ def speed_profile(spark, d):
     return signal.speed_profile(src.events_frames(spark, d)).withColumn("speed", F.round("speed", 4))
 
 
-@query(LI + " SELECT e AS episode_index, i::INTEGER AS frame_index, dim::INTEGER AS dim, round(x, 4) + 0.0 AS value FROM (SELECT e, i, unnest([0,1,2,3]) AS dim, unnest([a,b,c,d]) AS x FROM g WHERE e <= 10)")
+@query(LI + " SELECT e AS episode_index, i::INTEGER AS frame_index, dim::INTEGER AS dim, round(x, 4) + 0.0 AS value FROM (SELECT e, i, unnest([0,1,2,3]) AS dim, unnest([a,b,c,d]) AS x FROM g)")
 def timelines(spark, d):
-    rows = src.lineitem_frames(spark, d).where("episode_index <= 10")
+    rows = src.lineitem_frames(spark, d)
     return rows.select("episode_index", "frame_index", F.posexplode("state").alias("dim", "x")).where("dim < 6").select("episode_index", "frame_index", "dim", r("x", 4, "value"))
 
 
@@ -121,8 +122,8 @@ def animation_frames(spark, d):
 @query("WITH s AS (SELECT DISTINCT user_id AS e FROM events), n AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS i, ceil(sqrt(count(*) OVER ()))::BIGINT AS k FROM s) SELECT e AS episode_index, i // k AS row, i % k AS col FROM n")
 def grid_layout(spark, d):
     episodes = src.events_frames(spark, d).select("episode_index").distinct()
-    k = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy(F.lit(1)))))
-    rows = episodes.withColumns({"i": F.row_number().over(Window.orderBy("episode_index")) - 1, "k": k})
+    k = episodes.agg(F.ceil(F.sqrt(F.count("*"))).alias("k"))
+    rows = numbered(episodes, "episode_index", "i").join(F.broadcast(k))
     return rows.select("episode_index", F.floor(F.col("i") / F.col("k")).alias("row"), (F.col("i") % F.col("k")).alias("col"))
 
 

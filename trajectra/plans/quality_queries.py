@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajectra.operators import consistency, report, robots, spatial, stats, success
+from trajectra.operators.ordering import numbered
 from trajectra.plans.motion_queries import EV, LI, r
 from trajectra.sources import frames as src
 
@@ -139,7 +140,10 @@ def approach_angles(spark, d):
     return spatial.approach_directions(_small(spark, d)).select("episode_index", r(F.atan2(y, x), 5, "azimuth"), r(F.atan2(z, F.sqrt(x * x + y * y)), 5, "elevation"))
 
 
-@query()
+_APPROACH = ", n AS (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM g), l AS (SELECT * FROM n WHERE n >= 5 AND i >= n - greatest(floor(n*0.2), 5)), d AS (SELECT e, count(*)-1 AS m, max_by(px,i)-min_by(px,i) AS x, max_by(py,i)-min_by(py,i) AS y, max_by(pz,i)-min_by(pz,i) AS z FROM l GROUP BY e), u AS (SELECT e, x/m AS x, y/m AS y, z/m AS z FROM d WHERE sqrt((x/m)**2+(y/m)**2+(z/m)**2) > 1e-6)"
+
+
+@query(SMALL + _APPROACH + ", w AS (SELECT 0 AS dim, atan2(y, x) AS v FROM u UNION ALL SELECT 1, atan2(z, sqrt(x*x+y*y)) FROM u), z AS (SELECT dim, min(v) AS a, max(v) AS b, var_pop(v) AS var, count(*) AS n FROM w GROUP BY dim), h AS (SELECT dim, least(floor((v-a)/(b-a)*20), 19) AS bin, count(*) AS c, any_value(n) AS n FROM w JOIN z USING (dim) GROUP BY 1, 2), k AS (SELECT z.dim, r.i, (coalesce(c, 0) / z.n + 1e-10) / (1 + 20e-10) AS p, var FROM z CROSS JOIN range(20) r(i) LEFT JOIN h ON h.dim = z.dim AND h.bin = r.i), t AS (SELECT dim, sum(-p * ln(p)) AS entropy, any_value(var) AS var FROM k GROUP BY dim) SELECT round(avg(var), 6) AS angle_variance, round(avg(entropy), 6) AS entropy, round(least(avg(entropy)/ln(20), 1), 6) AS score FROM t")
 def approach_diversity(spark, d):
     return spatial.approach_diversity(_small(spark, d)).select(r("angle_variance"), r("entropy"), r("score"))
 
@@ -149,7 +153,10 @@ def pair_distances(spark, d):
     return spatial.pair_distances(_small(spark, d)).select("pairs", r("mean_distance", 4), r("std_distance", 4))
 
 
-@query()
+_PAIRS = SMALL.replace("WITH f", "WITH RECURSIVE f") + ", o AS (SELECT *, row_number() OVER (ORDER BY e, i) - 1 AS k, count(*) OVER () AS n FROM g), s AS (SELECT * FROM o WHERE k IN (SELECT floor(u * ((SELECT max(n) FROM o) - 1) / 999.0)::BIGINT FROM range(1000) r(u))), p AS (SELECT count(*) AS pairs, avg(sqrt((a.px-b.px)**2+(a.py-b.py)**2+(a.pz-b.pz)**2)) AS m FROM s a JOIN s b ON a.k < b.k), h AS (SELECT [px, py, pz] AS x, min(k) AS k FROM o GROUP BY 1), z AS (SELECT ln(var_pop(px)+1e-10)+ln(var_pop(py)+1e-10)+ln(var_pop(pz)+1e-10) AS ent FROM g), c(l) AS (SELECT [arg_min(x, k)] FROM h UNION ALL SELECT list_append(l, n) FROM (SELECT l, arg_min(x, k) AS n FROM c, h, p WHERE list_min(list_transform(l, lambda q: list_distance(q, x))) > m GROUP BY l)), t AS (SELECT max(len(l)) AS clusters FROM c)"
+
+
+@query(_PAIRS + " SELECT pairs, round(m, 4) AS mean_distance, clusters, round(ent, 4) AS spatial_entropy, round(least(clusters/7.0, 1), 6)::DOUBLE AS score FROM p, z, t")
 def position_distribution(spark, d):
     return spatial.position_distribution(_small(spark, d)).select("pairs", r("mean_distance", 4), "clusters", r("spatial_entropy", 4), r("score"))
 
@@ -165,7 +172,23 @@ def reachable_coverage(spark, d):
     return spatial.reachable_coverage(_small(spark, d), cells, axes).select("reachable", "visited", r("coverage"))
 
 
-@query()
+def _kinematics(kind: str) -> str:
+    """SQL that multiplies the joints' transforms one after another: columns a..i (rotation), x, y, z."""
+    steps = [", k0 AS (SELECT e, i, s, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d, 1.0::DOUBLE AS f, 0.0::DOUBLE AS g, 0.0::DOUBLE AS h, 0.0::DOUBLE AS j, 1.0::DOUBLE AS k, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM q)"]
+    for n, (d, a, alpha) in enumerate(robots.robot(kind)["dh"], 1):
+        ca, sa, d_, a_ = (f"({float(v)!r}::DOUBLE)" for v in (math.cos(alpha), math.sin(alpha), d, a))
+        c, s = f"cos(s[{n}])", f"sin(s[{n}])"
+        column = {0: (c, s, "0"), 1: (f"-{s}*{ca}", f"{c}*{ca}", sa), 2: (f"{s}*{sa}", f"-{c}*{sa}", ca), 3: (f"{a_}*{c}", f"{a_}*{s}", d_)}
+        rows = {"abc": "x", "dfg": "y", "hjk": "z"}
+        out = []
+        for row, place in rows.items():
+            term = lambda m: " + ".join(f"{v}*({column[m][t]})" for t, v in enumerate(row))  # noqa: E731,B023
+            out += [f"{term(m)} AS {row[m]}" for m in range(3)] + [f"{term(3)} + {place} AS {place}"]
+        steps.append(f", k{n} AS (SELECT e, i, s, {', '.join(out)} FROM k{n - 1})")
+    return "".join(steps)
+
+
+@query(JOINTS + _kinematics("generic_6dof") + " SELECT e AS episode_index, i::INTEGER AS frame_index, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM k6")
 def forward_kinematics(spark, d):
     rows = robots.forward_kinematics(_joints(spark, d), "generic_6dof")
     return rows.select("episode_index", "frame_index", *[r(F.get("tool", F.lit(i)), 6, c) for i, c in enumerate("xyz")])
@@ -178,28 +201,49 @@ def robot_table(spark, d):
 
 @query()
 def pca_embeddings(spark, d):
-    rows = src.embedding_frames(spark, d, 16)
+    rows = src.embedding_frames(spark, d)
     return spatial.projected(rows.select("episode_index", "frame_index", "state"), "state").select("episode_index", "frame_index", r(F.get("scores", F.lit(0)), 6, "pc1"), r(F.get("scores", F.lit(1)), 6, "pc2"))
 
 
-@query()
+_COV = ", ".join(f"coalesce(covar_samp({a}, {b}), 0) AS {a[1]}{b[1]}" for a, b in (("px", "px"), ("py", "py"), ("pz", "pz"), ("px", "py"), ("px", "pz"), ("py", "pz")))
+# the eigenvalues of a symmetric 3 x 3 matrix by the trigonometric formula
+EIGEN = SMALL + f", s AS (SELECT {_COV} FROM g WHERE i = 0), em AS (SELECT *, (xx+yy+zz)/3 AS m FROM s), ep AS (SELECT *, sqrt(((xx-m)**2+(yy-m)**2+(zz-m)**2+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM em), ed AS (SELECT *, ((xx-m)*((yy-m)*(zz-m)-yz*yz) - xy*(xy*(zz-m)-yz*xz) + xz*(xy*yz-(yy-m)*xz))/(2*p**3) AS w FROM ep), fi AS (SELECT *, acos(least(greatest(w, -1), 1))/3 AS t FROM ed), v AS (SELECT m + 2*p*cos(t) AS e1, m + 2*p*cos(t + 2*pi()/3) AS e3, m FROM fi)"
+
+
+@query(EIGEN + " SELECT unnest([0, 1, 2])::INTEGER AS rank, unnest([round(e1, 6), round(3*m - e1 - e3, 6), round(e3, 6)]) AS eigenvalue FROM v")
 def start_eigenvalues(spark, d):
     values = spatial.start_eigenvalues(_small(spark, d))
     return spark.createDataFrame([(i, float(round(v, 6))) for i, v in enumerate(values)], "rank int, eigenvalue double")
 
 
-@query()
+@query(EIGEN + " SELECT unnest([0, 1])::INTEGER AS axis, unnest([round(e1/(3*m), 6), round((3*m - e1 - e3)/(3*m), 6)]) AS ratio FROM v")
+def start_pca_ratios(spark, d):
+    """Shares of the start poses' variance along their first two principal axes."""
+    starts = consistency.first_frames(_small(spark, d))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(spatial.principal_axes(starts, "state")[2])], "axis int, ratio double")
+
+
+def _points(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+LOF = "WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT least(20, count(*) - 1) AS k FROM p), a AS (SELECT a.id AS a, b.id AS b, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.id <> b.id), e AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS z FROM a), n WHERE z <= k), r AS (SELECT a AS b, max(d) AS reach FROM e GROUP BY a), l AS (SELECT a, 1 / (avg(greatest(d, reach)) + 1e-10) AS lrd FROM e JOIN r USING (b) GROUP BY a), f AS (SELECT e.a AS id, avg(o.lrd) / any_value(l.lrd) AS lof FROM e JOIN l o ON o.a = e.b JOIN l ON l.a = e.a GROUP BY e.a)"
+
+
+@query(LOF + " SELECT id, round(lof, 6) AS lof FROM f")
 def local_outliers(spark, d):
-    """Local outlier factors of the vectors' first eight numbers."""
-    points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("x"))
-    sample = points.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(1000)
-    return consistency.local_outlier_factor(sample).select("id", r("lof"))
+    """Local outlier factors of all vectors (the SQL's neighbours are all rows, so up to 10,000 of them)."""
+    return consistency.local_outlier_factor(_points(spark, d)).select("id", r("lof"))
+
+
+@query(LOF + ", q AS (SELECT quantile_cont(-lof, 0.1) AS offset_ FROM f) SELECT id, -lof < offset_ AS anomaly FROM f, q")
+def local_anomalies(spark, d):
+    return consistency.local_anomalies(_points(spark, d)).select("id", "anomaly")
 
 
 @query()
 def isolation_anomalies(spark, d):
-    points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("x"))
-    return consistency.anomalies(consistency.isolation_scores(points)).select("id", r("score"), "anomaly")
+    return consistency.anomalies(consistency.isolation_scores(_points(spark, d))).select("id", r("score"), "anomaly")
 
 
 # quality of an episode, for the success queries: its mean value over 100, halved when k is high
@@ -210,8 +254,7 @@ def _scores(spark, d):
     x, y = F.get("state", F.lit(0)), F.get("state", F.lit(1))
     rows = src.events_frames(spark, d).groupBy("episode_index").agg(F.count("*").alias("length"), F.round(F.avg(x) / 100 + F.avg(y) / 200, 6).alias("q"))
     ends = rows.agg(F.min("q").alias("a"), F.max("q").alias("b"))
-    place = (F.row_number().over(Window.orderBy("episode_index")) - 1).cast("long")
-    return rows.join(F.broadcast(ends)).select(place.alias("episode_idx"), "length", F.round((F.col("q") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)), 6).alias("quality_score"))
+    return numbered(rows, "episode_index", "episode_idx").join(F.broadcast(ends)).select("episode_idx", "length", F.round((F.col("q") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0)), 6).alias("quality_score"))
 
 
 @query(SCORES + " SELECT episode_idx, length, q AS quality_score, CASE WHEN q >= 0.75 THEN 'excellent' WHEN q >= 0.6 THEN 'good' WHEN q >= 0.45 THEN 'marginal' ELSE 'poor' END AS classification, q >= 0.6 AS is_successful FROM o")
@@ -284,6 +327,18 @@ def rule_report(spark, d):
     return report.recommendations(_metrics(spark, d)).select("priority", "category", "metric", "score")
 
 
+_RULES = [("spatial", "coverage_limited", "a"), ("spatial", "coverage_moderate", "b"), ("spatial", "starting_variance", "c"), ("spatial", "angle_diversity", "b"), ("consistency", "overall", "d"), ("consistency", "anomalies", "d"), ("consistency", "completeness", "c"), ("consistency", "temporal", "d")]
+
+
+@query(_QS + ", m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, '{m}' AS metric, {v} AS score FROM k" for c, m, v in _RULES) + ") SELECT CASE WHEN metric IN ('coverage_limited', 'overall') THEN 'HIGH' ELSE 'MEDIUM' END AS priority, category, metric, score FROM m WHERE CASE metric WHEN 'coverage_limited' THEN true WHEN 'coverage_moderate' THEN true WHEN 'starting_variance' THEN score < 0.4 WHEN 'angle_diversity' THEN score < 0.4 WHEN 'overall' THEN score < 0.6 WHEN 'temporal' THEN score < 0.7 ELSE score < 0.95 END")
+def rule_report_spaces(spark, d):
+    """The rules of coverage and consistency over scores in all their ranges."""
+    q = F.percentile("quality_score", F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7)]))
+    row = _scores(spark, d).agg(q.alias("q"))
+    facts = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(m).alias("metric"), F.round(F.col("q")["abcd".index(v)], 6).alias("score")) for c, m, v in _RULES])
+    return report.recommendations(row.select(F.explode(facts).alias("m")).select("m.*")).select("priority", "category", "metric", "score")
+
+
 @query(_QS + " SELECT round(0.4*b + 0.3*c + 0.3*d, 6) AS health_score FROM k")
 def health_score(spark, d):
     q = _metrics(spark, d).where(F.col("metric").isin("hesitations", "overall", "completeness"))
@@ -297,10 +352,10 @@ def consistency_summary(spark, d):
     return rows.select(r("alignment"), r("temporal"), r("missing"), r("anomaly"), r("limits"), r("overall_score"))
 
 
-@query(LI + " SELECT unnest(['0','1','2','3'])::INTEGER AS dim, unnest([round(avg(a),4), round(avg(b),4), round(avg(c),4), round(avg(d),4)]) AS mean, unnest([round(stddev_pop(a),4), round(stddev_pop(b),4), round(stddev_pop(c),4), round(stddev_pop(d),4)]) AS std, unnest([min(a), min(b), min(c), min(d)]) AS min, unnest([max(a), max(b), max(c), max(d)]) AS max FROM g WHERE e = 1")
+@query(LI + " SELECT e AS episode_index, unnest(['0','1','2','3'])::INTEGER AS dim, unnest([round(avg(a),4), round(avg(b),4), round(avg(c),4), round(avg(d),4)]) AS mean, unnest([round(stddev_pop(a),4), round(stddev_pop(b),4), round(stddev_pop(c),4), round(stddev_pop(d),4)]) AS std, unnest([min(a), min(b), min(c), min(d)]) AS min, unnest([max(a), max(b), max(c), max(d)]) AS max FROM g GROUP BY e")
 def dimension_stats(spark, d):
-    rows = src.lineitem_frames(spark, d).where("episode_index = 1").select(F.posexplode("state").alias("dim", "x")).where("dim < 6")
-    return rows.groupBy("dim").agg(r(F.avg("x"), 4, "mean"), r(F.stddev_pop("x"), 4, "std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    rows = src.lineitem_frames(spark, d).select("episode_index", F.posexplode("state").alias("dim", "x")).where("dim < 6")
+    return rows.groupBy("episode_index", "dim").agg(r(F.avg("x"), 4, "mean"), r(F.stddev_pop("x"), 4, "std"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
 @query(SMALL + " SELECT unnest([0,1,2])::INTEGER AS dim, unnest([round(quantile_cont(px,0.25),6), round(quantile_cont(py,0.25),6), round(quantile_cont(pz,0.25),6)]) AS p25, unnest([round(quantile_cont(px,0.5),6), round(quantile_cont(py,0.5),6), round(quantile_cont(pz,0.5),6)]) AS median, unnest([round(quantile_cont(px,0.75),6), round(quantile_cont(py,0.75),6), round(quantile_cont(pz,0.75),6)]) AS p75 FROM g WHERE i = 0")

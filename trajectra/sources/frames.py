@@ -6,9 +6,13 @@ ARRAY<DOUBLE>, action ARRAY<DOUBLE>.  Adapters make such a table from other tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajectra.operators.ordering import running
+
 FPS = 30.0
 
 
@@ -53,6 +57,11 @@ def embedding_frames(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFr
     return _ordered(vectors, "label", ["vec_id"], F.slice("embedding", 1, dims).cast("array<double>"))
 
 
+def features(frames: DataFrame) -> DataFrame:
+    """name and type of every column."""
+    return frames.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in frames.schema], "name string, type string")
+
+
 def metadata(frames: DataFrame) -> DataFrame:
     """One row: episodes, frames, state and action size, mean episode length."""
     return frames.agg(
@@ -63,13 +72,37 @@ def metadata(frames: DataFrame) -> DataFrame:
 def episode_ranges(frames: DataFrame) -> DataFrame:
     """start_frame, end_frame (exclusive) and length of every episode in the order of the whole table."""
     counts = frames.groupBy("episode_index").agg(F.count("*").alias("length"))
-    # a running sum over one row per episode
-    end = F.sum("length").over(Window.orderBy("episode_index").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("end_frame", end).withColumn("start_frame", F.col("end_frame") - F.col("length")).select("episode_index", "start_frame", "end_frame", "length")
+    return running(counts, "episode_index", F.col("length"), "end_frame").withColumn("start_frame", F.col("end_frame") - F.col("length")).select("episode_index", "start_frame", "end_frame", "length")
 
 
 def episode(frames: DataFrame, k: int) -> DataFrame:
-    return frames.where(F.col("episode_index") == k).orderBy("frame_index")
+    """The frames of episode k in order; an episode that isn't there is an error."""
+    found = frames.where(F.col("episode_index") == k)
+    if k < 0 or found.isEmpty():
+        raise ValueError(f"episode {k} is not in the table")
+    return found.orderBy("frame_index")
+
+
+def with_ids(frames: DataFrame) -> DataFrame:
+    """frames with id, the place of each in the order of episode and frame."""
+    place = F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1
+    return frames.join(episode_ranges(frames).select("episode_index", "start_frame"), "episode_index").withColumn("id", F.col("start_frame") + place).drop("start_frame")
+
+
+def frame_at(frames: DataFrame, i: int) -> DataFrame:
+    """The frame with id i; one that isn't there is an error."""
+    span = episode_ranges(frames).where((F.col("start_frame") <= i) & (F.col("end_frame") > i)).first()
+    if span is None:
+        raise ValueError(f"frame {i} is not in the table")
+    own = Window.partitionBy("episode_index").orderBy("frame_index")
+    rows = frames.where(F.col("episode_index") == span["episode_index"]).withColumn("id", F.row_number().over(own) - 1 + F.lit(span["start_frame"]))
+    return rows.where(F.col("id") == i)
+
+
+def loaded(spark: SparkSession, path: str, strategy: str = "auto", max_episodes: int | None = None) -> DataFrame:
+    """Frames of the sampled episodes of a Parquet folder."""
+    frames = read_frames(spark, path)
+    return restricted(frames, sampled_episodes(frames, strategy, max_episodes))
 
 
 def sampled_episodes(frames: DataFrame, strategy: str = "auto", max_episodes: int | None = None, seed: int = 42) -> DataFrame:
@@ -97,6 +130,11 @@ def video_candidates(episode_index: int, camera: str) -> list[str]:
     return [f"videos/{camera}/episode_{episode_index:06d}.mp4", f"videos/observation.images.{camera}/episode_{episode_index:06d}.mp4"]
 
 
+def video_path(episode_index: int, camera: str, exists: Callable[[str], bool]) -> str | None:
+    """The first of the candidates that exists() finds."""
+    return next((p for p in video_candidates(episode_index, camera) if exists(p)), None)
+
+
 def camera_names(frames: DataFrame) -> list[str]:
     prefix = "observation.images."
     return [c.removeprefix(prefix) for c in frames.columns if c.startswith(prefix)]
