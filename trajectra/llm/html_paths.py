@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from trajectra.llm.common import in_batches
+
 # Elements of HTML by role, and the names by which furniture calls itself.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -237,7 +239,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = [extracted(x) if x else "" for x in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages).select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import documents, ids
+from trajectra.llm.common import documents, ids, in_batches
 
 UNIT = 192
 RATE = 8000

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajectra.llm.common import chunks, documents, ids
+from trajectra.llm.common import chunks, documents, in_batches
 from trajectra.llm.tagger import LETTER, OTHER, PAD, Tagger
 
 NUMBERS, STRINGS = ("n_email", "n_ip", "n_card", "n_phone"), ("base_sha256", "spans", "masked")
@@ -256,7 +256,7 @@ def _shown(spans: list[tuple[int, int, int]]) -> str:
 def _run(docs: DataFrame, keep: list[Column], sample: int) -> DataFrame:
     """Columns k0, k1, ... (keep, passed through as they are) and what is found in text."""
     model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, sample))
-    rows = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_batches(docs).select(*[c.alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema[:-1]] + [T.StructField(n, T.LongType()) for n in NUMBERS] + [T.StructField(n, T.StringType()) for n in STRINGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import chunks, written
+from trajectra.llm.common import chunks, in_batches, written
 from trajectra.llm.rolling import TOP, Batch, context_hashes, gram_hashes, mix, winnow
 
 #: Contexts that one exact comparison holds as arrays at a time (groups stay whole).
@@ -215,6 +215,7 @@ def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, slices: Calla
     docs: doc_id (not null) and text (not null).  Spans may reach over the document's ends.
     """
     reach = window - k
+    docs = in_batches(docs)
     state = written(settled(anchors(docs, load, window, k, across), across), "anchors")
     open_ = state.where(F.col("key").isNotNull())
     late = compared(contexts(docs, open_.where("not hot"), cut, schema), compare)

@@ -40,14 +40,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import broadcast_if_small, chunks, documents, dropped, written
+from trajectra.llm.common import broadcast_if_small, chunks, documents, dropped, in_batches, written
 from trajectra.llm.components import components
 from trajectra.llm.rolling import mix, tuple_hashes, words_of
 
 WORDS, PERCENT = 4, 85
 #: Ratio of the sizes of a band.
-BAND = 1.6
-#: 64-bit numbers of a set's parity sketch, and of the sketch folded for joins by key.
+BAND = 1.42
+#: 64-bit numbers of a parity sketch (twice as many for each doubling of a set above as many
+#: elements as bits), and of the sketch folded for joins by key.
 SKETCH, FOLDED = 32, 8
 #: Least keys of a set that tell in the last comparison whether a pair met in a lesser key.
 LOW_KEYS = 16
@@ -84,7 +85,7 @@ def allocation(level: int, percent: int) -> tuple[int, int, int, int]:
             segments = exact + deletions
             mean = low / segments
             empty = exact * math.exp(-mean) + 2 * deletions * math.exp(-mean) * (1 + mean)
-            if segments == 1 or slack >= empty + 3.5 * math.sqrt(2 * empty) or slack > most + 8:
+            if segments == 1 or slack >= empty + 2.5 * math.sqrt(empty) or slack > most + 8:
                 break
             slack += 1
         size = math.sqrt(low * high)
@@ -164,12 +165,16 @@ def signatures(element: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.
 
 
 def sketches(element: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Per set, the parity of its number of elements in each of SKETCH * 64 classes, as bits."""
-    width = SKETCH * 64
+    """Per set, the parity of its number of elements in each class, as bits.
+
+    The classes are a power of two, so the first half of a sketch XOR its second half is the
+    sketch over half of them.
+    """
     out = []
-    classes = (mix(element) % np.uint64(width)).astype(np.int64)
+    mixed = mix(element)
     for a, b in zip(np.cumsum(size) - size, np.cumsum(size)):
-        odd = np.bincount(classes[a:b], minlength=width) & 1
+        width = SKETCH * 64 << max(0, int(b - a - 1) // (SKETCH * 64)).bit_length()
+        odd = np.bincount((mixed[a:b] % np.uint64(width)).astype(np.int64), minlength=width) & 1
         out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
     return out
 
@@ -245,21 +250,32 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _near(x: Column, y: Column, n: Column, m: Column, percent: int, numbers: int = SKETCH) -> Column:
-    """Whether sets of n and m elements with these sketches can reach the similarity."""
-    differ = reduce(lambda p, q: p + q, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(numbers)])
+def _near(x: Column, y: Column, n: Column, m: Column, percent: int, numbers: int = 0) -> Column:
+    """Whether sets of n and m elements with these sketches (of as many numbers, if given) can reach the similarity."""
+    if numbers:
+        differ = reduce(lambda p, q: p + q, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(numbers)])
+    else:  # linked sets differ in size by less than a doubling
+        same = F.zip_with(_halved(x, y), _halved(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        differ = F.aggregate(same, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0)))
     return _sizes_fit(n, m, percent) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
+def _halved(sketch: Column, other: Column) -> Column:
+    """The sketch over half of its classes if the other has fewer."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(sketch)
+
+
 def _folded(sketch: Column) -> Column:
-    """The parity sketch over fewer classes."""
-    return F.array(*[reduce(lambda p, q: p.bitwiseXOR(q), [sketch[j] for j in range(i, SKETCH, FOLDED)]) for i in range(FOLDED)])
+    """The parity sketch over FOLDED * 64 classes."""
+    part = lambda i: F.filter(sketch, lambda v, j: j % FOLDED == i)
+    return F.array(*[F.aggregate(part(i), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v)) for i in range(FOLDED)])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, ...) of sets that reach the similarity: by folded and whole sketches, then by elements."""
     near = pairs
-    for sketch, numbers in ((_folded(F.col("sketch")), FOLDED), (F.col("sketch"), SKETCH)):
+    for sketch, numbers in ((_folded(F.col("sketch")), FOLDED), (F.col("sketch"), 0)):
         known = nodes.select("node", sketch.alias("sketch"), "n")
         if near is not pairs:  # few are left: their sets alone move
             known = known.join(broadcast_if_small(ends), "node", "left_semi")
@@ -350,6 +366,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs(doc_id, text); see the module's docstring."""
+    docs = in_batches(docs)
     facts = written(_facts(docs, k), "facts")
     shared = _index_shared(docs, k, percent)
     few = shared.limit(FEW + 1).count() <= FEW

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import chunks, documents, ids, labelled_sample
+from trajectra.llm.common import chunks, documents, ids, in_batches, labelled_sample
 from trajectra.llm.rolling import SPACE, gram_hashes, prefix_hashes, span_hashes, word_spans
 
 BUCKETS = 1 << 16
@@ -173,7 +173,7 @@ def scored(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
             score = np.concatenate([own.scores(texts[a:b]) for a, b in chunks(texts)]) if texts else np.zeros(0)
             yield pd.DataFrame({"doc_id": ids(frame["id"]), "score": score, "predicted": (score >= limit).astype(np.int32)})
 
-    plain = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = in_batches(docs).select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return plain.mapInPandas(run, "doc_id long, score double, predicted int")
 
 
