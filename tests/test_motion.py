@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import gaussian_kernel
 from trajectra.operators import execution, motion, report, robots, signal, spatial, stats, success
@@ -116,7 +117,109 @@ def test_problem_episodes(spark):
 
 def test_leaders(spark):
     frames = frames_of(spark, [(range(4), [[0, 0, 0], [0.1, 0, 0], [5, 0, 0], [5.1, 0, 0]])])
-    assert spatial.leaders(frames, 1.0) == [[0, 0, 0], [5, 0, 0]]
+    assert sorted(r["x"] for r in spatial.leaders(frames, 1.0).collect()) == [[0, 0, 0], [5, 0, 0]]
+    random = np.random.default_rng(4)
+    points = random.normal(size=(200, 3)).round(1)
+    found = []
+    for p in points:  # one by one, in order
+        if all(np.linalg.norm(p - q) > 0.8 for q in found):
+            found.append(p)
+    got = spatial.leaders(frames_of(spark, [(range(100), points[:100]), (range(100), points[100:])]), 0.8)
+    assert sorted(r["x"] for r in got.collect()) == sorted(p.tolist() for p in found)
+    assert spatial.leaders(frames.limit(0), 1.0).count() == 0
+
+
+def test_numbering_and_running_sums(spark):
+    from trajectra.operators.ordering import numbered, running
+
+    values = np.random.default_rng(8).permutation(1000)
+    rows = spark.createDataFrame([(int(v), int(v) // 7) for v in values], "k long, v long").repartition(5)
+    assert all(r["place"] == r["k"] for r in numbered(rows, "k").collect())
+    got = {r["v"]: (r["upto"], r["whole"]) for r in running(rows, "v", F.lit(1), "upto", "whole").collect()}
+    assert all(upto == min(7 * (v + 1), 1000) and whole == 1000 for v, (upto, whole) in got.items())
+    assert numbered(rows.limit(0), "k").count() == 0
+
+
+def test_savgol_against_fits(spark):
+    t, x = np.arange(12.0), np.random.default_rng(2).normal(size=(12, 2))
+    frames = frames_of(spark, [(t, x), (t[:3], x[:3])])
+    got = {(r["episode_index"], r["frame_index"]): r["smoothed"] for r in signal.smoothed_signal(frames, "savgol", 6).collect()}
+    for i in range(12):
+        start = min(max(i - 3, 0), 12 - 7)
+        for d in range(2):
+            fit = np.polyfit(np.arange(7), x[start : start + 7, d], 3)
+            assert got[0, i][d] == pytest.approx(np.polyval(fit, i - start))
+    assert np.allclose([got[1, i] for i in range(3)], x[:3])
+    with pytest.raises(ValueError):
+        signal.smoothed_signal(frames, "other")
+
+
+def test_single_frames_and_files(spark, tmp_path):
+    from trajectra.sources import frames as src
+
+    frames = frames_of(spark, [(range(3), [[0], [1], [2]]), (range(2), [[3], [4]])])
+    assert src.frame_at(frames, 3).first()["state"] == [3.0] and [r["frame_index"] for r in src.episode(frames, 1).collect()] == [0, 1]
+    for bad in (lambda: src.frame_at(frames, 5), lambda: src.frame_at(frames, -1), lambda: src.episode(frames, 2)):
+        with pytest.raises(ValueError):
+            bad()
+    src.write_frames(frames, f"{tmp_path}/frames")
+    back = src.read_frames(spark, f"{tmp_path}/frames", 1)
+    assert back.count() == 3 and "episode_index" in back._jdf.queryExecution().toString().split("PushedFilters")[1]
+    assert src.loaded(spark, f"{tmp_path}/frames", "sequential", 1).count() == 3
+    assert src.camera_names(frames.withColumn("observation.images.top", F.lit(1))) == ["top"]
+    assert src.video_path(7, "top", lambda p: "observation" in p) == "videos/observation.images.top/episode_000007.mp4" and src.video_path(7, "top", lambda p: False) is None
+    assert ("state", "array<double>") in [tuple(r) for r in src.features(frames).collect()]
+
+
+def test_settings(tmp_path):
+    pytest.importorskip("yaml")
+    from trajectra.sources.config import Config
+
+    config = Config({"robot": {"type": "so-arm100"}, "metrics.spatial_coverage.voxel_size": 0.1})
+    assert config.robot_type == "so-arm100" and config.robot_dof == 6 and config.get("metrics.spatial_coverage.voxel_size") == 0.1
+    assert config.get("no.such", 5) == 5 and config.section("dataset")["cache_dir"] == "data"
+    config.save(tmp_path / "c.yaml")
+    assert Config.load(tmp_path / "c.yaml").values == config.values
+
+
+def test_outlier_factors_on_a_sample(spark):
+    from trajectra.operators import consistency
+
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>")
+    whole = {r["id"]: r["lof"] for r in consistency.local_outlier_factor(points, 5).collect()}
+    part = {r["id"]: r["lof"] for r in consistency.local_outlier_factor(points, 5, sample_rows=30).collect()}
+    assert set(whole) == set(part) == set(range(60))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.diag([np.inf] * 60)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    gap = np.take_along_axis(d, near, axis=1)
+    lrd = 1 / (np.maximum(gap, gap[:, -1][near]).mean(axis=1) + 1e-10)
+    assert np.allclose([whole[i] for i in range(60)], lrd[near].mean(axis=1) / lrd)
+    assert [r["lof"] for r in consistency.local_outlier_factor(points.limit(1)).collect()] == [1.0]
+
+
+def test_scores_need_a_source(spark):
+    with pytest.raises(ValueError):
+        success.quality_scores([])
+    a = spark.createDataFrame([(1, 0.2), (2, 0.4)], "episode_index long, score double")
+    b = spark.createDataFrame([(1, 0.6)], "episode_index long, score double")
+    assert {r[0]: round(r[1], 6) for r in success.quality_scores([a, b]).collect()} == {1: 0.4, 2: 0.4}
+
+
+def test_events_as_a_stream(spark, tmp_path):
+    from trajectra.streaming import ingest
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.write.option("compression", "snappy").parquet(f"{tmp_path}/one")
+    (file,) = [p for p in (tmp_path / "one").iterdir() if p.suffix == ".parquet"][:1]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a-events.parquet").write_bytes(file.read_bytes())
+    rows = ingest.episode_sessions(ingest.events_stream(spark, str(folder), events.schema))
+    query = rows.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.awaitTermination(120)
+    got = spark.table("sessions")
+    assert got.columns == ["episode_index", "start", "end", "frames", "low", "high", "mean"] and got.count() > 0
 
 
 def test_anomaly_is_computed(spark):
