@@ -373,6 +373,15 @@ def test_toxicity(spark):
     assert toxicity.trained([]).scores(["any", ""]).max() < 0.01
 
 
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fitted(docs, labels)
+    held = labels.where(toxicity.held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).join(docs.select("doc_id", "text"), "doc_id").collect()
+    score, toxic = model.scores([r["text"] or "" for r in held]), np.array([r["toxic"] for r in held])
+    assert toxic.sum() > 100 and (score[toxic == 1] >= 0.7).mean() > 0.75 and (score[toxic == 0] >= 0.7).mean() < 0.01
+
+
 def test_quality(spark):
     rows = corpus()
     model = quality.trained([(" ".join(words(50, i)), 1) for i in range(60)] + [("JUNK!! " * 40, 0)] * 60)
@@ -382,6 +391,33 @@ def test_quality(spark):
     assert quality.quality(table(spark, rows).limit(0), F.col("source"), F.col("lang"), model).count() == 0
 
 
+def test_quality_by_plain_sums(spark):
+    """Posteriors from the evidence, one document at a time; a sparse site stays near its prior."""
+    model = quality.trained([(" ".join(words(50, i)), 1) for i in range(60)] + [("JUNK!! " * 40, 0)] * 60)
+    rows = [(i, " ".join(words(60, i)), "p", "good") for i in range(40)] + [(100 + i, "JUNK!! " * (20 + i), "p", "bad") for i in range(40)]
+    rows += [(200, " ".join(words(60, 200)), "q", "bad"), (201, " ".join(words(60, 201)), "p", "lone"), (202, " ".join(words(60, 202)), None, None), (203, None, None, None)]
+    got = {r["doc_id"]: r for r in quality.quality(table(spark, rows), F.col("source"), F.col("lang"), model).collect()}
+    p = {d: float(model.probabilities([t or ""])[0]) for d, t, _, _ in rows}
+    path, host = {d: (s, lang) for d, _, lang, s in rows}, {d: s for d, _, _, s in rows}
+    n = len(rows)
+    mean = sum(p.values()) / n
+    group = lambda by: [[d for d in p if by[d] == g] for g in set(by.values())]
+    spread = lambda groups: sum(sum(p[d] for d in g) ** 2 / len(g) for g in groups) / n
+    hosts, paths = group(host), group(path)
+    host_prior = quality._strength(mean, max(0, spread(hosts) - mean**2), mean * (1 - mean) * len(hosts) / n)
+    path_prior = quality._strength(mean, max(0, spread(paths) - spread(hosts)), mean * (1 - mean) * (len(paths) - len(hosts)) / n)
+    for d in p:
+        others = lambda by: [p[e] for e in p if by[e] == by[d] and e != d]  # noqa: E731,B023
+        of_host = (host_prior * mean + sum(others(host))) / (host_prior + len(others(host)))
+        of_path = (path_prior * of_host + sum(others(path))) / (path_prior + len(others(path)))
+        assert got[d]["path_posterior"] == pytest.approx(of_path, abs=2e-6), d
+        clip = lambda v: min(max(v, 1e-4), 1 - 1e-4)
+        logit = sum(w * np.log(clip(v) / (1 - clip(v))) for w, v in ((1, p[d]), (1, of_path), (-1, mean)))
+        assert got[d]["score"] == pytest.approx(1 / (1 + np.exp(-logit)), abs=2e-6)
+    # alone on its host: the prior; alone on a path of a bad host: near that host
+    assert got[201]["path_posterior"] == pytest.approx(mean, abs=1e-5) and got[200]["path_posterior"] < 0.5 * mean
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies, yes.</div><article><h1>Head</h1><p>One &amp; two,\n three. And more words, here.<p>Short.<script>x<y</script><ul><li>a<li>b</ul></article><section class=comments><p>I say so, really. Yes, yes.</p></section><footer>&copy; me</footer>"
     assert html_paths.extracted(page) == "Head\n\nOne & two, three. And more words, here.\n\nShort.\n\na\n\nb"

@@ -365,7 +365,11 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs(doc_id, text); see the module's docstring."""
+    """doc_id, n_shingles, component_id, text_key, label per row of docs(doc_id, text); see the module's docstring.
+
+    text_key is the hash of the row's text.  label names the component also where no row of it
+    has a doc_id; a row with an empty set has none.
+    """
     docs = in_batches(docs)
     facts = written(_facts(docs, k), "facts")
     shared = _index_shared(docs, k, percent)
@@ -386,15 +390,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     labels = _merged(labels, _verified(docs, rest, nodes, k, percent))
     named = facts.groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.join(by_label, "label").select("node", "component_id")
-    joined = facts.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    out = joined.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = named.join(by_label, "label").select("node", "component_id", "label")
+    joined = facts.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "label")
+    out = joined.unionByName(facts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("label")))
     dropped(split, rest, members, nodes)
     return out
 
 
 def op5_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 #: DuckDB's rows for op5: all pairs that share a shingle, then components.

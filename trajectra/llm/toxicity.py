@@ -32,11 +32,12 @@ from trajectra.llm.rolling import SPACE, gram_hashes, prefix_hashes, span_hashes
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-#: Words of a stretch; consecutive stretches overlap by half.
-STRETCH = 12
+#: Words of a stretch; consecutive stretches begin half as many words apart, one at least.
+STRETCH = 3
 #: Labelled rows of class 0 and 1 that the model is fitted on at most.
 PER_CLASS = (3000, 1500)
-EPOCHS = 8
+#: Passes over the sample, more of them for a small sample: at least so many steps of BATCH rows in all.
+EPOCHS, STEPS, BATCH = 8, 600, 64
 RATE = 0.02
 SEED = 5
 LIMIT = 0.7
@@ -99,7 +100,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best + self.bias[1] - self.bias[0], -500, 500)))
 
 
-def trained(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def trained(sample: list[tuple[str, int]], epochs: int | None = None, seed: int = SEED) -> Model:
     """A model fitted to (text, label) rows by Adam on the cross entropy."""
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -108,6 +109,8 @@ def trained(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEE
     if len({y for _, y in sample}) < 2:
         return Model(embedding * 0, softmax, np.array([500.0, -500.0], np.float32))
     label = np.array([y for _, y in sample])
+    if epochs is None:  # a clean text gives two rows in a pass
+        epochs = max(EPOCHS, -(-STEPS * BATCH // int(len(label) + (label == 0).sum())))
     parts = []  # per text: entries in the order of their words, and the stretches
     for text, _ in sample:
         bucket, owner, words = entries([text])
@@ -139,8 +142,8 @@ def trained(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEE
                 rows.append(bucket[begin[other] : end[other]])
                 classes.append(0)
         order = random.permutation(len(rows))
-        for at in range(0, len(order), 64):
-            batch = [i for i in order[at : at + 64] if len(rows[i])]
+        for at in range(0, len(order), BATCH):
+            batch = [i for i in order[at : at + BATCH] if len(rows[i])]
             if not batch:
                 continue
             sizes = np.array([len(rows[i]) for i in batch])
