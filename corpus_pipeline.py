@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajectra.llm import decontaminate, mixing, pii, similarity_join, toxicity
-from trajectra.llm.common import written
+from trajectra.llm.common import broadcast_if_small, written
 
 #: Near duplicates of the pipeline: word shingles of five, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -14,9 +14,7 @@ SHINGLE, PERCENT = 5, 80
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is in gone(doc_id); rows without doc_id stay."""
-    few = gone.distinct()
-    few = F.broadcast(few) if few.limit(1_000_001).count() <= 1_000_000 else few
-    return docs.join(few, "doc_id", "left_anti")
+    return docs.join(broadcast_if_small(gone.distinct()), "doc_id", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near duplicates."""
-    found = written(similarity_join.near_duplicates(docs, SHINGLE, PERCENT), "groups")
-    kept = _without(docs, found.where("component_id < doc_id").select("doc_id"))
-    # a doc_id that stands on several rows is one document given again
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    few = F.broadcast(again) if again.limit(1_000_001).count() <= 1_000_000 else again
-    return _without(kept, again).unionByName(kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row, that with the least doc_id (nulls last) and text hash, of each group of near duplicates.
+
+    Rows without words are in no group and stay.
+    """
+    found = written(similarity_join.near_duplicates(docs, SHINGLE, PERCENT).where("label is not null"), "groups")
+    least = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
+    judged = found.join(broadcast_if_small(least), "label").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
+    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def joined(to: DataFrame, by: DataFrame, how: str) -> DataFrame:
+        own = broadcast_if_small(by.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+        return to.join(own, to["doc_id"].eqNullSafe(own["_id"]) & (to["_text_key"] == own["_key"]), how)
+
+    kept = joined(rows, judged.where("not first"), "left_anti")
+    # a row that is given again, text and all, is the same document
+    again = judged.where("first").groupBy("doc_id", "text_key").count().where("count > 1")
+    once = kept if again.isEmpty() else joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return once.drop("_text_key")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +70,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The trained stages can't be told in SQL; tests hold every stage against a brute-force version.
+#: The trained stages can't be told in SQL; tests/llm/test_pipeline.py tells what each stage keeps row by row.
 ORACLE_SQL = None
 
 
