@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op5_similarity_join": similarity_join.SQL,
+    "op6_substring_suffix": substring_suffix.SQL,
     "op9_decontaminate_simhash": decontaminate.SQL,
     "op10_substring_seed": substring_seed.SQL,
 }

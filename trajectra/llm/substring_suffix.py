@@ -202,3 +202,18 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
 
 def op6_substring_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+
+
+#: DuckDB's rows for op6: every 100-byte window by its digest, the first place of each, and what is left between the runs.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) AS s FROM d WHERE length(h) >= 200),
+f AS (SELECT s, min(doc_id::HUGEINT * 10000000000 + i) AS k FROM w GROUP BY s),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id::HUGEINT * 10000000000 + i > k),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh FROM r),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM u),
+q AS (SELECT v.doc_id, sum(b - a)::BIGINT AS gone, count(*) AS runs, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS k, max(b) AS last FROM v JOIN d USING (doc_id) GROUP BY v.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE coalesce(k, '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)
+"""
