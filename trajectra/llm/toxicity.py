@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from trajectra.llm.common import chunks, documents, ids, in_batches, labelled_sample
 from trajectra.llm.rolling import SPACE, gram_hashes, prefix_hashes, span_hashes, word_spans
 
+#: Rows of the embedding; a bucket fits in 16 bits.
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
@@ -111,13 +112,16 @@ def trained(sample: list[tuple[str, int]], epochs: int | None = None, seed: int
     label = np.array([y for _, y in sample])
     if epochs is None:  # a clean text gives two rows in a pass
         epochs = max(EPOCHS, -(-STEPS * BATCH // int(len(label) + (label == 0).sum())))
-    parts = []  # per text: entries in the order of their words, and the stretches
-    for text, _ in sample:
-        bucket, owner, words = entries([text])
+    parts = []  # per text: entries of its chunk in the order of their words, and the stretches' ends in them
+    texts = [t for t, _ in sample]
+    for a, b in chunks(texts, 100_000):
+        bucket, owner, words = entries(texts[a:b])
         order = np.argsort(owner, kind="stable")
-        begin, end, _ = stretches(words)
-        cut = np.searchsorted(owner[order], np.arange(int(words.sum()) + 1))
-        parts.append((bucket[order], cut[begin], cut[end]))
+        begin, end, text = stretches(words)
+        cut = np.searchsorted(owner[order], np.arange(int(words.sum()) + 1)).astype(np.int32)
+        bucket, begin, end = bucket[order].astype(np.uint16), cut[begin], cut[end]
+        first = np.searchsorted(text, np.arange(len(words) + 1))
+        parts += [(bucket, begin[i:j], end[i:j]) for i, j in zip(first[:-1], first[1:])]
     values = [embedding, softmax, bias]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     step = 0
@@ -129,12 +133,12 @@ def trained(sample: list[tuple[str, int]], epochs: int | None = None, seed: int
             if epoch == 0:
                 worst = int(random.integers(len(begin)))  # nothing is learnt yet: any stretch
                 if y:
-                    rows.append(bucket)  # the whole toxic text, which holds its insults for sure
+                    rows.append(bucket[begin[0] : end[-1]])  # the whole toxic text, which holds its insults for sure
                     classes.append(1)
                     continue
             else:
-                total = np.concatenate([[0.0], np.cumsum(margin[bucket])])
-                worst = int(np.argmax((total[end] - total[begin]) / np.maximum(1, end - begin)))
+                total = np.concatenate([[0.0], np.cumsum(margin[bucket[begin[0] : end[-1]]], dtype=float)])
+                worst = int(np.argmax((total[end - begin[0]] - total[begin - begin[0]]) / np.maximum(1, end - begin)))
             rows.append(bucket[begin[worst] : end[worst]])
             classes.append(int(y))
             if not y:  # and a clean text's other stretches, one at a time
