@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, repeats, similarity_join, substring_seed, substring_suffix, toxicity
+from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, similarity_join, substring_seed, substring_suffix, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names the operators use inside.
@@ -117,7 +117,7 @@ def hard_words():
 
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_substring_seed(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring_seed, "HOT_ROWS", hot)
     rows = corpus() + hard_words()
     first = {}
     texts = [(d, WORD.findall(t or "")) for d, t, _, _ in rows]
@@ -137,7 +137,7 @@ def test_substring_seed(spark, monkeypatch, hot):
 
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_substring_suffix(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    monkeypatch.setattr(substring_suffix, "HOT_ROWS", hot)
     rows = [(d, t if t is None else t + " äöü" * ((d or 0) % 50), lang, s) for d, t, lang, s in corpus() + hard_words() if d != 5]
     seen = {}
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])

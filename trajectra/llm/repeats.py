@@ -11,7 +11,7 @@ equal anchors at equal offsets, and only anchors have to meet in a shuffle:
    context stay open;
 3. open anchors fetch their contexts from the documents, meet again, and an exact
    comparison settles each of their windows;
-4. an anchor with more than HOT_ROWS open contexts, such as a phrase that many documents
+4. an anchor with more than a bound of open contexts, such as a phrase that many documents
    use, isn't compared as one group: each of its windows is a row with a 128-bit
    cryptographic digest of its units, and a plain aggregate, which Spark combines before the
    shuffle and splits as it likes, finds where each digest stood first;
@@ -37,8 +37,6 @@ from trajectra.llm.rolling import TOP, Batch, context_hashes, gram_hashes, mix,
 
 #: Contexts that one exact comparison holds as arrays at a time (groups stay whole).
 GROUP_ROWS = 20_000
-#: Open contexts that an anchor may have to be compared as one group.
-HOT_ROWS = 1_000
 
 
 def _anchors(batch: Batch, window: int, k: int) -> tuple[np.ndarray, ...]:
@@ -106,8 +104,8 @@ def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool)
     return docs.mapInPandas(run, "key long, context long, doc long, pos int, done boolean")
 
 
-def settled(found: DataFrame, across: bool) -> DataFrame:
-    """Anchors that are repeated (key null) or still open: doc, pos, key, hot."""
+def settled(found: DataFrame, across: bool, most: int) -> DataFrame:
+    """Anchors that are repeated (key null) or still open: doc, pos, key, hot (of more than `most` contexts)."""
     per_key = Window.partitionBy("key", "done")
     per_context = Window.partitionBy("key", "done", "context").orderBy("doc", "pos")
     ranked = found.repartition("key").withColumns(
@@ -116,7 +114,7 @@ def settled(found: DataFrame, across: bool) -> DataFrame:
             "first_pos": F.first("pos").over(per_context),
             "one_context": F.min("context").over(per_key) == F.max("context").over(per_key),
             "one_doc": F.min("doc").over(per_key) == F.max("doc").over(per_key),
-            "hot": F.count("*").over(per_key) > HOT_ROWS,
+            "hot": F.count("*").over(per_key) > most,
         }
     )
     later = F.col("doc") > F.col("first_doc")
@@ -209,14 +207,15 @@ def hot_spans(docs: DataFrame, open_: DataFrame, slices: Callable, window: int,
     return hits.agg(F.min("begin").alias("begin"), (F.max("begin") + window).alias("end")).select("doc", "begin", "end")
 
 
-def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, slices: Callable, compare: Callable, schema: str, window: int, k: int, across: bool) -> DataFrame:
+def repeated_spans(docs: DataFrame, load: Callable, cut: Callable, slices: Callable, compare: Callable, schema: str, window: int, k: int, across: bool, most: int) -> DataFrame:
     """Per document with repeats: doc, spans (array of begin and end in units, unmerged).
 
     docs: doc_id (not null) and text (not null).  Spans may reach over the document's ends.
+    most: open contexts that an anchor may have to be compared as one group.
     """
     reach = window - k
     docs = in_batches(docs)
-    state = written(settled(anchors(docs, load, window, k, across), across), "anchors")
+    state = written(settled(anchors(docs, load, window, k, across), across, most), "anchors")
     open_ = state.where(F.col("key").isNotNull())
     late = compared(contexts(docs, open_.where("not hot"), cut, schema), compare)
     hot = hot_spans(docs, open_.where("hot"), slices, window, k, across)

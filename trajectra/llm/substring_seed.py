@@ -31,6 +31,9 @@ from trajectra.llm.rolling import words_of
 
 WINDOW = 13
 SEED = 5
+#: Contexts of a seed that one task extends at most; a seed with more has each of its 9 windows
+#: told by a digest.
+HOT_ROWS = 5_000
 RESULT = "doc_id long, n_words long, n_removed long, n_repeats long, kept string, kept_sha256 string"
 
 
@@ -117,7 +120,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, seed: int = SEED)
     """RESULT per row of docs(doc_id, text); see the module's docstring."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = plain.where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(known, _load, _cutter(window, seed), partial(_slices, window=window), _comparer(window, seed), "words array<long>, left int", window, seed, across=True)
+    spans = repeated_spans(known, _load, _cutter(window, seed), partial(_slices, window=window), _comparer(window, seed), "words array<long>, left int", window, seed, across=True, most=HOT_ROWS)
     rows = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "begins", "ends")
     nulls = plain.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("begins"), F.lit(None).cast("array<long>").alias("ends"))
 

@@ -36,6 +36,9 @@ from trajectra.llm.rolling import BASE, Batch, powers
 
 WINDOW = 100
 ANCHOR = 20
+#: Contexts of an anchor that one task sorts at most (about 2 KB each as arrays); an anchor with
+#: more has each of its 81 windows told by a digest.
+HOT_ROWS = 50_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -180,7 +183,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = ANC
     """RESULT per row of docs(doc_id, text); see the module's docstring."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = plain.where(F.col("doc_id").isNotNull())
-    spans = repeated_spans(known, _load, _cutter(window, anchor), partial(_slices, window=window), _comparer(window, anchor), "around binary, left int", window, anchor, across=False)
+    spans = repeated_spans(known, _load, _cutter(window, anchor), partial(_slices, window=window), _comparer(window, anchor), "around binary, left int", window, anchor, across=False, most=HOT_ROWS)
     rows = known.join(spans, known["doc_id"] == spans["doc"], "left").select("doc_id", "text", "begins", "ends")
     nulls = plain.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("begins"), F.lit(None).cast("array<long>").alias("ends"))
 
