@@ -32,11 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import chunks, in_batches, written
+from trajectra.llm.common import broadcast_if_small, chunks, in_batches, written
 from trajectra.llm.rolling import TOP, Batch, context_hashes, gram_hashes, mix, winnow
 
 #: Contexts that one exact comparison holds as arrays at a time (groups stay whole).
 GROUP_ROWS = 20_000
+#: Repeated digests that are broadcast at most; more of them meet the windows in a shuffle.
+FEW_DIGESTS = 300_000
 
 
 def _anchors(batch: Batch, window: int, k: int) -> tuple[np.ndarray, ...]:
@@ -198,7 +200,9 @@ def hot_spans(docs: DataFrame, open_: DataFrame, slices: Callable, window: int,
                 yield pd.DataFrame({"doc": np.array(doc, np.int64), "pos": np.array(pos, np.int64), "begin": np.array(begin, np.int64), "digest": digest})
 
     rows = written(joined.mapInPandas(run, "doc long, pos long, begin long, digest binary"), "windows")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "begin")).alias("first"))
+    # only digests that stand more than once can repeat; being few, they go to the rows
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = broadcast_if_small(written(first, "digests"), FEW_DIGESTS)
     later = F.col("doc") > F.col("first.doc")
     if not across:
         later |= (F.col("doc") == F.col("first.doc")) & (F.col("begin") > F.col("first.begin"))
