@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajectra.llm import decontaminate, html_paths, mixing, ogg, pii, quality, similarity_join, substring_seed, substring_suffix, toxicity
+from trajectra.llm import byte_bpe, decontaminate, fim, html_paths, mixing, ogg, pii, quality, runs, similarity_join, substring_seed, substring_suffix, toxicity
 
 QUERIES = {
     "op1_mixing_flow": mixing.op1_mixing_flow,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity_subword": toxicity.op8_toxicity_subword,
     "op9_decontaminate_simhash": decontaminate.op9_decontaminate_simhash,
     "op10_substring_seed": substring_seed.op10_substring_seed,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op6_substring_suffix": substring_suffix.SQL,
     "op9_decontaminate_simhash": decontaminate.SQL,
     "op10_substring_seed": substring_seed.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_periodic_runs": runs.SQL,
 }
