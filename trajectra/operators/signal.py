@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajectra.functions.vectors import gaussian_kernel, in_order, norm
+from trajectra.operators.chunks import SIZE, chunked, lists, numbers, vectors
 
 
 def with_dt(frames: DataFrame) -> DataFrame:
@@ -53,11 +56,14 @@ def smooth_frames(frames: DataFrame, column: str, sigma: float) -> DataFrame:
     return rows.withColumn(column, out).drop("near_", "n_")
 
 
-def features(frames: DataFrame, sigma: float = 0.0) -> DataFrame:
+DERIVATIVES = ("velocity", "acceleration", "jerk")
+
+
+def features(frames: DataFrame, sigma: float = 0.0, size: int = SIZE) -> DataFrame:
     """frames with velocity, acceleration and jerk; each derivative is smoothed before the next.
 
-    Without smoothing these are window expressions; with it each episode goes through numpy
-    once, so that three smoothed derivatives take one shuffle.
+    Without smoothing these are window expressions; with it each chunk of an episode goes
+    through numpy once, so that three smoothed derivatives take one shuffle.
     """
     if sigma <= 0:
         rows = with_dt(frames)
@@ -65,19 +71,27 @@ def features(frames: DataFrame, sigma: float = 0.0) -> DataFrame:
             rows = derivative(rows, source, name)
         return rows
     weights = np.array(gaussian_kernel(sigma))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame_index", kind="stable")
-        x, dt = np.stack(part["state"].to_list()).astype(float), np.diff(part["timestamp"].to_numpy())
-        dt = np.where(dt == 0, 1e-6, dt)[:, None]
-        for name in ("velocity", "acceleration", "jerk"):
-            change = np.diff(x, axis=0) / dt
-            x = smoothed_array(np.concatenate([change[:1], change]), weights) if len(change) else np.full_like(x, np.nan)
-            part[name] = list(x)
-        return part
-
-    schema = T.StructType([*frames.select("episode_index", "frame_index", "timestamp", "state").schema, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("velocity", "acceleration", "jerk")]])
-    return frames.select("episode_index", "frame_index", "timestamp", "state").groupBy("episode_index").applyInPandas(run, schema)
+    # a derivative looks one frame back, its smoothing as far as the kernel reaches
+    halo = 3 * (1 + len(weights) // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            episode, own, frame, time, state = (batch.column(n) for n in ("episode_index", "own", "frame_index", "timestamp", "state"))
+            for k in range(batch.num_rows):
+                x, t, kept = vectors(state, k), numbers(time, k), numbers(own, k).astype(bool)
+                dt = np.diff(t)
+                dt = np.where(dt == 0, 1e-6, dt)[:, None]
+                out = [x]
+                for _ in range(3):
+                    change = np.diff(out[-1], axis=0) / dt
+                    out.append(smoothed_array(np.concatenate([change[:1], change]), weights) if len(change) else np.full_like(x, np.nan))
+                columns = [pa.array(np.full(int(kept.sum()), episode[k].as_py())), pa.array(numbers(frame, k)[kept]), pa.array(t[kept]), *[lists(np.ascontiguousarray(v[kept])) for v in out]]
+                yield pa.RecordBatch.from_arrays(columns, names=["episode_index", "frame_index", "timestamp", "state", *DERIVATIVES])
+
+    kinds = frames.select("episode_index", "frame_index", "timestamp", "state").schema
+    schema = T.StructType([*kinds, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in DERIVATIVES]])
+    parts = chunked(frames, {"timestamp": F.col("timestamp"), "state": F.col("state")}, max(size, halo), halo)
+    return parts.mapInArrow(run, schema)
 
 
 def smoothed_array(x: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trajectra.functions.vectors import gaussian_kernel
 from trajectra.operators import execution, motion, signal, stats
 from trajectra.operators.ordering import numbered
+from trajectra.plans import execution_sql
 from trajectra.sources import frames as src
 
 QUERIES: dict = {}
@@ -238,10 +239,14 @@ def dimensionless_jerk_pct(spark, d):
     return rows.select("episode_index", r("jerk_rank_score"))
 
 
-@query()
+EXECUTION = execution_sql.execution(EV)
+_SCORES = ["units_score", "hesitation_score", "submovement_score", "jerk_score", "sparc_score", "overall_score"]
+
+
+@query(EXECUTION + f" SELECT e AS episode_index, units::INTEGER AS movement_units, hes::INTEGER AS hesitations, subs::INTEGER AS submovements, round(sparc, 6) AS sparc, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _SCORES)}, round((hesitation_score + submovement_score) / 2, 6) + 0.0 AS control_confidence FROM x")
 def execution_quality(spark, d):
     rows = execution.execution_scores(signal.features(src.events_frames(spark, d), 1.0))
-    return rows.select("episode_index", "movement_units", "hesitations", "submovements", r("sparc"), r("units_score"), r("hesitation_score"), r("submovement_score"), r("jerk_score"), r("sparc_score"), r("overall_score"))
+    return rows.select("episode_index", "movement_units", "hesitations", "submovements", r("sparc"), r("units_score"), r("hesitation_score"), r("submovement_score"), r("jerk_score"), r("sparc_score"), r("overall_score"), r("control_confidence"))
 
 
 @query(EV + ", s AS (SELECT e, list(x ORDER BY i) AS v, count(*) AS n FROM g GROUP BY e), p AS (SELECT e, v, n, unnest(range(0, n - 2)) AS i FROM s WHERE n >= 3) SELECT e AS episode_index, sum((abs(sign(v[i+3]-v[i+2]) - sign(v[i+2]-v[i+1])) > 1 AND v[i+1] > 0.05 * list_max(v))::INT)::INTEGER AS hesitations FROM p GROUP BY e")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajectra.operators import consistency, execution, motion, report, signal, spatial, stats, success
-from trajectra.plans.motion_queries import DERIVED, EV, r
+from trajectra.plans import execution_sql
+from trajectra.plans.motion_queries import DERIVED, EV, EXECUTION, r
 from trajectra.plans.quality_queries import BOUNDS, CELLS, SCORES, SMALL, _scores, _small, position_distribution
 from trajectra.sources import frames as src
 
@@ -153,13 +154,21 @@ def coverage_quality(spark, d):
     return spatial.workspace_coverage(_small(spark, d), BOUNDS).select(r(F.col("coverage_pct") / 100, 6, "share"), "quality")
 
 
-@query()
+_NAMES = ["units_score", "hesitation_score", "submovement_score", "jerk_score", "sparc_score", "overall_score"]
+_LONG = ", ".join(f"{{'m': '{c}', 's': {c}}}" for c in _NAMES)
+SUMMARY = EXECUTION + f", xl AS (SELECT unnest([{_LONG}]) AS z FROM x), xs AS (SELECT z.m AS metric, count(*) AS n, avg(z.s) AS mean, stddev_pop(z.s) AS std, min(z.s) AS min, max(z.s) AS max FROM xl GROUP BY 1)"
+
+
+@query(SUMMARY + " SELECT metric, n, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(min, 6) + 0.0 AS min, round(max, 6) + 0.0 AS max FROM xs")
 def execution_summary(spark, d):
     rows = execution.execution_summary(execution.execution_scores(signal.features(src.events_frames(spark, d), 1.0)))
     return rows.select("metric", "n", r("mean"), r("std"), r("min"), r("max"))
 
 
-@query()
+_SPARC = execution_sql.spectral("sp", "so", "s")
+
+
+@query(DERIVED + f", so AS (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM m), {_SPARC}, sq AS (SELECT k.*, least(greatest((-sparc - 1) / 2, 0), 1) AS z FROM k JOIN sp ON sp.e = k.episode_index) SELECT episode_index, round(z, 6) + 0.0 AS smooth_score, round(0.35/(1+mean_jerk/100) + 0.35*z + 0.15/(1+std_accel/10) + 0.10/(1+std_speed/mean_speed) + 0.05*least(straight/L, 1), 6) AS overall_score FROM sq")
 def motion_quality_sparc(spark, d):
     """Motion quality with the spectral smoothness."""
     features = signal.features(src.events_frames(spark, d))
