@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import INFINITY, finite, in_order, whole_episode
+from trajectra.operators import selection
 from trajectra.operators.robots import robot, within_limits
+from trajectra.sources.tables import written
 
 
 def alignment(frames: DataFrame) -> DataFrame:
@@ -156,8 +158,9 @@ def local_outlier_factor(points: DataFrame, k: int = 20, sample_rows: int = 10_0
 def local_anomalies(points: DataFrame, contamination: float = 0.1) -> DataFrame:
     """id, lof, anomaly: rows below the contamination's quantile of the negated factors."""
     scores = local_outlier_factor(points)
-    limit = scores.agg(F.percentile(-F.col("lof"), F.lit(contamination)).alias("limit_"))
-    return scores.join(F.broadcast(limit)).withColumn("anomaly", -F.col("lof") < F.col("limit_")).drop("limit_")
+    scores = written(scores, "factors")
+    (limit,) = selection.quantiles(scores, -F.col("lof"), [contamination])
+    return scores.withColumn("anomaly", -F.col("lof") < F.lit(limit))
 
 
 def _path(n: float) -> float:
@@ -208,8 +211,9 @@ def isolation_scores(points: DataFrame, sample_rows: int = 10_000, seed: int = 4
 
 def anomalies(scores: DataFrame, contamination: float = 0.1) -> DataFrame:
     """scores with anomaly: above the quantile that leaves the contamination."""
-    limit = scores.agg(F.percentile("score", F.lit(1 - contamination)).alias("limit_"))
-    return scores.join(F.broadcast(limit)).withColumn("anomaly", F.col("score") > F.col("limit_")).drop("limit_")
+    scores = written(scores, "scores")
+    (limit,) = selection.quantiles(scores, "score", [1 - contamination])
+    return scores.withColumn("anomaly", F.col("score") > F.lit(limit))
 
 
 def anomaly_check(frames: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import finite, ratio, whole_episode
+from trajectra.operators import selection
 
 
 def summary(x: Column) -> list[Column]:
-    """Mean, population deviation, extremes, quartiles and range as aggregates."""
+    """Mean, population deviation, extremes, quartiles and range as aggregates of a group (for all rows: whole_summary)."""
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q[1].alias("median"), q[0].alias("p25"), q[2].alias("p75"), (F.max(x) - F.min(x)).alias("range")]
 
@@ -40,7 +41,9 @@ def row_outliers(frames: DataFrame, method: str = "zscore", threshold: float = 3
     if method == "zscore":
         sides = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).select("dim", (F.col("m") - threshold * (F.col("s") + 1e-8)).alias("low"), (F.col("m") + threshold * (F.col("s") + 1e-8)).alias("high"))
     elif method == "iqr":
-        q = long.groupBy("dim").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select("dim", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+        dims = frames.agg(F.max(F.size("state"))).first()[0] or 0
+        ends = [(d, *selection.quantiles(frames, F.get("state", F.lit(d)), [0.25, 0.75])) for d in range(dims)]
+        q = frames.sparkSession.createDataFrame(ends, "dim int, a double, b double")
         sides = q.select("dim", (F.col("a") - threshold * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + threshold * (F.col("b") - F.col("a"))).alias("high"))
     else:
         raise ValueError(f"method must be zscore or iqr, not {method}")
@@ -51,9 +54,17 @@ def row_outliers(frames: DataFrame, method: str = "zscore", threshold: float = 3
 
 
 def percentiles(rows: DataFrame, x: str, shares: tuple[float, ...] = (0.5, 0.75, 0.95)) -> DataFrame:
-    """share, value: the exact percentiles of x."""
-    q = rows.agg(F.percentile(x, F.array(*[F.lit(s) for s in shares])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(s) for s in shares]), F.col("i")).alias("share"), "value")
+    """share, value: the exact percentiles of x over all rows."""
+    return rows.sparkSession.createDataFrame(list(zip(shares, selection.quantiles(rows, x, list(shares)))), "share double, value double")
+
+
+def whole_summary(rows: DataFrame, x: Column) -> DataFrame:
+    """summary of x over all rows as one row; the quartiles are selected by rank."""
+    rows = rows.select(x.alias("x"))
+    q = selection.quantiles(rows, "x", [0.25, 0.5, 0.75])
+    value = F.col("x")
+    sums = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), (F.max(value) - F.min(value)).alias("range"))
+    return sums.withColumns({name: F.lit(v).cast("double") for name, v in zip(("p25", "median", "p75"), q)})
 
 
 def weighted(scores: DataFrame, by: list[str], weights: dict[str, float]) -> DataFrame:
@@ -67,7 +78,7 @@ def weighted(scores: DataFrame, by: list[str], weights: dict[str, float]) -> Dat
 def metric_summary(rows: DataFrame, name: str, score: str, raw: str, threshold: float | None = None) -> DataFrame:
     """One row: the metric's name, mean score, the summary of its raw values, and whether the score passes."""
     passed = F.col("score") >= threshold if threshold is not None else F.lit(None).cast("boolean")
-    sums = rows.agg(F.avg(score).alias("score"), *summary(F.col(raw)))
+    sums = rows.agg(F.avg(score).alias("score")).join(F.broadcast(whole_summary(rows, F.col(raw)).drop("n")))
     return sums.select(F.lit(name).alias("metric"), "*").withColumns({"threshold": F.lit(threshold).cast("double"), "passed": passed})
 
 

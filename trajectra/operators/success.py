@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajectra.operators import selection
+
 
 def classified(scores: DataFrame, excellent: float = 0.75, good: float = 0.60, marginal: float = 0.45) -> DataFrame:
     """scores(episode_idx, quality_score, ...) with classification and is_successful."""
@@ -40,7 +42,7 @@ def tiers(scores: DataFrame) -> DataFrame:
 def lowest_tenth(scores: DataFrame) -> DataFrame:
     """The lowest tenth of the episodes, one at least, ties by index."""
     n = scores.count()
-    return scores.orderBy("quality_score", "episode_idx").limit(max(1, n // 10)) if n else scores.limit(0)
+    return selection.lowest(scores, "quality_score", "episode_idx", max(1, n // 10)) if n else scores
 
 
 def problem_episodes(scores: DataFrame, anomalous: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def tier_counts(spark, d):
 
 @query(SCORES + " SELECT round(avg(length), 6) AS mean, round(stddev_pop(length), 6) AS std, min(length) AS min, max(length) AS max, quantile_cont(length, 0.5) AS median, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.75) AS p75 FROM o")
 def length_stats(spark, d):
-    return _scores(spark, d).agg(*stats.summary(F.col("length"))).select(r("mean"), r("std"), "min", "max", "median", "p25", "p75")
+    return stats.whole_summary(_scores(spark, d), F.col("length")).select(r("mean"), r("std"), "min", "max", "median", "p25", "p75")
 
 
 _HIST = ", zz AS (SELECT min({x})::DOUBLE AS a, max({x})::DOUBLE AS b FROM o), c AS (SELECT least(floor(({x}-a)/(b-a)*{n}), {n}-1)::INT AS bin, count(*) AS k FROM o, zz GROUP BY 1) SELECT i::INTEGER AS bin, coalesce(k, 0) AS count, round(a+i*(b-a)/{n}, 6) AS low, round(a+i*(b-a)/{n}+(b-a)/{n}/2, 6) AS centre FROM range({n}) r(i) CROSS JOIN zz LEFT JOIN c ON c.bin = i"

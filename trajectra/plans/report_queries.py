@@ -139,8 +139,7 @@ def success_indicators(spark, d):
 
 @query(SCORES + " SELECT count(*) AS n, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS std, min(q) AS min, max(q) AS max, round(quantile_cont(q, 0.5), 6) AS median FROM o")
 def quality_stats(spark, d):
-    q = F.col("quality_score")
-    return _scores(spark, d).agg(F.count("*").alias("n"), *stats.summary(q)).select("n", r("mean"), r("std"), "min", "max", r("median"))
+    return stats.whole_summary(_scores(spark, d), F.col("quality_score")).select("n", r("mean"), r("std"), "min", "max", r("median"))
 
 
 @query(SCORES + " SELECT episode_idx, CASE WHEN q >= 0.7 THEN 'Healthy' WHEN q >= 0.5 THEN 'Moderate' ELSE 'Needs Attention' END AS health, CASE WHEN 100*q >= 70 THEN 'high' WHEN 100*q >= 50 THEN 'medium' ELSE 'low' END AS success, CASE WHEN q > 0.7 AND length > 50 THEN 'strong' WHEN q > 0.5 THEN 'moderate' ELSE 'weak' END AS spatial, CASE WHEN q > 0.8 AND length > 50 THEN 'strong' WHEN q > 0.6 THEN 'moderate' ELSE 'weak' END AS consistency, CASE WHEN q >= 0.8 THEN 'good' WHEN q >= 0.6 THEN 'fair' ELSE 'weak' END AS bar FROM o")
