@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import INFINITY, finite, in_order, whole_episode
 from trajectra.operators import selection
+from trajectra.operators.neighbours import outlier_factors
 from trajectra.operators.robots import robot, within_limits
 from trajectra.sources.tables import written
 
@@ -113,13 +114,15 @@ def _neighbours(x: np.ndarray, ids: np.ndarray, sample: np.ndarray, names: np.nd
     return (np.concatenate(distances), np.concatenate(places)) if distances else (np.zeros((0, k)), np.zeros((0, k), int))
 
 
-def local_outlier_factor(points: DataFrame, k: int = 20, sample_rows: int = 10_000, seed: int = 42) -> DataFrame:
+def local_outlier_factor(points: DataFrame, k: int = 20, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """id, lof of every row of points(id, x: array): the density of its k neighbours over its own.
 
-    Neighbours are looked for among all rows if there are at most sample_rows, and else among
-    that many drawn by a seeded order, a documented bound, so every task holds them; each row
-    gets its factor either way.  The tasks compare all rows with the sample in blocks.
+    Neighbours are the nearest of all rows.  With sample_rows, which is an approximation, they are looked for among
+    that many drawn by a seeded order, which every task holds; each row gets its factor
+    either way.
     """
+    if sample_rows is None:
+        return outlier_factors(points, k)
     drawn = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).select("id", "x").collect()
     drawn.sort(key=lambda r: r["id"])
     if len(drawn) < 2:

@@ -232,7 +232,7 @@ LOF = "WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)
 
 @query(LOF + " SELECT id, round(lof, 6) AS lof FROM f")
 def local_outliers(spark, d):
-    """Local outlier factors of all vectors (the SQL's neighbours are all rows, so up to 10,000 of them)."""
+    """Local outlier factors of all vectors, with neighbours among all."""
     return consistency.local_outlier_factor(_points(spark, d)).select("id", r("lof"))
 
 
