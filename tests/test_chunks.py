@@ -86,3 +86,28 @@ def test_spectrum_in_two_steps(spark):
     assert set(got) == {1, 2}
     for e in got:
         assert got[e] == pytest.approx(execution.sparc(signals[e], 0.02 * e), rel=1e-9)
+
+
+def test_poses_of_columns_are_those_of_numpy(spark):
+    from trajectra.operators import robots
+
+    random = np.random.default_rng(7)
+    for kind in robots.ROBOTS:
+        dof = len(robots.DH[kind])
+        x = random.uniform(-3, 3, (5, dof))
+        rows = spark.createDataFrame([(0, i, 0.0, v.tolist(), None) for i, v in enumerate(x)], FRAMES)
+        want = robots.frames_of(x, robots.DH[kind])
+        got = robots.joint_poses(rows, kind).orderBy("frame_index", "joint").collect()
+        assert len(got) == 5 * (dof + 1)
+        for r in got:
+            pose = want[r["frame_index"], r["joint"]]
+            assert np.allclose(r["position"], pose[:3, 3]) and np.allclose(r["axis"], pose[:3, 2])
+            j = min(r["joint"], dof - 1)
+            step = want[r["frame_index"], j + 1, :3, 3] - want[r["frame_index"], j, :3, 3]
+            length = np.linalg.norm(step)
+            assert np.allclose(r["direction"], step / length if length > 1e-10 else [0, 0, 1])
+    state = np.array([r["state"] for r in robots.joint_samples(spark, "panda", 2000).collect()])
+    arm = robots.robot("panda")
+    assert (state >= arm["lower"]).all() and (state <= arm["upper"]).all()
+    share = (state - arm["lower"]) / (np.array(arm["upper"]) - arm["lower"])
+    assert all(abs(np.histogram(share[:, j], 10, (0, 1))[0] - 200).max() < 30 for j in range(7))

@@ -45,6 +45,13 @@ def recommendations(metrics: DataFrame) -> DataFrame:
     return fired.orderBy("rank", "score", "seq").select("priority", "category", "metric", "score", "issue", "advice", "technique")
 
 
+def by_category(found: DataFrame) -> DataFrame:
+    """category, rules, HIGH, MEDIUM, LOW, first: the fired rules of each category, and the metric of its first one in order."""
+    rank = F.element_at(F.create_map(F.lit("HIGH"), F.lit(0), F.lit("MEDIUM"), F.lit(1), F.lit("LOW"), F.lit(2)), F.col("priority"))
+    counts = [F.count_if(F.col("priority") == p).alias(p) for p in ("HIGH", "MEDIUM", "LOW")]
+    return found.groupBy("category").agg(F.count("*").alias("rules"), *counts, F.min_by("metric", F.struct(rank, "score", "metric")).alias("first"))
+
+
 def priority_counts(found: DataFrame) -> DataFrame:
     names = ["HIGH", "MEDIUM", "LOW"]
     sums = found.agg(*[F.count_if(F.col("priority") == p).alias(p) for p in names])

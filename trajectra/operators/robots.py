@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajectra.sources.tables import written
+
 PI = math.pi
 # Joint limits (rad), workspace bounds (m), and DH rows (d, a, alpha) per robot.
 ROBOTS = {
@@ -110,3 +112,62 @@ def reachable_voxels(spark: SparkSession, kind: str, size: float = 0.05, n: int
     cells = np.minimum(((points - low) / (high - low) * bins).astype(int), np.array(bins) - 1)
     rows = [tuple(map(int, c)) for c in np.unique(cells, axis=0)]
     return spark.createDataFrame(rows, "ix int, iy int, iz int"), [(float(a), float(h), b) for a, h, b in zip(low, high, bins)]
+
+
+def poses(joints: Column, kind: str) -> Column:
+    """The poses of all joint frames, the base first, as arrays of 12 numbers: three rotation rows, then the position."""
+    dh = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("d", "a", "ca", "sa"), (d, a, math.cos(alpha), math.sin(alpha)))]) for d, a, alpha in robot(kind)["dh"]])
+    links = F.filter(F.zip_with(F.transform(joints, lambda x: F.struct(F.cos(x).alias("c"), F.sin(x).alias("s"))), dh, lambda j, k: F.struct(j["c"].alias("c"), j["s"].alias("s"), k["d"].alias("d"), k["a"].alias("a"), k["ca"].alias("ca"), k["sa"].alias("sa"))), lambda t: t["c"].isNotNull() & t["d"].isNotNull())
+
+    def after(done: Column, t: Column) -> Column:
+        p = F.element_at(done, -1)
+        at = lambda row, k: F.get(p, F.lit(3 * row + k))
+        c, s, d, a, ca, sa = (t[n] for n in ("c", "s", "d", "a", "ca", "sa"))
+        columns = [(c, s, None), (-s * ca, c * ca, sa), (s * sa, -c * sa, ca)]
+        place = (a * c, a * s, d)
+        turn = lambda row, v: sum((at(row, k) * x for k, x in enumerate(v) if x is not None), F.lit(0.0))
+        return F.concat(done, F.array(F.array(*[turn(row, v) for row in range(3) for v in columns], *[turn(row, place) + F.get(p, F.lit(9 + row)) for row in range(3)])))
+
+    return F.aggregate(links, F.array(_numbers([1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0])), after)
+
+
+def joint_poses(frames: DataFrame, kind: str) -> DataFrame:
+    """episode_index, frame_index, joint, position, axis and direction of every joint frame.
+
+    The direction is the unit vector to the next joint; the last joint repeats the one before,
+    and joints in one place point upwards.
+    """
+    rows = frames.select("episode_index", "frame_index", poses(F.col("state"), kind).alias("p"))
+    part = lambda p, places: F.array(*[F.get(p, F.lit(k)) for k in places])
+    step = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda j: F.zip_with(part(F.get("p", F.least(j + 1, F.size("p") - 1)), (9, 10, 11)), part(F.get("p", F.least(j, F.size("p") - 2)), (9, 10, 11)), lambda a, b: a - b))
+    rows = rows.select("episode_index", "frame_index", F.posexplode(F.arrays_zip(F.col("p").alias("pose"), step.alias("step"))).alias("joint", "v"))
+    length = F.sqrt(F.aggregate("v.step", F.lit(0.0), lambda s, x: s + x * x))
+    direction = F.when(length > 1e-10, F.transform("v.step", lambda x: x / length)).otherwise(_numbers([0, 0, 1]))
+    return rows.select("episode_index", "frame_index", "joint", part(F.col("v.pose"), (9, 10, 11)).alias("position"), part(F.col("v.pose"), (2, 5, 8)).alias("axis"), direction.alias("direction"))
+
+
+def even_steps(dof: int) -> list[float]:
+    """Steps of a sequence that fills a cube of dof dimensions evenly: powers of the inverse root of x^(dof + 1) = x + 1."""
+    root = 2.0
+    for _ in range(100):
+        root = (1 + root) ** (1 / (dof + 1))
+    return [root**-j % 1 for j in range(1, dof + 1)]
+
+
+def joint_samples(spark: SparkSession, kind: str, n: int = 10_000) -> DataFrame:
+    """id, state: n joint vectors that fill the robot's limits evenly; any n, since row i follows from i alone."""
+    r = robot(kind)
+    at = [F.lit(0.5) + F.lit(step) * (F.col("id") + 1) for step in even_steps(r["dof"])]
+    state = [F.lit(float(lo)) + F.lit(float(hi - lo)) * (x - F.floor(x)) for x, lo, hi in zip(at, r["lower"], r["upper"])]
+    return spark.range(n).select("id", F.array(*state).alias("state"))
+
+
+def reachable_cells(spark: SparkSession, kind: str, size: float = 0.05, n: int = 10_000) -> tuple[DataFrame, list[tuple[float, float, int]]]:
+    """(ix, iy, iz) of the cells that evenly drawn joints reach, and (low, high, bins) of each axis; all in Spark, for any n."""
+    tool = F.element_at(poses(F.col("state"), kind), -1)
+    points = written(joint_samples(spark, kind, n).select(*[F.get(tool, F.lit(9 + k)).alias(c) for k, c in enumerate("xyz")]), "points")
+    ends = points.agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in enumerate((F.min, F.max))]).first()
+    axes = [(ends[f"{c}0"] - size, ends[f"{c}1"] + size) for c in "xyz"]
+    axes = [(low, high, int((high - low) / size) + 1) for low, high in axes]
+    places = [F.least(F.floor((F.col(c) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int").alias(f"i{c}") for c, (low, high, bins) in zip("xyz", axes)]
+    return points.select(*places).distinct(), axes

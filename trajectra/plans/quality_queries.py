@@ -167,7 +167,8 @@ def density_2d(spark, d):
 
 
 @query()
-def reachable_coverage(spark, d):
+def reachable_coverage_seeded(spark, d):
+    """Reachable cells from joints drawn by the legacy generator (seed 42)."""
     cells, axes = robots.reachable_voxels(spark, "so-arm100")
     return spatial.reachable_coverage(_small(spark, d), cells, axes).select("reachable", "visited", r("coverage"))
 
@@ -194,6 +195,32 @@ def forward_kinematics(spark, d):
     return rows.select("episode_index", "frame_index", *[r(F.get("tool", F.lit(i)), 6, c) for i, c in enumerate("xyz")])
 
 
+_EACH = " UNION ALL ".join(f"SELECT e, i, {n} AS joint, x, y, z FROM k{n}" for n in range(7))
+
+
+@query(JOINTS + _kinematics("generic_6dof") + f", u AS ({_EACH}), s AS (SELECT *, coalesce(lead(x) OVER w, x) - CASE WHEN joint = 6 THEN lag(x) OVER w ELSE x END AS dx, coalesce(lead(y) OVER w, y) - CASE WHEN joint = 6 THEN lag(y) OVER w ELSE y END AS dy, coalesce(lead(z) OVER w, z) - CASE WHEN joint = 6 THEN lag(z) OVER w ELSE z END AS dz FROM u WINDOW w AS (PARTITION BY e, i ORDER BY joint)), l AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS len FROM s) SELECT e AS episode_index, i::INTEGER AS frame_index, joint::INTEGER AS joint, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(CASE WHEN len > 1e-10 THEN dx/len ELSE 0 END, 5) + 0.0 AS ux, round(CASE WHEN len > 1e-10 THEN dy/len ELSE 0 END, 5) + 0.0 AS uy, round(CASE WHEN len > 1e-10 THEN dz/len ELSE 1 END, 5) + 0.0 AS uz FROM l")
+def joint_poses(spark, d):
+    rows = robots.joint_poses(_joints(spark, d), "generic_6dof")
+    return rows.select("episode_index", "frame_index", "joint", *[r(F.get("position", F.lit(k)), 6, c) for k, c in enumerate("xyz")], *[r(F.get("direction", F.lit(k)), 5, f"u{c}") for k, c in enumerate("xyz")])
+
+
+def _evenly(kind: str, n: int) -> str:
+    """SQL of q(e, i, s): n joint vectors that fill the robot's limits evenly."""
+    arm = robots.robot(kind)
+    at = [f"(0.5::DOUBLE + {step!r}::DOUBLE * (v + 1))" for step in robots.even_steps(arm["dof"])]
+    return f"q AS (SELECT 0 AS e, v AS i, [{', '.join(f'({float(lo)!r})::DOUBLE + {float(hi - lo)!r}::DOUBLE * ({x} - floor({x}))' for x, lo, hi in zip(at, arm['lower'], arm['upper']))}] AS s FROM range({n}) t(v))"
+
+
+_ENDS = ", ".join(f"min({c}) - 0.05::DOUBLE AS {c}0, max({c}) + 0.05::DOUBLE AS {c}1" for c in "xyz")
+_INTO = ", ".join(f"least(floor(({{}}{c} - {c}0) / ({c}1 - {c}0) * n{c}), n{c} - 1) AS i{c}" for c in "xyz")
+
+
+@query(SMALL + ", " + _evenly("so-arm100", 10_000) + _kinematics("so-arm100") + f", z0 AS (SELECT {_ENDS} FROM k6), z1 AS (SELECT *, floor((x1 - x0) / 0.05::DOUBLE)::INT + 1 AS nx, floor((y1 - y0) / 0.05::DOUBLE)::INT + 1 AS ny, floor((z1 - z0) / 0.05::DOUBLE)::INT + 1 AS nz FROM z0), rc AS (SELECT DISTINCT {_INTO.replace('{}', 'k6.')} FROM k6, z1), vc AS (SELECT DISTINCT {_INTO.replace('{}', 'p')} FROM g, z1 WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 AND pz BETWEEN z0 AND z1), hc AS (SELECT count(*) AS h FROM rc JOIN vc USING (ix, iy, iz)) SELECT (SELECT count(*) FROM rc) AS reachable, h AS visited, round(h / (SELECT count(*) FROM rc), 6) AS coverage FROM hc")
+def reachable_coverage(spark, d):
+    cells, axes = robots.reachable_cells(spark, "so-arm100")
+    return spatial.reachable_coverage(_small(spark, d), cells, axes).select("reachable", "visited", r("coverage"))
+
+
 @query()
 def robot_table(spark, d):
     return robots.robot_table(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajectra.operators import consistency, execution, motion, report, signal, spatial, stats, success
 from trajectra.plans import execution_sql
 from trajectra.plans.motion_queries import DERIVED, EV, EXECUTION, r
+from trajectra.plans.quality_queries import SQL as PARTS
 from trajectra.plans.quality_queries import BOUNDS, CELLS, SCORES, SMALL, _scores, _small, position_distribution
 from trajectra.sources import frames as src
 
@@ -182,27 +183,62 @@ def _spatial(spark, d):
     return rows.join(F.broadcast(coverage.select((F.col("coverage_pct") / 100).alias("coverage_share"))))
 
 
-@query()
+_SPACE = f"SELECT a.score AS coverage, b.score AS start, c.score AS distribution, d.score AS angle, 0.4*a.score + 0.3*b.score + 0.2*c.score + 0.1*d.score AS overall, a.coverage_pct / 100 AS share FROM ({PARTS['workspace_coverage']}) a, ({PARTS['start_variance']}) b, ({PARTS['position_distribution']}) c, ({PARTS['approach_diversity']}) d"
+
+
+@query(f"SELECT coverage, start, distribution, angle, round(overall, 4) AS overall_score, round(share, 6) AS coverage_share FROM ({_SPACE})")
 def spatial_summary(spark, d):
-    return _spatial(spark, d).select(r("coverage"), r("start"), r("distribution"), r("angle"), r("overall_score"), r("coverage_share"))
+    return _spatial(spark, d).select(r("coverage"), r("start"), r("distribution"), r("angle"), r("overall_score", 4), r("coverage_share"))
+
+
+# a tenth of the frames lies above the forest's limit, which is a quantile of their scores
+_RECORDED = f"SELECT *, 0.25*al + 0.25*te + 0.2*mi + 0.2*an + 0.1*li AS overall FROM (SELECT avg(alignment_score) AS al FROM ({PARTS['alignment']})), (SELECT avg(temporal_score) AS te FROM ({PARTS['temporal_consistency']})), (SELECT 1.0::DOUBLE AS mi, greatest(1 - 100.0*(count(*) - 1 - floor(0.9*(count(*) - 1)))/count(*)/20, 0) AS an, (count(*) - 1 - floor(0.9*(count(*) - 1)))/count(*) AS away FROM events), (SELECT {{limits}} AS li)"
+
+
+@query(f"SELECT round(al, 6) AS alignment, round(te, 5) AS temporal, mi AS missing, round(an, 6) AS anomaly, round(li, 6) AS limits, round(overall, 5) AS overall_score FROM ({_RECORDED.format(limits='(SELECT greatest(1 - 10.0*avg((x > 95 OR k > 9)::INT), 0)::DOUBLE FROM (SELECT value AS x, CAST(json_extract_string(props, $$$.k$$) AS DOUBLE) AS k FROM events))')})")
+def consistency_of_robot(spark, d):
+    """Consistency of events taken for a six-joint arm, by the recorder's clock; the first two joints pass their limits where value is above 95 or k above 9."""
+    x, y = F.get("state", F.lit(0)), F.get("state", F.lit(1))
+    limit = 3.141592653589793
+    joint = lambda v, most: F.when(v > most, v - most + limit + 0.02).otherwise(v * (limit / most))
+    joints = F.array(joint(x, 95.0), joint(y, 9.0), *[F.lit(0.0)] * 4)
+    rows = consistency.consistency(src.events_frames(spark, d, True).withColumn("state", joints), kind="generic_6dof")
+    return rows.select(r("alignment"), r("temporal", 5), r("missing"), r("anomaly"), r("limits"), r("overall_score", 5))
 
 
 def _report(spark, d):
-    frames = src.events_frames(spark, d)
-    scores = execution.execution_scores(signal.features(frames, 1.0))
-    whole = consistency.consistency(frames).withColumn("anomaly_share", (1 - F.col("anomaly")) / 5)
+    scores = execution.execution_scores(signal.features(src.events_frames(spark, d), 1.0))
+    whole = consistency.consistency(src.events_frames(spark, d, True)).withColumn("anomaly_share", (1 - F.col("anomaly")) / 5)
     return report.comprehensive(execution.execution_summary(scores), _spatial(spark, d), whole)
 
 
-@query()
+_FACTS = f"""
+WITH ex AS (SELECT * FROM ({SUMMARY} SELECT metric, mean FROM xs)), sc AS ({_SPACE}), co AS ({_RECORDED.format(limits='1.0::DOUBLE')}),
+facts AS (SELECT 'execution' AS category, CASE metric WHEN 'units_score' THEN 'movement_units' WHEN 'hesitation_score' THEN 'hesitations' WHEN 'submovement_score' THEN 'submovements' ELSE 'jerk' END AS metric, mean AS score FROM ex WHERE metric IN ('units_score', 'hesitation_score', 'submovement_score', 'jerk_score')
+ UNION ALL SELECT 'spatial', 'coverage_limited', overall FROM sc WHERE share < 0.15 UNION ALL SELECT 'spatial', 'coverage_moderate', overall FROM sc WHERE share >= 0.15 AND share < 0.3
+ UNION ALL SELECT 'spatial', 'starting_variance', start FROM sc UNION ALL SELECT 'spatial', 'angle_diversity', angle FROM sc
+ UNION ALL SELECT 'consistency', 'overall', overall FROM co UNION ALL SELECT 'consistency', 'anomalies', 1 - (1 - an) / 5 FROM co UNION ALL SELECT 'consistency', 'completeness', 1.0 FROM co UNION ALL SELECT 'consistency', 'temporal', te FROM co),
+fired AS (SELECT *, CASE WHEN metric IN ('movement_units', 'hesitations', 'submovements') THEN CASE WHEN score < 0.5 THEN 'HIGH' WHEN score < 0.7 THEN 'MEDIUM' END WHEN metric = 'jerk' THEN CASE WHEN score < 0.3 THEN 'HIGH' WHEN score < 0.5 THEN 'MEDIUM' END
+ WHEN metric = 'coverage_limited' THEN 'HIGH' WHEN metric = 'coverage_moderate' THEN 'MEDIUM' WHEN metric IN ('starting_variance', 'angle_diversity') THEN CASE WHEN score < 0.4 THEN 'MEDIUM' END
+ WHEN metric = 'overall' THEN CASE WHEN score < 0.6 THEN 'HIGH' END WHEN metric = 'temporal' THEN CASE WHEN score < 0.7 THEN 'MEDIUM' END WHEN score < 0.95 THEN 'MEDIUM' END AS priority FROM facts),
+told AS (SELECT * FROM (VALUES {", ".join("('" + "', '".join(t.replace("'", "''") for t in (m, *texts[:2])) + "')" for m, texts in report.ADVICE.items())}) t(metric, issue, advice))
+"""
+
+
+@query(_FACTS + "SELECT priority, category, metric, round(score, 4) + 0.0 AS score, issue, advice FROM fired JOIN told USING (metric) WHERE priority IS NOT NULL")
 def dataset_report(spark, d):
     """The rules that the dataset's own features fire."""
-    return _report(spark, d)[0].select("priority", "category", "metric", r("score"), "issue", "advice")
+    return _report(spark, d)[0].select("priority", "category", "metric", r("score", 4), "issue", "advice")
 
 
-@query()
+@query(_FACTS + "SELECT category, count(*) AS rules, count(*) FILTER (priority = 'HIGH') AS HIGH, count(*) FILTER (priority = 'MEDIUM') AS MEDIUM, count(*) FILTER (priority = 'LOW') AS LOW, arg_min(metric, (CASE priority WHEN 'HIGH' THEN 0 ELSE 1 END, score, metric)) AS first FROM fired WHERE priority IS NOT NULL GROUP BY category")
+def report_by_category(spark, d):
+    return report.by_category(_report(spark, d)[0])
+
+
+@query(_FACTS + "SELECT round(0.4 * (SELECT mean FROM ex WHERE metric = 'overall_score') + 0.3 * (SELECT overall FROM sc) + 0.3 * (SELECT overall FROM co), 4) AS health_score, count(*) FILTER (priority = 'HIGH') AS HIGH, count(*) FILTER (priority = 'MEDIUM') AS MEDIUM, 0 AS LOW FROM fired")
 def dataset_health(spark, d):
-    return _report(spark, d)[1].select(r("health_score"), "HIGH", "MEDIUM", "LOW")
+    return _report(spark, d)[1].select(r("health_score", 4), "HIGH", "MEDIUM", "LOW")
 
 
 @query()
