@@ -175,3 +175,29 @@ def test_runs_of_documents(spark, monkeypatch):
 def test_long_periodic_text():
     found = [x.tolist() for x in runs.runs([[b"a"] * 30_000, [b"a", b"b", b"c"] * 8_000])]
     assert found == [[[0, 30_000, 1]], [[0, 24_000, 3]]]
+
+
+@pytest.mark.parametrize("operator", ["bytes", "words"])
+def test_contexts_with_equal_hashes_in_two_tasks(spark, operator, monkeypatch):
+    """What is not repeated stays, however rows fall into tasks; between tasks, digests of units stand for contexts, not their polynomial hashes."""
+    from trajectra.llm import repeats, substring_seed, substring_suffix
+
+    r = random.Random(9)
+    if operator == "bytes":
+        head = "".join(r.choice("abcdefgh") for _ in range(104))
+        texts = [head + first + "".join(r.choice("abcdefgh") for _ in range(75)) for first in "xy"]
+        run, column, gone = substring_suffix.drop_repeated_bytes, "n_removed", 104
+    else:
+        head = [f"w{r.randrange(900)}" for _ in range(15)]
+        texts = [" ".join(head + [first] + [f"v{r.randrange(900)}" for _ in range(11)]) for first in "xy"]
+        run, column, gone = substring_seed.drop_repeated_words, "n_removed", 15
+    monkeypatch.setattr(repeats, "context_hashes", lambda units, start, end: np.zeros(len(start), np.uint64))
+    for parts in (1, 2):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(parts, "doc_id")
+        # Python workers don't see the patch, so the anchors are also taken in this process, below
+        assert {x["doc_id"]: x[column] for x in run(docs).collect()} == {0: 0, 1: gone}
+    batch = substring_suffix._load(texts)
+    key, context, at, left, right = repeats._anchors(batch, 100, 20)
+    shown = repeats._digests(batch.units, at, left, right, np.arange(len(at)))
+    spans = {batch.units[p - a : p + b].tobytes() + b"%d,%d" % (a, b) for p, a, b in zip(at, left, right)}
+    assert len(set(shown.values())) == len(spans)

@@ -19,7 +19,8 @@ equal anchors at equal offsets, and only anchors have to meet in a shuffle:
 
 Copies of an anchor inside one task are folded before the shuffle, once their units have
 been compared, so a passage that a third of the corpus shares sends a row per task, not a
-row per document.  Between tasks, equal contexts are told by a 62-bit hash over a prime field.
+row per document.  Between tasks, equal contexts are told by a 128-bit cryptographic digest of their units;
+the polynomial hash only brings them together inside a task, where they are compared.
 """
 
 from __future__ import annotations
@@ -70,6 +71,14 @@ def _agree(units: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, ri
     return out
 
 
+def _digests(units: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> dict[int, bytes]:
+    """A cryptographic digest of the units around each anchor that stands first among its equals."""
+    lead = np.unique(first)
+    data, size = units.tobytes(), units.dtype.itemsize
+    digest = lambda p, a, b: hashlib.blake2b(data[(p - a) * size : (p + b) * size], digest_size=16, key=b"%d,%d" % (a, b)).digest()
+    return {f: digest(p, a, b) for f, p, a, b in zip(lead.tolist(), at[lead].tolist(), left[lead].tolist(), right[lead].tolist())}
+
+
 def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool) -> DataFrame:
     """Anchors of docs(doc_id, text): key, context, doc, pos, done.
 
@@ -97,13 +106,14 @@ def anchors(docs: DataFrame, load: Callable, window: int, k: int, across: bool)
                 apart = again[~same]  # hashes that collide
                 context[apart] = ~context[apart]
                 first[apart] = apart
-                key, context = key.view(np.int64), context.view(np.int64)
+                key = key.view(np.int64)
+                shown = _digests(batch.units, at, left, right, first)
                 # rows of one doc_id give the same anchor again, which doesn't repeat itself
                 done = (doc > doc[first]) | ((pos > pos[first]) & (not across))
                 spread = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B1) + pos.astype(np.uint64)).view(np.int64)
-                yield pd.DataFrame({"key": np.where(done, spread, key), "context": np.where(done, 0, context), "doc": doc, "pos": pos, "done": done})
+                yield pd.DataFrame({"key": np.where(done, spread, key), "context": [None if d else shown[f] for d, f in zip(done.tolist(), first.tolist())], "doc": doc, "pos": pos, "done": done})
 
-    return docs.mapInPandas(run, "key long, context long, doc long, pos int, done boolean")
+    return docs.mapInPandas(run, "key long, context binary, doc long, pos int, done boolean")
 
 
 def settled(found: DataFrame, across: bool, most: int) -> DataFrame:
