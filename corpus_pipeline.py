@@ -12,16 +12,25 @@ from trajectra.llm.common import broadcast_if_small, written
 SHINGLE, PERCENT = 5, 80
 
 
+def _by_text(docs: DataFrame) -> DataFrame:
+    """doc_id (a hash of the text), text: for what depends on the text alone, whatever the row's doc_id."""
+    return docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in gone(doc_id); rows without doc_id stay."""
-    return docs.join(broadcast_if_small(gone.distinct()), "doc_id", "left_anti")
+    """docs less the rows whose text is in gone(doc_id), a hash of the text; rows that lack or share a doc_id are told apart."""
+    rows = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(broadcast_if_small(gone.distinct().withColumnRenamed("doc_id", "_text_key")), "_text_key", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    A text decides for all its rows; null and empty texts have no words to reject and score as the
+    classes' bias; an empty table stays empty.
+    """
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = written(toxicity.scored(docs, model), "toxic")
-    return _without(docs, scores.where("predicted = 1").select("doc_id"))
+    return _without(docs, written(toxicity.scored(_by_text(docs), model).where("predicted = 1").select("doc_id"), "toxic"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +55,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = written(decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
-    return _without(docs, found.select("doc_id"))
+    """Documents without a passage of the benchmark.
+
+    A text decides for all its rows; null and empty texts hold no passage and stay; an empty table stays empty.
+    """
+    found = written(decontaminate.leaks(_by_text(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"), "leaks")
+    return _without(docs, found)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars of the new text."""
+    """All rows, repeated ones too, with personal data replaced by its kind and n_chars of the new text; null texts stay null."""
     return pii.masked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of times it repeats them."""
+    """The documents that the mix takes, with the number of times it repeats them; rows without words or with no repeats left go."""
     mixed, _ = mixing.mix(docs, F.array("source"))
     return mixed.where("repeats > 0").select("doc_id", "pattern", "size", "repeats", "taken")
 
