@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajectra.operators import consistency, report, robots, spatial, stats, success
 from trajectra.operators.ordering import numbered
+from trajectra.plans import axes_sql
 from trajectra.plans.motion_queries import EV, LI, r
 from trajectra.sources import frames as src
 
@@ -226,7 +227,12 @@ def robot_table(spark, d):
     return robots.robot_table(spark)
 
 
-@query()
+AXES = axes_sql.axes("WITH p AS (SELECT label AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding[1:64]::DOUBLE[] AS x FROM embeddings)", 64, 3000)
+_SCORE = "list_dot_product(list_transform(range(1, 65), lambda i: p.x[i] - mean[i]), {}.v)"
+PROJECTED = AXES + f", ps AS (SELECT e, i, {', '.join(f'{_SCORE.format(t)} AS s{k}' for k, t in enumerate(('e0', 'e1', 'e2')))} FROM p, pn, ev e0, ev e1, ev e2 WHERE e0.axis = 0 AND e1.axis = 1 AND e2.axis = 2)"
+
+
+@query(PROJECTED + " SELECT e AS episode_index, i::INTEGER AS frame_index, round(s0, 6) + 0.0 AS pc1, round(s1, 6) + 0.0 AS pc2 FROM ps")
 def pca_embeddings(spark, d):
     rows = src.embedding_frames(spark, d)
     return spatial.projected(rows.select("episode_index", "frame_index", "state"), "state").select("episode_index", "frame_index", r(F.get("scores", F.lit(0)), 6, "pc1"), r(F.get("scores", F.lit(1)), 6, "pc2"))
@@ -250,6 +256,18 @@ def start_pca_ratios(spark, d):
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(spatial.principal_axes(starts, "state")[2])], "axis int, ratio double")
 
 
+# the axes of the 3 x 3 matrix: a row of it less the eigenvalue, crossed with another, is orthogonal to both
+_CROSS = "[xy*yz - xz*(yy-{e}), xz*xy - (xx-{e})*yz, (xx-{e})*(yy-{e}) - xy*xy]"
+_LEAD = "list_position(list_transform({v}, lambda z: abs(z)), list_max(list_transform({v}, lambda z: abs(z))))"
+
+
+@query(EIGEN + f", ax AS (SELECT {_CROSS.format(e='e1')} AS u, {_CROSS.format(e='(3*m - e1 - e3)')} AS w FROM (SELECT fi.*, v.e1, v.e3 FROM fi, v)), an AS (SELECT list_transform(u, lambda z: z * sign(u[{_LEAD.format(v='u')}]) / sqrt(list_dot_product(u, u))) AS u, list_transform(w, lambda z: z * sign(w[{_LEAD.format(v='w')}]) / sqrt(list_dot_product(w, w))) AS w FROM ax), mn AS (SELECT avg(px) AS x0, avg(py) AS y0, avg(pz) AS z0 FROM g WHERE i = 0) SELECT e AS episode_index, round(list_dot_product([px-x0, py-y0, pz-z0], u), 6) + 0.0 AS pc1, round(list_dot_product([px-x0, py-y0, pz-z0], w), 6) + 0.0 AS pc2 FROM g, mn, an WHERE i = 0")
+def start_pca_scores(spark, d):
+    """Start poses on their first two principal axes."""
+    rows = spatial.projected(consistency.first_frames(_small(spark, d)).select("episode_index", "state"), "state")
+    return rows.select("episode_index", *[r(F.get("scores", F.lit(k)), 6, f"pc{k + 1}") for k in range(2)])
+
+
 def _points(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
 
