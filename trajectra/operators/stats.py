@@ -101,12 +101,12 @@ def histogram(rows: DataFrame, x: str, bins: int = 20) -> DataFrame:
     return all_bins.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"), low.alias("low"), (low + F.col("w")).alias("high"), (low + F.col("w") / 2).alias("centre"))
 
 
-def filled(rows: DataFrame, x: str, method: str = "interpolate") -> DataFrame:
-    """Numbers that are null, NaN or infinite replaced along the episode, or their rows removed."""
+def filled(rows: DataFrame, x: str, method: str = "interpolate", by: tuple[str, ...] = ("episode_index",)) -> DataFrame:
+    """Numbers that are null, NaN or infinite replaced along the episode (or each group of `by`), or their rows removed."""
     good = F.when(F.col(x).isNotNull() & finite(F.col(x)), F.col(x))
     if method == "remove":
         return rows.withColumn("filled", good).where("filled is not null")
-    w = Window.partitionBy("episode_index").orderBy("frame_index")
+    w = Window.partitionBy(*by).orderBy("frame_index")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     point = F.when(good.isNotNull(), F.struct(F.col("frame_index").alias("i"), good.alias("x")))
     rows = rows.withColumn("point_", point).withColumns({"a_": F.last("point_", True).over(back), "b_": F.first("point_", True).over(ahead)})
@@ -121,6 +121,21 @@ def filled(rows: DataFrame, x: str, method: str = "interpolate") -> DataFrame:
     return rows.withColumn("filled", value).drop("point_", "a_", "b_")
 
 
+def repaired(frames: DataFrame, method: str = "interpolate") -> DataFrame:
+    """episode_index, frame_index, state, repaired: every dimension of the states filled by itself, and the frame's number of elements that weren't finite.
+
+    remove leaves out the frames with such an element; a dimension without any finite number keeps nulls.
+    """
+    odd = F.coalesce(F.size(F.filter("state", lambda v: v.isNull() | ~finite(v))), F.lit(0))
+    if method == "remove":
+        return frames.select("episode_index", "frame_index", "state", odd.alias("repaired")).where(F.col("state").isNotNull() & (F.col("repaired") == 0))
+    long = frames.select("episode_index", "frame_index", F.posexplode("state").alias("dim", "x"))
+    rows = filled(long, "x", method, ("episode_index", "dim"))
+    made = F.transform(F.array_sort(F.collect_list(F.struct("dim", "filled"))), lambda r: r["filled"])
+    count = F.count_if(F.col("x").isNull() | ~finite(F.col("x")))
+    return rows.groupBy("episode_index", "frame_index").agg(made.alias("state"), count.alias("repaired"))
+
+
 def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson's r (0 where undefined) with its strength, direction, and the fitted line."""
     sums = rows.agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -83,6 +83,11 @@ def bar_level(score: Column, high: float, middle: float) -> Column:
     return F.when(score >= high, "good").when(score >= middle, "fair").otherwise("weak")
 
 
+def share_level(pct: Column, much: float = 10, some: float = 5) -> Column:
+    """The band of a bar where less is better."""
+    return F.when(pct > much, "weak").when(pct > some, "fair").otherwise("good")
+
+
 def success_indicators(scores: DataFrame) -> DataFrame:
     """One row from scores(episode_index, length, quality_score): counts, rate, quality and its correlation with length."""
     rows = classified(scores.withColumnRenamed("episode_index", "episode_idx"))

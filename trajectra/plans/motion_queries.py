@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions.vectors import gaussian_kernel
-from trajectra.operators import execution, motion, signal, stats
+from trajectra.operators import execution, motion, signal, stats, success
 from trajectra.operators.ordering import numbered
 from trajectra.plans import execution_sql
 from trajectra.sources import frames as src
@@ -201,6 +201,30 @@ def fill_remove(spark, d):
     return stats.filled(_gaps(spark, d), "x", "remove").groupBy("episode_index").agg(F.count("*").alias("kept"))
 
 
+_ODD = EV + ", h AS (SELECT e, i, unnest([0, 1]) AS dim, unnest([CASE WHEN x >= 5 THEN x END, CASE WHEN y <> 0 THEN y END]) AS v FROM g), w AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS va, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ka, first_value(v IGNORE NULLS) OVER c AS vb, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER c AS kb FROM h WINDOW b AS (PARTITION BY e, dim ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY e, dim ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), v AS (SELECT e, i, dim, v IS NULL AS odd, CASE WHEN ka IS NULL THEN vb WHEN kb IS NULL THEN va WHEN ka = kb THEN va ELSE va + (vb - va) * (i - ka) / (kb - ka) END AS v FROM w)"
+
+
+def _odd(spark, d):
+    """Events' states with NaN where value is below 5 and infinity where k is 0."""
+    x, y = F.get("state", F.lit(0)), F.get("state", F.lit(1))
+    state = F.array(F.when(x < 5, F.lit(float("nan"))).otherwise(x), F.when(y == 0, F.lit(float("inf"))).otherwise(y))
+    return src.events_frames(spark, d).withColumn("state", state)
+
+
+@query(_ODD + " SELECT e AS episode_index, i::INTEGER AS frame_index, round(max(CASE WHEN dim = 0 THEN v END), 6) AS x, round(max(CASE WHEN dim = 1 THEN v END), 6) AS y, sum(odd::INT)::BIGINT AS repaired FROM v GROUP BY e, i")
+def repaired_states(spark, d):
+    rows = stats.repaired(_odd(spark, d))
+    return rows.select("episode_index", "frame_index", r(F.get("state", F.lit(0)), 6, "x"), r(F.get("state", F.lit(1)), 6, "y"), "repaired")
+
+
+@query(EV + " SELECT count(*) FILTER (x < 5) + count(*) FILTER (y = 0) AS elements, count(*) FILTER (x >= 5 AND y <> 0) AS kept FROM g")
+def repaired_elements(spark, d):
+    """Elements that aren't finite, and the frames without any, over all."""
+    frames = _odd(spark, d)
+    kept = stats.repaired(frames, "remove").agg(F.count("*").alias("kept"))
+    return stats.repaired(frames, "forward_fill").agg(F.sum("repaired").alias("elements")).join(F.broadcast(kept))
+
+
 def _motion(spark, d):
     return motion.episode_metrics(signal.features(src.events_frames(spark, d)))
 
@@ -211,6 +235,12 @@ def jerk_metrics(spark, d):
     return m.select("episode_index", "n", r("mean_jerk", 0), r(F.log10(F.col("jerk_cost") + 1), 6, "log_jerk_cost"), "jerk_outliers", r("jerk_score"), r(F.log10(1 + F.col("normalised_jerk")), 6, "log_normalised_jerk"))
 
 
+@query(DERIVED + "SELECT episode_index, round(100.0 * jout / n, 6) AS jerk_outlier_pct, CASE WHEN 100.0 * jout / n > 10 THEN 'weak' WHEN 100.0 * jout / n > 5 THEN 'fair' ELSE 'good' END AS outlier_level, 1/(1+std_speed/mean_speed) > 0.5 AS steady FROM k")
+def outlier_levels(spark, d):
+    """Bands of the share of jerk outliers, and whether the speed score passes a half."""
+    return _motion(spark, d).select("episode_index", r("jerk_outlier_pct"), success.share_level(F.col("jerk_outlier_pct")).alias("outlier_level"), (F.col("speed_score") > 0.5).alias("steady"))
+
+
 @query(DERIVED + "SELECT episode_index, round(std_accel, 2) AS std_accel, round(rms_accel, 2) AS rms_accel, jumps::BIGINT AS accel_jumps, round(100.0 * jumps / greatest(n - 1, 1), 6) AS accel_jump_pct, round(1/(1+std_accel/10), 6) AS accel_score FROM k")
 def acceleration_metrics(spark, d):
     return _motion(spark, d).select("episode_index", r("std_accel", 2), r("rms_accel", 2), "accel_jumps", r("accel_jump_pct"), r("accel_score"))

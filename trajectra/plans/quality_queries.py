@@ -119,6 +119,14 @@ def workspace_coverage(spark, d):
     return rows.select("visited", "max_visits", r("mean_visits"), r("median_visits"), "hotspots", "coldspots", r("coverage_pct"), r("uniformity"), r("mean_spread"), r("score"))
 
 
+@query("WITH w AS (" + SQL["workspace_coverage"] + ") SELECT unnest(['coverage', 'uniformity', 'score']) AS measure, unnest([round(coverage_pct / 100, 6), uniformity, score]) AS value, unnest([coverage_pct / 100 > 0.5, uniformity > 0.5, score > 0.5]) AS enough FROM w")
+def coverage_panel(spark, d):
+    """The coverage's measures, and which pass a half."""
+    rows = spatial.workspace_coverage(_small(spark, d), BOUNDS)
+    facts = F.array(*[F.struct(F.lit(n).alias("measure"), c.alias("value")) for n, c in (("coverage", F.col("coverage_pct") / 100), ("uniformity", F.col("uniformity")), ("score", F.col("score")))])
+    return rows.select(F.explode(facts).alias("m")).select("m.measure", r("m.value", 6, "value"), (F.col("m.value") > 0.5).alias("enough"))
+
+
 _N = "(SELECT count(*) FROM g)"
 _BINS = f"greatest(5, least(15, floor(pow(50.0*{_N}, 0.25))::INT))"
 _PAD = ", ".join(f"min({c}) - 0.1*(max({c})-min({c})) AS l{c}, max({c}) + 0.1*(max({c})-min({c})) AS h{c}" for c in "abcd")
@@ -391,10 +399,28 @@ def health_score(spark, d):
     return report.health(q.select(part.alias("part"), "score")).select(r("health_score"))
 
 
-@query()
+# a tenth of the frames lies above the forest's limit, which is a quantile of their scores
+RECORDED = f"SELECT *, 0.25*al + 0.25*te + 0.2*mi + 0.2*an + 0.1*li AS overall FROM (SELECT avg(alignment_score) AS al FROM ({SQL['alignment']})), (SELECT avg(temporal_score) AS te FROM ({SQL['temporal_consistency']})), (SELECT 1.0::DOUBLE AS mi, greatest(1 - 100.0*(count(*) - 1 - floor(0.9*(count(*) - 1)))/count(*)/20, 0) AS an FROM events), (SELECT {{limits}} AS li)"
+_TOLD = "SELECT round(al, 6) AS alignment, round(te, 5) AS temporal, mi AS missing, round(an, 6) AS anomaly, round(li, 6) AS limits, round(overall, 5) AS overall_score FROM ({})"
+
+
+def _parts(rows):
+    return rows.select(r("alignment"), r("temporal", 5), r("missing"), r("anomaly"), r("limits"), r("overall_score", 5))
+
+
+@query(_TOLD.format(RECORDED.format(limits="1.0::DOUBLE")))
 def consistency_summary(spark, d):
-    rows = consistency.consistency(src.events_frames(spark, d), kind=None)
-    return rows.select(r("alignment"), r("temporal"), r("missing"), r("anomaly"), r("limits"), r("overall_score"))
+    """Consistency of events by the recorder's clock."""
+    return _parts(consistency.consistency(src.events_frames(spark, d, True)))
+
+
+@query(_TOLD.format(RECORDED.format(limits="(SELECT greatest(1 - 10.0*avg((x > 95 OR k > 9)::INT), 0)::DOUBLE FROM (SELECT value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))")))
+def consistency_of_robot(spark, d):
+    """Consistency of events taken for a six-joint arm; the first two joints pass their limits where value is above 95 or k above 9."""
+    x, y = F.get("state", F.lit(0)), F.get("state", F.lit(1))
+    joint = lambda v, most: F.when(v > most, v - most + math.pi + 0.02).otherwise(v * (math.pi / most))
+    joints = F.array(joint(x, 95.0), joint(y, 9.0), *[F.lit(0.0)] * 4)
+    return _parts(consistency.consistency(src.events_frames(spark, d, True).withColumn("state", joints), kind="generic_6dof"))
 
 
 @query(LI + " SELECT e AS episode_index, unnest(['0','1','2','3'])::INTEGER AS dim, unnest([round(avg(a),4), round(avg(b),4), round(avg(c),4), round(avg(d),4)]) AS mean, unnest([round(stddev_pop(a),4), round(stddev_pop(b),4), round(stddev_pop(c),4), round(stddev_pop(d),4)]) AS std, unnest([min(a), min(b), min(c), min(d)]) AS min, unnest([max(a), max(b), max(c), max(d)]) AS max FROM g GROUP BY e")

@@ -8,7 +8,7 @@ from trajectra.operators import consistency, execution, motion, report, signal,
 from trajectra.plans import execution_sql
 from trajectra.plans.motion_queries import DERIVED, EV, EXECUTION, r
 from trajectra.plans.quality_queries import SQL as PARTS
-from trajectra.plans.quality_queries import AXES, BOUNDS, CELLS, PROJECTED, SCORES, SMALL, _scores, _small, position_distribution
+from trajectra.plans.quality_queries import AXES, BOUNDS, CELLS, PROJECTED, RECORDED, SCORES, SMALL, _scores, _small, position_distribution
 from trajectra.sources import frames as src
 
 QUERIES: dict = {}
@@ -191,21 +191,6 @@ def spatial_summary(spark, d):
     return _spatial(spark, d).select(r("coverage"), r("start"), r("distribution"), r("angle"), r("overall_score", 4), r("coverage_share"))
 
 
-# a tenth of the frames lies above the forest's limit, which is a quantile of their scores
-_RECORDED = f"SELECT *, 0.25*al + 0.25*te + 0.2*mi + 0.2*an + 0.1*li AS overall FROM (SELECT avg(alignment_score) AS al FROM ({PARTS['alignment']})), (SELECT avg(temporal_score) AS te FROM ({PARTS['temporal_consistency']})), (SELECT 1.0::DOUBLE AS mi, greatest(1 - 100.0*(count(*) - 1 - floor(0.9*(count(*) - 1)))/count(*)/20, 0) AS an, (count(*) - 1 - floor(0.9*(count(*) - 1)))/count(*) AS away FROM events), (SELECT {{limits}} AS li)"
-
-
-@query(f"SELECT round(al, 6) AS alignment, round(te, 5) AS temporal, mi AS missing, round(an, 6) AS anomaly, round(li, 6) AS limits, round(overall, 5) AS overall_score FROM ({_RECORDED.format(limits='(SELECT greatest(1 - 10.0*avg((x > 95 OR k > 9)::INT), 0)::DOUBLE FROM (SELECT value AS x, CAST(json_extract_string(props, $$$.k$$) AS DOUBLE) AS k FROM events))')})")
-def consistency_of_robot(spark, d):
-    """Consistency of events taken for a six-joint arm, by the recorder's clock; the first two joints pass their limits where value is above 95 or k above 9."""
-    x, y = F.get("state", F.lit(0)), F.get("state", F.lit(1))
-    limit = 3.141592653589793
-    joint = lambda v, most: F.when(v > most, v - most + limit + 0.02).otherwise(v * (limit / most))
-    joints = F.array(joint(x, 95.0), joint(y, 9.0), *[F.lit(0.0)] * 4)
-    rows = consistency.consistency(src.events_frames(spark, d, True).withColumn("state", joints), kind="generic_6dof")
-    return rows.select(r("alignment"), r("temporal", 5), r("missing"), r("anomaly"), r("limits"), r("overall_score", 5))
-
-
 def _report(spark, d):
     scores = execution.execution_scores(signal.features(src.events_frames(spark, d), 1.0))
     whole = consistency.consistency(src.events_frames(spark, d, True)).withColumn("anomaly_share", (1 - F.col("anomaly")) / 5)
@@ -213,7 +198,7 @@ def _report(spark, d):
 
 
 _FACTS = f"""
-WITH ex AS (SELECT * FROM ({SUMMARY} SELECT metric, mean FROM xs)), sc AS ({_SPACE}), co AS ({_RECORDED.format(limits='1.0::DOUBLE')}),
+WITH ex AS (SELECT * FROM ({SUMMARY} SELECT metric, mean FROM xs)), sc AS ({_SPACE}), co AS ({RECORDED.format(limits='1.0::DOUBLE')}),
 facts AS (SELECT 'execution' AS category, CASE metric WHEN 'units_score' THEN 'movement_units' WHEN 'hesitation_score' THEN 'hesitations' WHEN 'submovement_score' THEN 'submovements' ELSE 'jerk' END AS metric, mean AS score FROM ex WHERE metric IN ('units_score', 'hesitation_score', 'submovement_score', 'jerk_score')
  UNION ALL SELECT 'spatial', 'coverage_limited', overall FROM sc WHERE share < 0.15 UNION ALL SELECT 'spatial', 'coverage_moderate', overall FROM sc WHERE share >= 0.15 AND share < 0.3
  UNION ALL SELECT 'spatial', 'starting_variance', start FROM sc UNION ALL SELECT 'spatial', 'angle_diversity', angle FROM sc
