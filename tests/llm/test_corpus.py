@@ -543,3 +543,9 @@ def test_tagger_gradients():
         down = model.step(chars, gold)[0]
         v[at] += eps
         assert grads[name][at] == pytest.approx((up - down) / (2 * eps), abs=2e-2), name
+
+
+def test_flow_through_a_long_chain_of_sources():
+    n = 5000
+    flow = mixing.routed({(i, i + 1): 10 for i in range(n)}, {i: 10 if i else 0 for i in range(n + 1)})
+    assert all(flow[i, i + 1] == {i: 0, i + 1: 10} for i in range(n))

@@ -89,30 +89,51 @@ def routed(capacity: dict[tuple, int], quota: dict, most: int = MAX_REPEAT) -> d
             now = after
         return level if now else None
 
-    def onward(s: int, amount: int, level: dict[int, int], at: dict[int, int]) -> int:
-        """Words, at most amount, for which room is made in s by handing words on."""
-        if room[s]:
-            given = min(amount, room[s])
-            room[s] -= given
-            return given
-        given = 0
-        while at[s] < len(by_source[s]) and given < amount:
-            q = by_source[s][at[s]]
-            for t in edges[q]:
-                if flow[q][s] and level.get(t) == level[s] + 1:
-                    moved = onward(t, min(amount - given, flow[q][s]), level, at)
-                    flow[q][s] -= moved
+    def onward(s: int, amount: int, level: dict[int, int], at: dict[int, tuple[int, int]]) -> int:
+        """Words, at most amount, for which room is made in s by handing words on.
+
+        A path goes from source to source down the layers; at says from which pattern and
+        target on a source can still hand words on.
+        """
+        given, path = 0, []
+        while given < amount:
+            now = path[-1][2] if path else s
+            if room[now]:
+                moved = min([amount - given, room[now], *(flow[q][u] for u, q, _ in path)])
+                for u, q, t in path:
+                    flow[q][u] -= moved
                     flow[q][t] += moved
-                    given += moved
-                    if given == amount:
-                        return given
-            at[s] += 1
+                room[now] -= moved
+                given += moved
+                # back to the first source that has no more to hand on, or to the last but one
+                empty = next((k for k, (u, q, _) in enumerate(path) if not flow[q][u]), len(path) - 1)
+                path = path[: max(empty, 0)]
+                continue
+            i, j = at[now]
+            found = None
+            while i < len(by_source[now]) and found is None:
+                q = by_source[now][i]
+                while flow[q][now] and j < len(edges[q]) and found is None:
+                    t = edges[q][j]
+                    if level.get(t) == level[now] + 1 and (room[t] or at[t][0] < len(by_source[t])):
+                        found = t
+                    else:
+                        j += 1
+                if found is None:
+                    i, j = i + 1, 0
+            at[now] = (i, j)
+            if found is not None:
+                path.append((now, by_source[now][i], found))
+            elif path:
+                path.pop()  # nothing goes on from here: its arcs are used up, so it is passed over
+            else:
+                break
         return given
 
     for _ in range(most):
         left = [capacity[p] for p in patterns]
         while level := layers({s for p, n in enumerate(left) if n for s in edges[p]}):
-            at = dict.fromkeys(level, 0)
+            at = dict.fromkeys(level, (0, 0))
             for p, own in enumerate(edges):
                 for s in own if left[p] else ():
                     if level.get(s) == 0 and left[p]:
