@@ -129,9 +129,12 @@ def test_leaders(spark):
     assert spatial.leaders(frames.limit(0), 1.0).count() == 0
 
 
-def test_numbering_and_running_sums(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_numbering_and_running_sums(spark, few, monkeypatch):
+    from trajectra.operators import ordering
     from trajectra.operators.ordering import numbered, running
 
+    monkeypatch.setattr(ordering, "FEW", few)
     values = np.random.default_rng(8).permutation(1000)
     rows = spark.createDataFrame([(int(v), int(v) // 7) for v in values], "k long, v long").repartition(5)
     assert all(r["place"] == r["k"] for r in numbered(rows, "k").collect())
