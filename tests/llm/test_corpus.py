@@ -549,3 +549,13 @@ def test_flow_through_a_long_chain_of_sources():
     n = 5000
     flow = mixing.routed({(i, i + 1): 10 for i in range(n)}, {i: 10 if i else 0 for i in range(n + 1)})
     assert all(flow[i, i + 1] == {i: 0, i + 1: 10} for i in range(n))
+
+
+def test_hidden_elements_and_forms_by_what_they_are():
+    body = "<p>The first long paragraph of an article, with commas, and more text to read.</p><p>A second paragraph follows, which is long enough, too, to count.</p>"
+    for shown in ('data-title="The hidden cost"', 'class="w hidden y"', 'title="a hidden gem"', 'aria-hidden="false"', "data-x='display:none'"):
+        assert html_paths.extracted(f"<html><body><div {shown}>{body}</div></body></html>").count("paragraph") == 2
+    for gone in ("hidden", 'hidden="hidden"', 'style="color:red; display: none"', "aria-hidden=true"):
+        assert html_paths.extracted(f"<html><body><div>{body}</div><p {gone}>A notice of some length, unseen.</p></body></html>").count("notice") == 0
+    assert html_paths.extracted(f"<html><body><form action=x>{body}<input name=q></form></body></html>").count("paragraph") == 2
+    assert "Write" not in html_paths.extracted(f"<html><body><div>{body}</div><form><p>Write us</p></form></body></html>")

@@ -41,7 +41,7 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SECTIONS = {"html", "body", "main", "article", "section", "div", "td", "tr", "tbody", "table", "center"}
 LISTS = {"ul", "ol", "dl", "nav", "aside", "footer", "header", "form", "blockquote"}
-FURNITURE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog"}
+FURNITURE_TAGS = {"nav", "footer", "aside", "button", "menu", "dialog"}
 FURNITURE = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "form", "header", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
@@ -61,7 +61,8 @@ TOKEN = re.compile(_TOKEN % r"""(?:[^>"']|"[^"]*"|'[^']*')*+""", re.S)
 BROKEN = re.compile(_TOKEN % "[^<>]*", re.S)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»\"“”()]")
 SIGMA = 1.0
 
@@ -79,6 +80,17 @@ def named(attributes: str) -> tuple[str, int]:
     return ".".join(words), min(strength, 0 if content and strength < 2 else 2)
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it; their values may hold such words for other reasons."""
+    if not HIDDEN.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+    return False
+
+
 class Page:
     """The elements of a page, parents before their children, and its text blocks."""
 
@@ -93,9 +105,9 @@ class Page:
     def _element(self, name: str, attributes: str, parent: int) -> int:
         words, strength = named(attributes) if attributes else ("", 0)
         inside = self.article[parent]
-        hidden = bool(attributes and HIDDEN.search(attributes))
-        self.hard.append(self.hard[parent] or name in FURNITURE_TAGS or hidden or name == "header" and not inside)
-        # in part a name counts for containers outside an article
+        self.hard.append(self.hard[parent] or name in FURNITURE_TAGS or bool(attributes) and hidden(attributes) or name == "header" and not inside)
+        # in part a name counts for containers outside an article; a form may hold the whole page
+        strength = max(strength, 2 * (name == "form"))
         partly = name in SECTIONS or name in LISTS
         self.soft.append(0 if name == "body" else strength if strength == 2 or partly and not inside else 0)
         self.tag.append(name)
