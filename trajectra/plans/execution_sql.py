@@ -57,13 +57,20 @@ def falling(rate: str, a: float, b: float, c: float) -> str:
     return f"CASE WHEN {rate} <= {a} THEN 1 WHEN {rate} <= {b} THEN 1 - ({rate} - {a}) / ({b} - {a}) * 0.3 WHEN {rate} <= {c} THEN 0.7 - ({rate} - {b}) / ({c} - {b}) * 0.4 ELSE greatest(0.3 - ({rate} - {c}) / {c} * 0.3, 0) END"
 
 
-def execution(frames: str) -> str:
-    """From frames (a WITH clause that ends in g(e, i, t, x, y)) to x(e, ...): counts, rates and scores of every episode."""
-    kernel = [
-        f"{frames}, d0 AS (SELECT *, t - lag(t) OVER (PARTITION BY e ORDER BY i) AS dt, count(*) OVER (PARTITION BY e) AS n FROM g)",
+def smoothed_derivatives() -> list[str]:
+    """Expressions from g(e, i, t, x, y) to d6: velocity, acceleration and jerk, each smoothed before the next."""
+    return [
+        "d0 AS (SELECT *, t - lag(t) OVER (PARTITION BY e ORDER BY i) AS dt, count(*) OVER (PARTITION BY e) AS n FROM g)",
         derived("d1", "d0", {"rvx": "x", "rvy": "y"}), smoothed("d2", "d1", {"vx": ("rvx", 1.0), "vy": ("rvy", 1.0)}),
         derived("d3", "d2", {"rax": "vx", "ray": "vy"}), smoothed("d4", "d3", {"ax": ("rax", 1.0), "ay": ("ray", 1.0)}),
         derived("d5", "d4", {"rjx": "ax", "rjy": "ay"}), smoothed("d6", "d5", {"jx": ("rjx", 1.0), "jy": ("rjy", 1.0)}),
+    ]
+
+
+def execution(frames: str) -> str:
+    """From frames (a WITH clause that ends in g(e, i, t, x, y)) to x(e, ...): counts, rates and scores of every episode."""
+    kernel = [
+        frames, *smoothed_derivatives(),
         "d7 AS (SELECT e, i, n, t, x, y, sqrt(vx * vx + vy * vy) AS s, sqrt(ax * ax + ay * ay) AS ac, sqrt(jx * jx + jy * jy) AS jo FROM d6)",
         smoothed("d8", "d7", {"s2": ("s", 2.0), "slow": ("s", 1.5), "a2": ("ac", 2.0)}),
         "q AS (SELECT *, 0.05 * max(s2) OVER p AS lim_s, 0.1 * stddev_pop(a2) OVER p AS lim_a, 0.05 * max(slow) OVER p AS moving, abs(sign(lead(slow, 2) OVER w - lead(slow) OVER w) - sign(lead(slow) OVER w - slow)) > 1 AS turn, lead(t) OVER w - t AS ahead, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS step FROM d8 WINDOW p AS (PARTITION BY e), w AS (PARTITION BY e ORDER BY i))",

@@ -87,6 +87,17 @@ def derivatives(spark, d):
     return rows.select("episode_index", "frame_index", at("velocity", 0, 4, "vx"), at("velocity", 1, 4, "vy"), at("acceleration", 0, 3, "ax"), at("acceleration", 1, 3, "ay"), at("jerk", 0, 1, "jx"), at("jerk", 1, 1, "jy"))
 
 
+SMOOTHED = ", ".join(execution_sql.smoothed_derivatives())
+
+
+@query(EV + ", " + SMOOTHED + " SELECT e AS episode_index, i::INTEGER AS frame_index, round(vx, 5) + 0.0 AS vx, round(vy, 5) + 0.0 AS vy, round(ax, 4) + 0.0 AS ax, round(ay, 4) + 0.0 AS ay, round(jx, 2) + 0.0 AS jx, round(jy, 2) + 0.0 AS jy FROM d6")
+def smoothed_derivatives(spark, d):
+    """Velocity, acceleration and jerk, each smoothed (sigma 1) before the next."""
+    rows = signal.features(src.events_frames(spark, d), 1.0)
+    at = lambda c, k, n, name: r(F.get(c, F.lit(k)), n, name)
+    return rows.select("episode_index", "frame_index", *[at(c, k, n, c[0] + "xy"[k]) for c, n in (("velocity", 5), ("acceleration", 4), ("jerk", 2)) for k in range(2)])
+
+
 _K = gaussian_kernel(1.0)
 _TERMS = " + ".join(f"{w!r} * v[1 + (CASE WHEN (((i + {j}) % (2*n)) + 2*n) % (2*n) < n THEN (((i + {j}) % (2*n)) + 2*n) % (2*n) ELSE 2*n - 1 - ((((i + {j}) % (2*n)) + 2*n) % (2*n)) END)]" for j, w in zip(range(-4, 5), _K))
 

@@ -230,6 +230,20 @@ def reachable_coverage(spark, d):
     return spatial.reachable_coverage(_small(spark, d), cells, axes).select("reachable", "visited", r("coverage"))
 
 
+_ARMS = ", ".join(f"('{k}', {len(a['lower'])}, {sum(abs(x) + abs(y) for y, x, _ in robots.DH[k])!r}::DOUBLE, {math.prod(hi - lo for lo, hi in a['bounds'])!r}::DOUBLE, {[float(hi) + 0.01 for _, hi in a['bounds']]}, {[float(lo) - 0.01 for lo, _ in a['bounds']]})" for k, a in robots.ROBOTS.items())
+
+
+@query(SMALL + f", arms AS (SELECT * FROM (VALUES {_ARMS}) t(robot, dof, reach, volume, high, low)) SELECT robot, dof, round(reach, 6) AS reach, round(volume, 6) AS workspace_volume, count(*) AS frames, count(*) FILTER (px BETWEEN low[1] AND high[1] AND py BETWEEN low[2] AND high[2] AND pz BETWEEN low[3] AND high[3]) AS inside, count(*) FILTER (sqrt(px*px + py*py + pz*pz) <= reach) AS in_reach FROM g, arms GROUP BY ALL")
+def robots_for_frames(spark, d):
+    """For each known robot: how many of the positions lie in its workspace, and within its reach."""
+    length = F.sqrt(F.aggregate("state", F.lit(0.0), lambda s, x: s + x * x))
+    facts = [F.count("*").alias("frames"), *[F.count_if(robots.within_workspace(F.col("state"), k)).alias(f"inside_{k}") for k in robots.ROBOTS]]
+    table = {row["robot"]: row for row in robots.robot_table(spark).collect()}  # a row for each known robot
+    facts += [F.count_if(length <= row["reach"]).alias(f"reach_{k}") for k, row in table.items()]
+    told = F.array(*[F.struct(F.lit(k).alias("robot"), F.lit(row["dof"]).alias("dof"), F.lit(round(row["reach"], 6)).alias("reach"), F.lit(round(row["workspace_volume"], 6)).alias("workspace_volume"), F.col("frames").alias("frames"), F.col(f"inside_{k}").alias("inside"), F.col(f"reach_{k}").alias("in_reach")) for k, row in table.items()])
+    return _small(spark, d).agg(*facts).select(F.explode(told).alias("r")).select("r.*")
+
+
 @query()
 def robot_table(spark, d):
     return robots.robot_table(spark)
