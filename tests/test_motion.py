@@ -115,7 +115,10 @@ def test_problem_episodes(spark):
     assert rows == {1: "single", 3: "multiple"}
 
 
-def test_leaders(spark):
+@pytest.mark.parametrize("most, first", [(0, 1), (100_000, 20_000), (100_000, 13)])
+def test_leaders(spark, most, first, monkeypatch):
+    monkeypatch.setattr(spatial, "MOST_LEADERS", most)
+    monkeypatch.setattr(spatial, "FIRST_OPEN", first)
     frames = frames_of(spark, [(range(4), [[0, 0, 0], [0.1, 0, 0], [5, 0, 0], [5.1, 0, 0]])])
     assert sorted(r["x"] for r in spatial.leaders(frames, 1.0).collect()) == [[0, 0, 0], [5, 0, 0]]
     random = np.random.default_rng(4)

@@ -159,27 +159,75 @@ def pair_distances(frames: DataFrame, dims: int = 3, k: int = 1000) -> DataFrame
     return a.join(b, F.col("ia") < F.col("ib")).agg(F.count("*").alias("pairs"), F.avg(d).alias("mean_distance"), F.stddev_pop(d).alias("std_distance"))
 
 
+#: Leaders that the driver may hold, and uncovered positions that it looks at in a round.
+MOST_LEADERS, FIRST_OPEN = 100_000, 20_000
+
+
 def leaders(frames: DataFrame, threshold: float, dims: int = 3) -> DataFrame:
     """Leaders (episode_index, frame_index, x) of greedy clustering in the order of the frames.
 
-    A frame founds a cluster if no leader before it is within the threshold.  Positions lie in
-    cells as wide as the threshold.  In each round every position that comes before all open
-    ones of its own and the neighbouring cells is a leader, and what the new leaders reach is
-    closed; so distant clusters are found side by side and none is left out.
+    A frame founds a cluster if no leader before it is within the threshold.  Leaders lie further apart
+    than the threshold, so a grid whose cells hold one at most bounds their number; if
+    that is small, rounds take the first positions that no leader covers, which are settled one by
+    one, and what the new leaders cover goes: each round settles FIRST_OPEN positions or
+    all.  Without such a bound clusters are found side by side, cell by cell.  Either way the
+    result is that of the one-by-one rule.
     """
     x = F.transform(F.slice("state", 1, dims), lambda v: v + 0.0)
-    order = F.struct("episode_index", "frame_index")
-    cell = F.transform("x", lambda v: F.floor(v / threshold))
-    open_ = written(frames.select(x.alias("x"), order.alias("o")).groupBy("x").agg(F.min("o").alias("o")).withColumn("cell", cell), "open")
+    open_ = written(frames.select(x.alias("x"), F.struct("episode_index", "frame_index").alias("o")).groupBy("x").agg(F.min("o").alias("o")), "open")
     width = open_.agg(F.max(F.size("x"))).first()[0] or 0
+    ends = open_.agg(*[f(F.get("x", F.lit(d))).alias(f"{k}{d}") for d in range(width) for k, f in (("a", F.min), ("b", F.max))]).first() if width else None
+    spans = [ends[f"b{d}"] - ends[f"a{d}"] for d in range(width)]
+    # the diagonal of a cell is shorter than the threshold
+    if width and threshold > 0 and all(map(math.isfinite, spans)) and math.prod(math.floor(span / threshold * math.sqrt(width) * 1.000001) + 1 for span in spans) <= MOST_LEADERS:
+        return _first_come(open_, threshold)
+    return _side_by_side(open_, threshold, width)
+
+
+def _first_come(open_: DataFrame, threshold: float) -> DataFrame:
+    spark, found = open_.sparkSession, []
+    while rows := open_.orderBy("o").limit(FIRST_OPEN).collect():
+        new = np.zeros((0, len(rows[0]["x"])))
+        for row in rows:
+            at = np.array(row["x"])
+            if not len(new) or (np.sqrt(((new - at) ** 2).sum(axis=1)) > threshold).all():
+                new = np.concatenate([new, at[None]])
+                found.append((row["o"]["episode_index"], row["o"]["frame_index"], row["x"]))
+        if len(rows) < FIRST_OPEN:
+            break
+        shared, last = spark.sparkContext.broadcast(new), rows[-1]["o"]
+
+        def uncovered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    own = np.stack(frame["x"].to_list())
+                    keep = np.ones(len(own), bool)
+                    for leader in shared.value:
+                        keep &= np.sqrt(((own - leader) ** 2).sum(axis=1)) > threshold
+                    yield frame[keep]
+
+        after = F.struct(F.lit(last["episode_index"]).alias("episode_index"), F.lit(last["frame_index"]).alias("frame_index"))
+        flat = open_.where(F.col("o") > after).select("x", F.col("o.episode_index").alias("e"), F.col("o.frame_index").alias("i"))
+        kept = flat.mapInPandas(uncovered, f"x array<double>, e {flat.schema['e'].dataType.simpleString()}, i {flat.schema['i'].dataType.simpleString()}")
+        previous, open_ = open_, written(kept.select("x", F.struct(F.col("e").alias("episode_index"), F.col("i").alias("frame_index")).alias("o")), "open")
+        dropped(previous)
+    kinds = open_.schema["o"].dataType
+    return spark.createDataFrame(found, f"episode_index {kinds['episode_index'].dataType.simpleString()}, frame_index {kinds['frame_index'].dataType.simpleString()}, x array<double>")
+
+
+def _side_by_side(open_: DataFrame, threshold: float, width: int) -> DataFrame:
+    """In each round every position that comes before all open ones of its own and the neighbouring cells is a leader, and what the new leaders reach is closed."""
+    open_ = open_.withColumn("cell", F.transform("x", lambda v: F.floor(v / threshold)))
     steps = F.explode(F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in itertools.product((-1, 0, 1), repeat=width)]))
     near = lambda rows: rows.withColumn("step", steps).withColumn("cell", F.zip_with("cell", "step", lambda a, b: a + b)).drop("step")
-    found = None
+    found, rounds = None, 0
     while not open_.isEmpty():
         first = open_.groupBy("cell").agg(F.min_by(F.struct("o", "x"), "o").alias("f")).select("cell", "f.*")
         least = near(first.select("cell", F.col("o").alias("other"))).groupBy("cell").agg(F.min("other").alias("least"))
         new = written(first.join(least, "cell").where("o = least").select("cell", "o", "x"), "leaders")
+        rounds += 1
         found = new if found is None else found.unionByName(new)
+        found = written(found, "leaders") if rounds % 16 == 0 else found  # so that the plan stays short
         reach = near(new.select("cell", F.col("x").alias("y")))
         left = open_.alias("p").join(reach.alias("l"), (F.col("p.cell") == F.col("l.cell")) & (norm(F.zip_with("p.x", "l.y", lambda a, b: a - b)) <= threshold), "left_anti")
         last, open_ = open_, written(left.select("x", "o", "cell"), "open")
