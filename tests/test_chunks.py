@@ -111,3 +111,15 @@ def test_poses_of_columns_are_those_of_numpy(spark):
     assert (state >= arm["lower"]).all() and (state <= arm["upper"]).all()
     share = (state - arm["lower"]) / (np.array(arm["upper"]) - arm["lower"])
     assert all(abs(np.histogram(share[:, j], 10, (0, 1))[0] - 200).max() < 30 for j in range(7))
+
+
+def test_peaks_as_column_expressions(spark):
+    from trajectra.functions import peaks
+
+    random = np.random.default_rng(12)
+    signals = [[], [1.0], [1.0, 1.0], [0, 1, 0, 2, 2, 2, 0, 0.5, 0.4, 3, 0], *[random.normal(size=n).cumsum().round(k).tolist() for n in (3, 20, 90) for k in (0, 1) for _ in range(12)]]
+    rows = spark.createDataFrame([(i, [float(v) for v in s]) for i, s in enumerate(signals)], "id int, x array<double>").repartition(3)
+    for depth, distance in ((0.05, 1), (1.0, 1), (1.0, 5), (0.3, 3)):
+        got = {r["id"]: r["p"] for r in peaks.with_peaks(rows, "x", F.lit(depth), distance, "p").collect()}
+        for i, s in enumerate(signals):
+            assert got[i] == execution.peaks(np.array(s, dtype=float), depth, distance).tolist(), (i, depth, distance)

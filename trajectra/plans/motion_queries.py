@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajectra.functions import peaks
 from trajectra.functions.vectors import gaussian_kernel
 from trajectra.operators import execution, motion, signal, stats, success
 from trajectra.operators.ordering import numbered
@@ -297,6 +298,18 @@ def hesitation_count(spark, d):
     return rows.select("episode_index", execution.hesitations(F.col("v")).alias("hesitations"))
 
 
+_TOPS = execution_sql.maxima("tn", "ts", "x", "lim", 5) + "," + execution_sql.maxima("ta", "ts", "x", "lim", 1)
+
+
+@query(EV + f", ts AS (SELECT e, i, x, count(*) OVER p AS n, 0.2 * (max(x) OVER p - min(x) OVER p) AS lim FROM g WINDOW p AS (PARTITION BY e)), {_TOPS} SELECT e AS episode_index, coalesce(ta.c, 0)::INTEGER AS tops, coalesce(tn.c, 0)::INTEGER AS apart FROM (SELECT DISTINCT e FROM g) z LEFT JOIN ta USING (e) LEFT JOIN tn USING (e)")
+def signal_peaks(spark, d):
+    """Maxima of the first dimension that stand out by a fifth of its range, and those of them that are five frames apart, as column expressions."""
+    rows = signal.episode_signals(src.events_frames(spark, d), {"v": F.get("state", F.lit(0))})
+    depth = 0.2 * (F.array_max("v") - F.array_min("v"))
+    rows = peaks.with_peaks(peaks.with_peaks(rows, "v", depth, 1, "tops"), "v", depth, 5, "apart")
+    return rows.select("episode_index", F.size("tops").alias("tops"), F.size("apart").alias("apart"))
+
+
 @query(EV + ", p AS (SELECT e, i, x, lag(x) OVER w AS a, lead(x) OVER w AS b FROM g WINDOW w AS (PARTITION BY e ORDER BY i)) SELECT e AS episode_index, count(*) AS extremes FROM p WHERE (x > a AND x > b) OR (x < a AND x < b) GROUP BY e")
 def turning_points(spark, d):
     w = Window.partitionBy("episode_index").orderBy("frame_index")
