@@ -379,7 +379,7 @@ def test_toxicity_on_held_out_labels(spark):
     model = toxicity.fitted(docs, labels)
     held = labels.where(toxicity.held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).join(docs.select("doc_id", "text"), "doc_id").collect()
     score, toxic = model.scores([r["text"] or "" for r in held]), np.array([r["toxic"] for r in held])
-    assert toxic.sum() > 100 and (score[toxic == 1] >= 0.7).mean() > 0.75 and (score[toxic == 0] >= 0.7).mean() < 0.01
+    assert toxic.sum() > 100 and (score[toxic == 1] >= 0.7).mean() > 0.9 and (score[toxic == 0] >= 0.7).mean() < 0.01
 
 
 def test_quality(spark):

@@ -4,9 +4,9 @@ A text is the bag of the character n-grams (3 to 5, with word borders) and words
 words.  Every entry has an embedding (hashed into BUCKETS rows); the mean embedding of the
 bag goes through a linear softmax over the two classes.  Embeddings and softmax are trained
 jointly in numpy, so a misspelling that was never seen scores through the n-grams it shares.
-A text is scored by its most toxic stretch of STRETCH words, so that a long text does not
-drown a short insult, and training repeats this: each toxic text teaches with the stretch
-that the model finds most toxic.
+A text is scored by the bag of its WORST most toxic words, wherever they stand, so that a long
+text does not drown a few insults, and training repeats this: each text teaches with the
+words that the model finds most toxic.
 
 Operators: `trained` (fits on a bounded sample of labelled rows: PER_CLASS rows of the classes)
 and `scored`.  Only the text enters a score.
@@ -33,8 +33,8 @@ from trajectra.llm.rolling import SPACE, gram_hashes, prefix_hashes, span_hashes
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-#: Words of a stretch; consecutive stretches begin half as many words apart, one at least.
-STRETCH = 3
+#: Words of a text that its score is taken from.
+WORST = 3
 #: Labelled rows of class 0 and 1 that the model is fitted on at most.
 PER_CLASS = (3000, 1500)
 #: Passes over the sample, more of them for a small sample: at least so many steps of BATCH rows in all.
@@ -69,15 +69,11 @@ def entries(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners), words
 
 
-def stretches(words: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, text) of the stretches that cover each text; one, empty, for no words."""
-    half = max(1, stretch // 2)
-    count = np.maximum(1, -(-(words - stretch) // half) + 1)
-    text = np.repeat(np.arange(len(words)), count)
-    local = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    base = (np.cumsum(words) - words)[text]
-    begin = base + local * half
-    return begin, np.minimum(begin + stretch, base + words[text]), text
+def worst_words(total: np.ndarray, size: np.ndarray, text: np.ndarray, most: int = WORST) -> np.ndarray:
+    """The `most` words of each text with the highest mean margin (of equal ones the first), from sums, sizes and texts of all words."""
+    order = np.lexsort((-total / np.maximum(1, size), text))
+    first = np.searchsorted(text[order], text[order])
+    return order[np.arange(len(order)) - first < most]
 
 
 class Model:
@@ -86,19 +82,19 @@ class Model:
     def __init__(self, embedding: np.ndarray, softmax: np.ndarray, bias: np.ndarray):
         self.embedding, self.softmax, self.bias = embedding, softmax, bias
 
-    def scores(self, texts: list[str], stretch: int = STRETCH) -> np.ndarray:
-        """Probability of class 1, of each text's most toxic stretch."""
-        # the softmax of a mean is linear in its entries, so each entry adds its own margin
-        margin = self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])
+    def margin(self) -> np.ndarray:
+        """What each entry adds: the softmax of a mean is linear in its entries."""
+        return self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])
+
+    def scores(self, texts: list[str], most: int = WORST) -> np.ndarray:
+        """Probability of class 1, of the bag of each text's most toxic words."""
         bucket, owner, words = entries(texts)
         n = int(words.sum())
-        total = np.concatenate([[0.0], np.cumsum(np.bincount(owner, weights=margin[bucket], minlength=n))])
-        size = np.concatenate([[0.0], np.cumsum(np.bincount(owner, minlength=n))])
-        begin, end, text = stretches(words, stretch)
-        mean = (total[end] - total[begin]) / np.maximum(1, size[end] - size[begin])
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, text, mean)
-        return 1 / (1 + np.exp(-np.clip(best + self.bias[1] - self.bias[0], -500, 500)))
+        total, size = np.bincount(owner, weights=self.margin()[bucket], minlength=n), np.bincount(owner, minlength=n)
+        text = np.repeat(np.arange(len(texts)), words)
+        at = worst_words(total, size, text, most)
+        whole, entries_ = (np.bincount(text[at], weights=v[at], minlength=len(texts)) for v in (total, size))
+        return 1 / (1 + np.exp(-np.clip(whole / np.maximum(1, entries_) + self.bias[1] - self.bias[0], -500, 500)))
 
 
 def trained(sample: list[tuple[str, int]], epochs: int | None = None, seed: int = SEED) -> Model:
@@ -112,38 +108,37 @@ def trained(sample: list[tuple[str, int]], epochs: int | None = None, seed: int
     label = np.array([y for _, y in sample])
     if epochs is None:  # a clean text gives two rows in a pass
         epochs = max(EPOCHS, -(-STEPS * BATCH // int(len(label) + (label == 0).sum())))
-    parts = []  # per text: entries of its chunk in the order of their words, and the stretches' ends in them
+    parts = []  # per text: entries in the order of their words, and the words' borders in them
     texts = [t for t, _ in sample]
     for a, b in chunks(texts, 100_000):
         bucket, owner, words = entries(texts[a:b])
         order = np.argsort(owner, kind="stable")
-        begin, end, text = stretches(words)
         cut = np.searchsorted(owner[order], np.arange(int(words.sum()) + 1)).astype(np.int32)
-        bucket, begin, end = bucket[order].astype(np.uint16), cut[begin], cut[end]
-        first = np.searchsorted(text, np.arange(len(words) + 1))
-        parts += [(bucket, begin[i:j], end[i:j]) for i, j in zip(first[:-1], first[1:])]
+        bucket = bucket[order].astype(np.uint16)
+        ends = np.cumsum(words)
+        parts += [(bucket[cut[i] : cut[j]], cut[i : j + 1] - cut[i]) for i, j in zip((ends - words).tolist(), ends.tolist())]
     values = [embedding, softmax, bias]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     step = 0
     for epoch in range(epochs):
-        margin = model.embedding @ (model.softmax[:, 1] - model.softmax[:, 0])
+        margin = model.margin()
         rows: list[np.ndarray] = []
         classes: list[int] = []
-        for (bucket, begin, end), y in zip(parts, label):
-            if epoch == 0:
-                worst = int(random.integers(len(begin)))  # nothing is learnt yet: any stretch
-                if y:
-                    rows.append(bucket[begin[0] : end[-1]])  # the whole toxic text, which holds its insults for sure
-                    classes.append(1)
-                    continue
+        for (bucket, cut), y in zip(parts, label):
+            n = len(cut) - 1
+            if not n:
+                continue
+            bag = lambda words: np.concatenate([bucket[cut[w] : cut[w + 1]] for w in words])  # noqa: B023,E731
+            if epoch == 0 and y:
+                rows.append(bucket)  # nothing is learnt yet: the whole toxic text, which holds its insults for sure
+            elif epoch == 0:
+                rows.append(bag(random.integers(n, size=WORST)))
             else:
-                total = np.concatenate([[0.0], np.cumsum(margin[bucket[begin[0] : end[-1]]], dtype=float)])
-                worst = int(np.argmax((total[end - begin[0]] - total[begin - begin[0]]) / np.maximum(1, end - begin)))
-            rows.append(bucket[begin[worst] : end[worst]])
+                upto = np.concatenate([[0.0], np.cumsum(margin[bucket], dtype=float)])
+                rows.append(bag(worst_words(upto[cut[1:]] - upto[cut[:-1]], np.diff(cut), np.zeros(n, int))))
             classes.append(int(y))
-            if not y:  # and a clean text's other stretches, one at a time
-                other = int(random.integers(len(begin)))
-                rows.append(bucket[begin[other] : end[other]])
+            if not y:  # and any others of a clean text's words
+                rows.append(bag(random.integers(n, size=WORST)))
                 classes.append(0)
         order = random.permutation(len(rows))
         for at in range(0, len(order), BATCH):
