@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: t
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def release() -> None:
+    """Give the memory that training has freed back to the system, where the C library can; the driver lives on."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ids(values) -> object:
     """doc_ids that came as strings, as a nullable column of whole numbers (null-safe and exact)."""
     import pandas as pd

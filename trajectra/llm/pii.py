@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajectra.llm.common import chunks, documents, in_batches
+from trajectra.llm.common import chunks, documents, in_batches, release
 from trajectra.llm.tagger import LETTER, OTHER, PAD, Tagger
 
 NUMBERS, STRINGS = ("n_email", "n_ip", "n_card", "n_phone"), ("base_sha256", "spans", "masked")
@@ -246,7 +246,9 @@ def _fitted(docs: DataFrame, sample: int) -> Tagger:
     begin = F.pmod(F.xxhash64(F.lit(23), "doc_id"), room.cast("long")).cast("int") + 1
     cut = known.join(F.broadcast(drawn), "doc_id").select("doc_id", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"))
     rows = cut.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    return trained([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
+    model = trained([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
+    release()
+    return model
 
 
 def _shown(spans: list[tuple[int, int, int]]) -> str:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectra.llm.common import chunks, documents, ids, in_batches, labelled_sample
+from trajectra.llm.common import chunks, documents, ids, in_batches, labelled_sample, release
 from trajectra.llm.rolling import SPACE, gram_hashes, prefix_hashes, span_hashes, word_spans
 
 #: Rows of the embedding; a bucket fits in 16 bits.
@@ -186,7 +186,9 @@ def held_out(doc_id) -> object:
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """A model fitted on labelled rows outside the held-out third."""
-    return trained(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class))
+    model = trained(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class))
+    release()
+    return model
 
 
 def op8_toxicity_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
