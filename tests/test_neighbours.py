@@ -38,3 +38,26 @@ def test_few_rows(spark):
     assert {r["id"]: [tuple(n) for n in r["near"]] for r in neighbours.nearest(points, 20).collect()} == {1: [(1.0, 2)], 2: [(1.0, 1)]}
     assert [r["lof"] for r in neighbours.outlier_factors(points.limit(1)).collect()] == [1.0]
     assert neighbours.outlier_factors(points.limit(0)).count() == 0
+
+
+def test_vectors_sent_grow_with_the_rows(spark, monkeypatch):
+    """In many dimensions, where cells rule out nothing, a vector goes to a fixed number of blocks."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbours, "ROWS", 16)
+    monkeypatch.setattr(neighbours, "CANDIDATES", 32)
+    x = np.random.default_rng(6).normal(size=(800, 24))
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, x array<double>").repartition(3)
+    context = spark.sparkContext
+    jvm, store = context._jvm, context._jsc.sc().statusStore()
+
+    def sent():
+        stages = store.stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = sent()
+    got = {r["id"]: r["near"] for r in neighbours.nearest(points, 5).collect()}
+    # the two sides' vectors, each row's partial results, and the rest
+    assert sent() - before < (3 * neighbours.BLOCKS + 6) * len(x)
+    gap, place = all_pairs(x, 5)
+    for i in range(len(x)):
+        assert [n["d"] for n in got[i]] == gap[i].tolist() and [n["id"] for n in got[i]] == place[i].tolist()

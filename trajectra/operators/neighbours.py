@@ -5,6 +5,11 @@ knows its radius, and an upper bound of the distance that its rows' k-th neighbo
 from the rows nearest to all pivots.  A row goes as candidate to every cell from which it
 isn't too far for that bound, so none is lost.  Cells are compared in blocks of bounded size,
 and a row's best candidates of all blocks are merged.
+
+Where the cells rule out so little that this would send more vectors than a comparison of all
+rows with all, the rows are one cell, cut into a fixed number of larger blocks: every vector is
+then sent as often as there are blocks, however many rows there are, until the blocks
+reach their bound.
 """
 
 from __future__ import annotations
@@ -21,6 +26,12 @@ from trajectra.sources.tables import dropped, written
 #: Rows for each pivot, and pivots at most; rows of a cell and candidates that meet in one group.
 CELL_ROWS, MOST_PIVOTS = 2_000, 512
 ROWS, CANDIDATES = 2_048, 8_192
+#: Blocks that a table is cut into on either side where cells rule out little, and numbers that such a block may hold.
+BLOCKS, BLOCK_NUMBERS = 12, 4_000_000
+
+
+#: Candidates whose distances give the limit for all of a block.
+FIRST = 4_096
 
 
 def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,20 +42,27 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def closest(x: np.ndarray, ids: np.ndarray, others: np.ndarray, names: np.ndarray, k: int) -> tuple[list, list]:
     """(distances, ids) of each row's k nearest others, by distance, then id; a row is no neighbour of its own.
 
-    A matrix product tells which can be among them, up to its rounding; those are measured.
+    A matrix product tells which can be among them, up to its rounding; those are measured.  The
+    first candidates give a limit for all.
     """
     distances, found = [], []
     squares = (others**2).sum(axis=1)
-    for at in range(0, len(x), 256):
-        part = x[at : at + 256]
+    block = max(16, min(256, (1 << 22) // max(len(others), 1)))
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
         own = (part**2).sum(axis=1)
-        rough = own[:, None] + squares[None] - 2 * part @ others.T
-        rough[ids[at : at + 256, None] == names[None]] = np.inf
+        rough = part @ others.T
+        rough *= -2
+        rough += own[:, None]
+        rough += squares
+        rough[ids[at : at + block, None] == names[None]] = np.inf
         slack = 1e-12 * (x.shape[1] + 8) * (own + squares.max(initial=0.0))
-        last = min(k, rough.shape[1]) - 1
-        limit = np.partition(rough, last, axis=1)[:, last] + 2 * slack if last >= 0 else np.zeros(len(part))
+        first = rough if rough.shape[1] <= 2 * FIRST else rough[:, :FIRST]
+        last = min(k, first.shape[1]) - 1
+        limit = np.partition(first, last, axis=1)[:, last] + 2 * slack if last >= 0 else np.zeros(len(part))
         for row, r, most in zip(part, rough, limit):
-            near = np.flatnonzero((r <= most) & np.isfinite(r))
+            near = np.flatnonzero(r <= most)
+            near = near[np.isfinite(r[near])]
             d = np.sqrt(((others[near] - row) ** 2).sum(axis=1))
             order = np.lexsort((names[near], d))[:k]
             distances.append(d[order])
@@ -97,11 +115,22 @@ def nearest(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
                 for at in range(0, len(row), 4 * CANDIDATES):
                     yield frame.iloc[row[at : at + 4 * CANDIDATES]].assign(cell=cell[at : at + 4 * CANDIDATES])
 
-    candidates = written(points.mapInPandas(sent, "id long, x array<double>, cell long"), "candidates")
-    sizes = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}  # a row per pivot
-    blocks = spark.createDataFrame([(i, -(-int(count[i]) // ROWS), -(-sizes[i] // CANDIDATES)) for i in range(m) if count[i]], "cell long, r long, s long")
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"cell": np.arange(m), "n": (gaps(np.stack(frame["x"].to_list()).astype(float), pivots.value) <= reach.value[None]).sum(axis=0)})
+
+    sizes = {r["cell"]: r["n"] for r in points.select("x").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row per pivot
+    cut = [(i, -(-int(count[i]) // ROWS), -(-sizes[i] // CANDIDATES)) for i in range(m) if count[i]]
+    most = max(1, min(BLOCK_NUMBERS // max(pivots.value.shape[1], 1), max(ROWS, -(-n // BLOCKS))))
+    whole = -(-n // most)
+    if sum(sizes[i] * r + int(count[i]) * s for i, r, s in cut) > 2 * n * whole:
+        candidates, rows_by_cell, cut = points.withColumn("cell", F.lit(0).cast("long")), rows.withColumn("cell", F.lit(0).cast("long")), [(0, whole, whole)]
+    else:
+        candidates, rows_by_cell = points.mapInPandas(sent, "id long, x array<double>, cell long"), rows
+    blocks = spark.createDataFrame(cut, "cell long, r long, s long")
     split = lambda df, own, others: df.join(F.broadcast(blocks), "cell").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own))).withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
-    a, b = split(rows.select("id", "x", "cell"), "r", "s"), split(candidates, "s", "r")
+    a, b = split(rows_by_cell.select("id", "x", "cell"), "r", "s"), split(candidates, "s", "r")
 
     def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -113,7 +142,7 @@ def nearest(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     best = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compared, "id long, d array<double>, other array<long>")
     pairs = best.select("id", F.zip_with("d", "other", lambda d, o: F.struct(d.alias("d"), o.alias("id"))).alias("near"))
     made = written(pairs.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")), "nearest")
-    dropped(points, rows, candidates)
+    dropped(points, rows)
     return made
 
 
