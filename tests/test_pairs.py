@@ -21,3 +21,10 @@ def test_sample_meets_itself(spark):
     want = [np.linalg.norm(a - b) for a, b in itertools.combinations(chosen, 2)]
     (row,) = found.collect()
     assert row["pairs"] == len(want) and row["mean_distance"] == pytest.approx(np.mean(want)) and row["std_distance"] == pytest.approx(np.std(want))
+
+
+def test_parts_of_the_space_read_written_positions(spark):
+    from trajectra import catalog
+
+    plan = catalog.QUERIES["spatial_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan
